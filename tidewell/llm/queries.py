@@ -22,10 +22,17 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffle_into_shards(table(spark, sf_dir, "documents"), n_shards=40, payload=[]).drop("record")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontamination": op2_decontamination,
         "op3_sharding": op3_sharding,
+        "op5_packing": op5_packing,
     }
 
 

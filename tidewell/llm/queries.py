@@ -28,10 +28,17 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.near_join import near_classes
+
+    return near_classes(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontamination": op2_decontamination,
         "op3_sharding": op3_sharding,
+        "op4_ngram_join": op4_ngram_join,
         "op5_packing": op5_packing,
     }
 

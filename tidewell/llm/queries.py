@@ -34,12 +34,19 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.repeats import repeat_summary
+
+    return repeat_summary(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontamination": op2_decontamination,
         "op3_sharding": op3_sharding,
         "op4_ngram_join": op4_ngram_join,
         "op5_packing": op5_packing,
+        "op7_suffix_dedup": op7_suffix_dedup,
     }
 
 

@@ -24,7 +24,7 @@ END_ID = 2
 #: A mixing window holds so many sequences. Larger: fewer cuts; smaller: closer to the proportions.
 WINDOW_SEQUENCES = 64
 #: Documents of a queue that one task orders.
-BUCKET_DOCS = 20_000
+BUCKET_DOCS = 4_000
 
 
 def default_tokenizer() -> str:

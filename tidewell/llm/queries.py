@@ -9,6 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewell.llm.common import table
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.chat import conversation_digests
+
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_digests(turns.unionByName(extra))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.llm.decontamination import contained_items
 
@@ -48,6 +57,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat": op1_chat,
         "op2_decontamination": op2_decontamination,
         "op3_sharding": op3_sharding,
         "op4_ngram_join": op4_ngram_join,
@@ -57,6 +67,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: The template adds 14 characters to a turn. Of these tables only the added conversation needs escapes: two in each turn.
+OP1_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  (sum(length(role) + length(text) + 14) + CASE WHEN conv_id = -7 THEN 4 ELSE 0 END)::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
 OP2_SQL = r"""
 WITH item_words AS (
   SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark
@@ -77,4 +101,4 @@ FROM found JOIN sizes USING (item_id) WHERE found >= 0.8::DOUBLE * q
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL}
+    return {"op1_chat": OP1_SQL, "op2_decontamination": OP2_SQL}

@@ -49,6 +49,12 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_summary(table(spark, sf_dir, "documents"))
 
 
+def op8_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.hmm import language_scores
+
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.llm.quality import quality_scores
 
@@ -63,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_ngram_join": op4_ngram_join,
         "op5_packing": op5_packing,
         "op7_suffix_dedup": op7_suffix_dedup,
+        "op8_hmm": op8_hmm,
         "op9_quality": op9_quality,
     }
 

@@ -43,6 +43,12 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.licenses import license_spans
+
+    return license_spans(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewell.llm.repeats import repeat_summary
 
@@ -61,6 +67,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.chroma import align, synthesised
+
+    return align(synthesised(table(spark, sf_dir, "embeddings")), lambda k: k % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat": op1_chat,
@@ -68,9 +80,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": op3_sharding,
         "op4_ngram_join": op4_ngram_join,
         "op5_packing": op5_packing,
+        "op6_licenses": op6_licenses,
         "op7_suffix_dedup": op7_suffix_dedup,
         "op8_hmm": op8_hmm,
         "op9_quality": op9_quality,
+        "op10_chroma": op10_chroma,
     }
 
 

@@ -27,8 +27,8 @@ MINIMUM = 400
 GRAM = 96
 BLOCK_BYTES = 2 << 20
 POSITION_BITS = 24
-#: Contexts of one gram that one task expands. Those of a more frequent gram meet by the hashes of all their strings instead.
-GROUP_CONTEXTS = 4_000
+#: Contexts of one gram that one task expands, some 100 MB. Those of a more frequent gram meet by the hashes of all their strings instead.
+GROUP_CONTEXTS = 50_000
 BATCH_CONTEXTS = 16_000
 NO_DOC = -(2**63)
 

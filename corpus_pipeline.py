@@ -29,10 +29,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows that repeat number and text are one document: one of them stays.
     """
-    heads = near_classes(docs).where("class_rank = 0").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_doc")) & (text_hash(docs["text"]) == F.col("_hash"))
-    kept = docs.join(heads, same, "left_semi")
-    return kept.withColumn("_hash", text_hash("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    heads = near_classes(docs).where("class_rank = 0").groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.count(F.lit(1)).alias("_n"))
+    same = docs["doc_id"].eqNullSafe(heads["_doc"]) & (text_hash(docs["text"]) == heads["_hash"])
+    if not heads.where("_n > 1").head(1):
+        return docs.join(heads, same, "left_semi")
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    kept = docs.join(heads, same).select(row, heads["_hash"].alias("h")).withColumn("k", F.col("row.doc_id"))
+    return kept.groupBy("k", "h").agg(F.first("row").alias("row")).select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

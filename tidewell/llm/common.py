@@ -51,11 +51,11 @@ class Scratch:
         self.root = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
         self.made = 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` as Parquet and return it as read from there."""
+    def keep(self, df: DataFrame, codec: str = "snappy") -> DataFrame:
+        """Write ``df`` as Parquet and return it as read from there. zstd is for large texts: it takes less disk and more memory."""
         self.made += 1
         path = f"{self.root}/{self.made}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -115,5 +115,5 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFra
     key = options.get("doc_key", "doc_id")
     text = options.get("text", "text")
     bad = contained_items(docs, items, **options).select(F.col(key).alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
-    same = F.col("_doc").eqNullSafe(docs[key]) & (F.col("_hash") == F.xxhash64(F.coalesce(docs[text], F.lit(""))))
+    same = bad["_doc"].eqNullSafe(docs[key]) & (bad["_hash"] == F.xxhash64(F.coalesce(docs[text], F.lit(""))))
     return docs.join(bad, same, "left_anti")

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes that one pass of numpy takes; a longer text is taken in blocks that end between words.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0x100000001B3
 #: What a gram of so many words adds to its hash.

@@ -95,7 +95,7 @@ def chunk_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
             data, offsets = text_bytes(batch.column(2), lower=False)
             i, n = 0, batch.num_rows
             while i < n:
-                j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (2 << 20), "right")) - 1)
+                j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 19), "right")) - 1)
                 part = LOWER[data[offsets[i] : offsets[j]]]
                 bounds = offsets[i : j + 1] - offsets[i]
                 keep = ~SPACE[part]
@@ -123,7 +123,7 @@ def chunk_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def classed(docs: DataFrame, scratch: Scratch, key: str, text: str) -> tuple[DataFrame, int, int, np.ndarray]:
     """(doc, fold, n_tokens, n_known, base_score, classes), N, V and the classes' probabilities."""
-    rows = scratch.keep(chunk_rows(docs, key, text))
+    rows = scratch.keep(chunk_rows(docs, key, text), "zstd")
     is_end = F.col("word") == 0
     words = rows.where("word is not null").select("chunk", "word", F.when(is_end, F.lit(None)).otherwise(F.col("hash")).alias("hash"), "ending", "train")
     by_word = Window.partitionBy("hash")
@@ -169,7 +169,7 @@ def classed(docs: DataFrame, scratch: Scratch, key: str, text: str) -> tuple[Dat
 
     texts = rows.where("word is null").select("chunk", "doc", "fold", "ids").groupBy("chunk")
     joined = texts.cogroup(counted.select("chunk", "word", "c", "cls").groupBy("chunk"))
-    out = scratch.keep(joined.applyInArrow(look_up, f"doc {kind}, fold int, n_tokens long, n_known long, base_score double, classes binary"))
+    out = scratch.keep(joined.applyInArrow(look_up, f"doc {kind}, fold int, n_tokens long, n_known long, base_score double, classes binary"), "zstd")
     scratch.drop(rows)
     return out, total, distinct, mass
 
@@ -187,8 +187,8 @@ class Model:
         share[UNKNOWN] = 0
         emit = emit.copy()
         emit[UNKNOWN] = 0
-        emit += PRIOR * share[:, None] / share.sum()
-        emit *= (1 - mass[UNKNOWN]) / emit.sum(axis=0)
+        emit += PRIOR * share[:, None] / max(share.sum(), 1e-300)
+        emit *= (1 - mass[UNKNOWN]) / np.maximum(emit.sum(axis=0), 1e-300)
         prefer = np.ones_like(emit)
         some = share > 0
         prefer[some] = emit[some] / mass[some, None]

@@ -120,10 +120,11 @@ def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int = BA
                 best = left
             if 0 <= at < len(words) and words[at] == t:
                 s, f = score[j, b + 1] + 1, begin[j, b + 1]
-                if s > best[0]:
+                if s >= best[0]:
                     best = (s, at if f == none else f, at)
             score[j + 1, b + 1], begin[j + 1, b + 1], end[j + 1, b + 1] = best
-    k = int(score[-1].argmax())
+    most = np.flatnonzero(score[-1] == score[-1].max())
+    k = int(most[np.abs(most - band - 1).argmin()])  # nearest to the diagonal
     return int(score[-1, k]), int(begin[-1, k]), int(end[-1, k])
 
 
@@ -149,7 +150,7 @@ def license_spans(
             data, offsets = text_bytes(batch.column(2), lower=False)
             i, n = 0, batch.num_rows
             while i < n:
-                j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (2 << 20), "right")) - 1)
+                j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 19), "right")) - 1)
                 part, bounds = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 words, starts, ends, edges = word_spans(part, bounds)
                 at, grams = winnowed(words, edges)

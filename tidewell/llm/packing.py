@@ -154,7 +154,7 @@ def pack(
         raise ValueError("sequence must be a power of two")
     path = tokenizer_path or default_tokenizer()
     scratch = Scratch(docs.sparkSession, "pack")
-    tokens = scratch.keep(tokenized(docs, path, end_id).withColumn("row", F.monotonically_increasing_id()))
+    tokens = scratch.keep(tokenized(docs, path, end_id).withColumn("row", F.monotonically_increasing_id()), "zstd")
     n_docs, total = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     packets = mixed_positions(tokens.select("row", "doc_id", "source", "n"), total, n_docs, weights, sequence, window_sequences, seed)
     pieces = cut(packets, total, sequence)

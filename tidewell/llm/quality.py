@@ -152,7 +152,7 @@ class AttentionModel:
                     v -= lr * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
 
 
-def _batched(batch: pa.RecordBatch, column: int, most_bytes: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def _batched(batch: pa.RecordBatch, column: int, most_bytes: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     from tidewell.llm.grams import text_bytes
 
     data, offsets = text_bytes(batch.column(column), lower=False)

@@ -25,7 +25,7 @@ from tidewell.llm.common import Scratch, text_hash
 
 MINIMUM = 400
 GRAM = 96
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 POSITION_BITS = 24
 #: Contexts of one gram that one task expands, some 100 MB. Those of a more frequent gram meet by the hashes of all their strings instead.
 GROUP_CONTEXTS = 50_000
@@ -191,8 +191,10 @@ def _runs(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
-def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.withColumn("kd", F.coalesce(F.col(key).cast("long"), F.lit(NO_DOC))).withColumn("kt", text_hash(text))
+def _keyed(docs: DataFrame, key: str, text: str, *others) -> DataFrame:
+    """kd and kt, which name a row's number and text, with the number, the text and other columns."""
+    kd = F.coalesce(F.col(key).cast("long"), F.lit(NO_DOC)).alias("kd")
+    return docs.select(kd, text_hash(text).alias("kt"), F.col(key).alias("doc"), F.col(text).alias("text"), *others)
 
 
 def repeated_spans(docs: DataFrame, minimum: int = MINIMUM, gram: int = GRAM, key: str = "doc_id", text: str = "text", group_contexts: int = GROUP_CONTEXTS):
@@ -219,7 +221,7 @@ def repeated_spans(docs: DataFrame, minimum: int = MINIMUM, gram: int = GRAM, ke
                 )
 
     kind = dict(docs.dtypes)[key]
-    made = keyed.select("kd", "kt", F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(
+    made = keyed.mapInArrow(
         anchors, f"kd long, kt long, doc {kind}, n_bytes long, sha256 string, places array<int>, grams array<long>, contexts array<long>"
     )
     summary = scratch.keep(made)
@@ -235,7 +237,7 @@ def repeated_spans(docs: DataFrame, minimum: int = MINIMUM, gram: int = GRAM, ke
     mixed = alike.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("gram", "k")
     wanted = alike.join(mixed, "gram").select("one.*", "gram", "n", "k")
     wanted = wanted.groupBy("kd", "kt").agg(F.collect_list(F.struct("place", "gram", "n", "k")).alias("at"))
-    held = keyed.select("kd", "kt", F.col(text).alias("text")).join(wanted, ["kd", "kt"])
+    held = keyed.select("kd", "kt", "text").join(wanted, ["kd", "kt"])
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kd", "kt", "place", "gram", "n", "k", "before", "after"]
@@ -252,7 +254,7 @@ def repeated_spans(docs: DataFrame, minimum: int = MINIMUM, gram: int = GRAM, ke
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
 
-    found = scratch.keep(held.mapInArrow(contexts, "kd long, kt long, place long, gram long, n long, k long, before binary, after binary"))
+    found = scratch.keep(held.mapInArrow(contexts, "kd long, kt long, place long, gram long, n long, k long, before binary, after binary"), "zstd")
 
     def expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: pa.Table) -> pa.RecordBatch:
@@ -353,7 +355,7 @@ def repeat_summary(docs: DataFrame, minimum: int = MINIMUM, gram: int = GRAM, ke
             cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.string()], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), *cols], [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    held = _keyed(docs, key, text).select("kd", "kt", F.col(key).alias("doc"), F.col(text).alias("text")).join(spans, ["kd", "kt"])
+    held = _keyed(docs, key, text).join(spans, ["kd", "kt"])
     return clean.unionByName(held.select("doc", "text", "spans").mapInArrow(run, f"{key} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
@@ -370,12 +372,10 @@ def remove_repeats(docs: DataFrame, minimum: int = MINIMUM, gram: int = GRAM, ke
             for body, found in zip(batch.column("text"), batch.column("spans"), strict=True):
                 raw = body.as_py()
                 out.append(raw if found.as_py() is None else _cut(raw.encode(), _merged(found.as_py())).decode(errors="ignore"))
-            rest = {c: batch.column(c) for c in batch.schema.names if c not in ("text", "spans")}
-            yield pa.RecordBatch.from_arrays([rest["row"], pa.array(out, pa.string())], ["row", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], ["row", "text"])
 
     others = [c for c in docs.columns if c != text]
-    joined = _keyed(docs, key, text).join(spans, ["kd", "kt"], "left")
-    joined = joined.select(F.struct(*[F.col(c) for c in others]).alias("row"), F.col(text).alias("text"), "spans")
+    joined = _keyed(docs, key, text, F.struct(*[F.col(c) for c in others]).alias("row")).join(spans, ["kd", "kt"], "left").select("row", "text", "spans")
     row = joined.schema["row"].dataType.simpleString()
     cut = joined.mapInArrow(run, f"row {row}, text string")
     return cut.select(*[F.col("text").alias(text) if c == text else F.col("row")[c].alias(c) for c in docs.columns])

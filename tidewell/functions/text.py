@@ -60,7 +60,7 @@ def comma_list(c: Column) -> Column:
 
 def line_list(c: Column) -> Column:
     """Trimmed lines without blank ones; null if there is none."""
-    parts = F.filter(F.transform(F.split(c, "\n"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(parts) > 0, parts)
 
 

@@ -31,6 +31,8 @@ STATES = 8
 ITERATIONS = 3
 #: Documents from which the first guess of the states is made.
 GUESS_DOCS = 1500
+#: The most frequent classes that the guess looks at.
+GUESS_CLASSES = 3000
 #: Tokens that forward and backward recursion hold at once, but for a longer single text.
 BATCH_TOKENS = 250_000
 #: Added to each state's counts, in proportion to the classes' probabilities.
@@ -144,8 +146,8 @@ def classed(docs: DataFrame, scratch: Scratch, key: str, text: str) -> tuple[Dat
     )
     counted = counted.withColumn("cls", cls)
     mass = np.zeros(N_CLASSES)
-    for r in counted.where("r = 1 and c > 0").groupBy("cls").agg(F.sum(F.col("c") + 0.5).alias("m")).collect():  # N_CLASSES rows at most
-        mass[r["cls"]] = r["m"] / whole
+    by_class = counted.where("r = 1 and c > 0").groupBy("cls").agg(F.sum(F.col("c") + 0.5).alias("m")).toArrow()  # N_CLASSES rows at most
+    mass[by_class.column("cls").to_numpy()] = by_class.column("m").to_numpy() / whole
     mass[UNKNOWN] = 0.5 / whole
     kind = dict(docs.dtypes)[key]
 
@@ -263,9 +265,12 @@ def _packs(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, _Packed]]:
 def first_guess(sample: list[np.ndarray], mass: np.ndarray, states: int, seed: int = 7) -> Model:
     """States from a mixture of unigrams over some texts; they are likely to stay."""
     rng = np.random.default_rng(seed)
-    counts = np.stack([np.bincount(t, minlength=N_CLASSES) for t in sample]).astype(np.float32) if sample else np.ones((1, N_CLASSES), np.float32)
-    used = np.flatnonzero(counts.sum(axis=0) > 1)
-    counts = counts[:, used]
+    times = sum((np.bincount(t, minlength=N_CLASSES) for t in sample), np.zeros(N_CLASSES, np.int64))
+    used = np.sort(np.argsort(-times, kind="stable")[:GUESS_CLASSES])
+    column = np.full(N_CLASSES, len(used))
+    column[used] = np.arange(len(used))
+    counts = [np.bincount(column[t], minlength=len(used) + 1)[:-1] for t in sample] or [np.ones(len(used))]
+    counts = np.stack(counts).astype(np.float32)
     length = np.maximum(counts.sum(axis=1, keepdims=True), 1)
     posterior = rng.dirichlet(np.full(states, 0.3), len(counts))
     for _ in range(25):
@@ -299,8 +304,8 @@ def baum_welch(texts: DataFrame, model: Model, mass: np.ndarray) -> tuple[Model,
     cols = [f"s{s}" for s in range(states)]
     sums = texts.select("classes").mapInArrow(run, "id int, " + ", ".join(f"{c} double" for c in cols)).groupBy("id").agg(*[F.sum(c).alias(c) for c in cols])
     table = np.zeros((N_CLASSES + states + 2, states))
-    for r in sums.collect():  # a row for each class: bounded by N_CLASSES
-        table[r["id"]] = r[1:]
+    found = sums.toArrow()  # a row for each class: bounded by N_CLASSES
+    table[found.column("id").to_numpy()] = np.stack([found.column(c).to_numpy() for c in cols], axis=1)
     return Model.from_counts(table[N_CLASSES + states], table[N_CLASSES : N_CLASSES + states], table[:N_CLASSES], mass), float(table[-1, 0])
 
 
@@ -316,7 +321,10 @@ def language_scores(docs: DataFrame, states: int = STATES, iterations: int = ITE
     texts, total, distinct, mass = classed(docs, scratch, key, text)
     training = texts.where("fold != 1")
     by_hash = F.xxhash64(F.lit(41), "doc")
-    sample = training.where(F.octet_length("classes") <= 1 << 15).orderBy(by_hash, "doc", "classes").select("classes").limit(GUESS_DOCS).collect()
+    # A thinned choice first, as each task would send the driver as many rows as it wants in all.
+    every = max(1, training.count() // (2 * GUESS_DOCS))
+    sample = training.where((F.octet_length("classes") <= 1 << 15) & (F.pmod(by_hash, F.lit(every)) == 0))
+    sample = sample.orderBy(by_hash, "doc", "classes").select("classes").limit(GUESS_DOCS).collect()
     model = first_guess([np.frombuffer(r["classes"], "<u2") for r in sample], mass, states)
     for _ in range(iterations if total else 0):
         model, _ = baum_welch(training, model, mass)

@@ -20,6 +20,8 @@ RATE = 5512
 FRAME, HOP = 2048, 690
 LOWEST_HZ, HIGHEST_HZ = 28.0, 2700.0
 SPAN = 8
+#: Recordings that a task makes or reads at once, some 6 MB of the synthesised ones.
+BATCH_RECORDINGS = 64
 #: Weights of a frame and its neighbours in the smoothed image.
 SMOOTHING = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
 #: A filter's response below, between and above these gives 0 to 3.
@@ -95,12 +97,13 @@ def synthesised(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
         waves = np.stack([(np.sin(2 * np.pi * f * t) + 0.5 * np.sin(4 * np.pi * f * t)) * 9000 for f in scale]).astype(np.int16)
         edges = np.array([-0.431, 0.431])  # a normal variable takes the three levels equally often
         for batch in batches:
-            out = []
-            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.nan_to_num(np.array(v or [], np.float64))
-                spread = np.sqrt((x * x).mean()) if len(x) else 1.0
-                out.append(waves[np.digitize(x / (spread or 1.0), edges)][(k or 0) % shift :].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["k", "audio"])
+            for first in range(0, batch.num_rows, BATCH_RECORDINGS):
+                part, out = batch.slice(first, BATCH_RECORDINGS), []
+                for k, v in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    x = np.nan_to_num(np.array(v or [], np.float64))
+                    spread = np.sqrt((x * x).mean()) if len(x) else 1.0
+                    out.append(waves[np.digitize(x / (spread or 1.0), edges)][(k or 0) % shift :].tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], ["k", "audio"])
 
     kind = dict(vectors.dtypes)[key]
     return vectors.select(key, vector).mapInArrow(run, f"k {kind}, audio binary").withColumnRenamed("k", key)
@@ -111,8 +114,8 @@ def fingerprints(recordings: DataFrame, rate: int = RATE, key: str = "vec_id", a
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, BATCH_RECORDINGS):
+                part = batch.slice(at, BATCH_RECORDINGS)
                 raw = [x.as_buffer() if x.is_valid else b"" for x in part.column(1)]
                 found = [fingerprint(np.frombuffer(x, "<i2", len(x) // 2), rate).view(np.int32) for x in raw]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], ["k", "prints"])

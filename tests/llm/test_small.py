@@ -182,6 +182,45 @@ def test_near_classes_of_one_large_group(spark):
     assert wrong == 0
 
 
+def truncated_group():
+    """Pairs of copies of one text, more alike than the pairs are to each other, and copies that lack a piece."""
+    rng = random.Random(21)
+    base, out = words(rng, 200).split(), []
+
+    def edited(w, n):
+        w = list(w)
+        for i in rng.sample(range(len(w)), n):
+            w[i] = words(rng, 1) + str(rng.randrange(10**6))
+        return w
+
+    for _ in range(120):
+        w = edited(base, 2)
+        out += [edited(w, 2), edited(w, 2)]
+    for i in range(100):
+        at = rng.randrange(200)
+        out.append([*(base[at:] + base[:at])[:146], f"end{i}"])
+    return [(i, " ".join(w)) for i, w in enumerate(out)]
+
+
+def links_by_hand(spark, found, threshold=0.8):
+    """All pairs of texts that share a bucket and are as similar as the threshold."""
+    df = spark.createDataFrame(found, "doc_id long, text string")
+    signed = near_join.signatures(df, *near_join.bands_for(threshold), 5, 11, "text", "doc_id").collect()
+    bands = {r["doc"]: set(r["bands"]) for r in signed}
+    grams = {d: frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for d, w in ((d, t.split()) for d, t in found)}
+    pairs = [(a, b) for a, _ in found for b, _ in found if a < b and bands[a] & bands[b]]
+    return [(a, b) for a, b in pairs if len(grams[a] & grams[b]) >= threshold * len(grams[a] | grams[b])]
+
+
+def test_near_classes_of_a_group_with_truncated_copies(spark, monkeypatch):
+    monkeypatch.setattr(near_join, "HUBS", 1)
+    found = truncated_group()
+    got = {r["doc_id"]: r["class_id"] for r in near_join.near_classes(spark.createDataFrame(found, "doc_id long, text string")).collect()}
+    links = links_by_hand(spark, found)
+    assert len(links) > 100 and len(set(got.values())) > 20
+    assert [(a, b) for a, b in links if got[a] != got[b]] == []
+
+
 def test_bands():
     bands, r = near_join.bands_for(0.8, 0.999)
     assert 1 - (1 - 0.8**r) ** bands >= 0.999 and bands * r <= 160

@@ -186,10 +186,11 @@ def near_classes(
     roots = components(scratch, checked.where(F.col("jaccard") >= threshold))
 
     rooted = placed.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    several = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least"))
-    several = several.where("lo != hi").select("band", "least")
-    # A set that shares too little with any set of the bucket's least size drops out.
-    open_ = rooted.join(several, "band").where(_possible(threshold, "n", "own", "least", F.lit(0)))
+    several = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
+    several = several.where("lo != hi").select("band", "least", "most")
+    # A set of n drops out if it shares too little with any set of a size in the bucket; the best size is what it has in common.
+    best = F.least("most", F.greatest("least", F.col("n") - F.col("own")))
+    open_ = rooted.join(several, "band").where(_possible(threshold, "n", "own", best, F.lit(0)))
     rest = scratch.keep(_across(open_, reps, checked, threshold))
     if rest.head(1):
         more = scratch.keep(verified(rest, sets))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tidewell.llm import chat, chroma, decontamination, hmm, licenses, near_join, packing, quality, repeats, sharding
+from tidewell.llm import chat, chroma, decontamination, hmm, licenses, near_join, packing, quality, queries, repeats, sharding
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kd long, kt string, row string, spans string, k int, _doc int, _hash int, text_hash int, doc int, n int, bucket int"
 
@@ -127,6 +127,18 @@ def test_sharding(docs, none, tmp_path):
     assert docs.sparkSession.read.parquet(str(tmp_path / "out")).count() == len(rows())
 
 
+def test_sharding_query_reads_what_it_wrote(docs, none, spark, tmp_path):
+    want = sharding.shuffle_into_shards(docs, 40, payload=[]).drop("record").collect()
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.op3_sharding(spark, str(tmp_path))
+    assert Counter(map(tuple, out.collect())) == Counter(map(tuple, want)) and out.columns == list(want[0].__fields__)
+    at = {f.rsplit("/shard=", 1)[0] for f in out.inputFiles()}
+    assert len(at) == 1
+    kept = spark.read.parquet(at.pop())
+    assert Counter((r["key"], r["text"], *r["rest"]) for r in kept.collect()) == Counter(rows())
+    assert sharding.written_shards(none).count() == 0
+
+
 def classes_by_hand(found, threshold=0.8):
     def grams(t):
         w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", clean(t).lower())

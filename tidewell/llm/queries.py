@@ -26,9 +26,9 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidewell.llm.sharding import shuffle_into_shards
+    from tidewell.llm.sharding import written_shards
 
-    return shuffle_into_shards(table(spark, sf_dir, "documents"), n_shards=40, payload=[]).drop("record")
+    return written_shards(table(spark, sf_dir, "documents"), n_shards=40)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

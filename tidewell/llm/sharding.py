@@ -11,6 +11,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
+from tidewell.llm.common import Scratch
 
 RECORD_BYTES = 16
 BUCKET_BYTES = 32 << 20
@@ -99,3 +102,26 @@ def write_shards(docs: DataFrame, path: str, n_shards: int = 40, **options) -> N
     """Write each shard's records, in slot order within a file, to ``path/shard=<n>/``."""
     out = shuffle_into_shards(docs, n_shards, **options)
     out.select("record.*", "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def written_shards(docs: DataFrame, n_shards: int = 40, seed: int = 17, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The columns of ``shuffle_into_shards`` but the record, as read back from shards that hold the whole records.
+
+    Size, checksum and slot are those of what was written. Columns of ``docs`` may have any name.
+    """
+    path = f"{Scratch(docs.sparkSession, 'shards').root}/shards"
+    whole = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.struct(*[F.col(c) for c in docs.columns if c not in (key, text)]).alias("rest"))
+    if len(docs.columns) == len({key, text}):
+        whole = whole.drop("rest")
+    write_shards(whole, path, n_shards, seed=seed, key="key", text="text", **options)
+    schema = StructType([*whole.schema, StructField("shard", IntegerType()), StructField("slot", LongType())])
+    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return docs.sparkSession.read.schema(schema).parquet(path).select(
+        F.col("key").alias(key),
+        (F.octet_length(body) + F.lit(RECORD_BYTES)).cast("long").alias("size"),
+        F.crc32(body).alias("text_crc32"),
+        F.lit("key").alias("law"),
+        "shard",
+        "slot",
+        shard_of(F.col("key"), n_shards + 1, seed).alias("grown_shard"),
+    )

@@ -233,6 +233,24 @@ def test_near_classes_of_a_group_with_truncated_copies(spark, monkeypatch):
     assert [(a, b) for a, b in links if got[a] != got[b]] == []
 
 
+@pytest.mark.parametrize("block", [16, 256])
+def test_links_of_one_large_group(spark, monkeypatch, block):
+    monkeypatch.setattr(near_join.link_counts, "__defaults__", (block,))
+    rng = random.Random(9)
+    base, found = words(rng, 150).split(), []
+    for i in range(120):
+        w = list(base)
+        for _ in range(rng.randint(1, 5)):
+            w[rng.randrange(len(w))] = words(rng, 1) + str(i)
+        found.append((i, " ".join(w)))
+    grams = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (t.split() for _, t in found)]
+    got = near_join.near_classes(spark.createDataFrame(found, "doc_id long, text string")).collect()
+    cls = {r["doc_id"]: r["class_id"] for r in got}
+    want = {i: sum(i != j and cls[i] == cls[j] and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(grams)) for i, a in enumerate(grams)}
+    assert max(want.values()) > 40
+    assert {r["doc_id"]: r["n_links"] for r in got} == want
+
+
 def test_bands():
     bands, r = near_join.bands_for(0.8, 0.999)
     assert 1 - (1 - 0.8**r) ** bands >= 0.999 and bands * r <= 160

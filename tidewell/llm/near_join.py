@@ -21,6 +21,8 @@ from tidewell.llm.common import Scratch, text_hash
 
 #: Members that meet one copy of a hub's set in one task.
 FAN = 64
+#: Sets of one component that meet those of another such block, or each other, at once.
+BLOCK = 256
 #: Hubs of a bucket: the one with the fewest n-grams of its own, and others by a hash.
 HUBS = 3
 
@@ -140,14 +142,78 @@ def verified(pairs: DataFrame, sets: DataFrame, fan: int = FAN) -> DataFrame:
     return out.select("a", "b", (F.col("shared") / F.greatest(F.col("total") - F.col("shared"), F.lit(1))).alias("jaccard"))
 
 
+def link_counts(roots: DataFrame, sets: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """set_id, n_links: to how many other sets of its component each set is as similar as the threshold.
+
+    All pairs of a component are compared, as links never leave one. The sets of a component are dealt into blocks by a
+    hash, and each two blocks meet in a group of their own, which gives counts only. So a set is copied once for each
+    block, and the comparisons, not the rows, grow with the square of a component.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch]).combine_chunks()
+            edges = _group_edges(part)
+            for lo, hi in zip(edges[:-2], edges[1:-1], strict=True):
+                yield from _counted(part.slice(lo, hi - lo), threshold)
+            rest = part.slice(edges[-2]) if len(edges) > 1 else None
+        if rest is not None:
+            yield from _counted(rest, threshold)
+
+    blocks = roots.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64(F.lit(5), "node"), F.col("blocks")).cast("int")
+    dealt = roots.join(blocks, "root").select("root", F.col("node").alias("set_id"), own.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "set_id", (F.col("mine") > F.col("other")).alias("second"))
+    met = dealt.join(sets, "set_id").select("root", "i", "j", "set_id", "second", "grams")
+    met = met.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    return met.mapInArrow(run, "set_id binary, n long").groupBy("set_id").agg(F.sum("n").alias("n_links"))
+
+
+def _group_edges(part: pa.Table) -> list[int]:
+    """Where groups of equal (root, i, j) start in sorted rows, and the end."""
+    keys = list(zip(*(part.column(c).to_pylist() for c in ("root", "i", "j")), strict=True))
+    return [k for k in range(len(keys)) if k == 0 or keys[k] != keys[k - 1]] + [len(keys)]
+
+
+def _counted(part: pa.Table, threshold: float, width: int = 2048) -> Iterator[pa.RecordBatch]:
+    """set_id, n of the sets in one meeting of two blocks, or of one with itself."""
+    part = part.combine_chunks()
+    n, grams = part.num_rows, part.column("grams").combine_chunks()
+    if n < 2:
+        return
+    sizes = grams.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(n), sizes)
+    _, at, times = np.unique(grams.flatten().to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
+    # A gram of one set is shared by no pair.
+    number = np.cumsum(times > 1) - 1
+    keep = times[at] > 1
+    row, at = row[keep], number[at[keep]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    shared = np.zeros((n, n), np.float32)
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+        a, b = np.searchsorted(at, [lo, lo + width])
+        has = np.zeros((n, width), np.float32)
+        has[row[a:b], at[a:b] - lo] = 1
+        shared += has @ has.T
+    shared = shared.astype(np.float64)
+    linked = shared / np.maximum(sizes[:, None] + sizes[None, :] - shared, 1) >= threshold
+    np.fill_diagonal(linked, False)
+    if part.column("i")[0].as_py() != part.column("j")[0].as_py():
+        second = part.column("second").to_numpy()
+        linked &= second[:, None] != second[None, :]
+    yield pa.RecordBatch.from_arrays([part.column("set_id").combine_chunks(), pa.array(linked.sum(axis=1), pa.int64())], ["set_id", "n"])
+
+
 def near_classes(
     docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.999, seed: int = 11, key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """Every row with its class of near copies.
 
     Returns key, text_hash, class_id (the least key in the class), class_rank (0 for one row of the class, the one with the
-    least key), class_size (rows), set_id and n_links: to how many other sets the row's set has a verified
-    link. Texts belong to one class if links of similarity ``threshold`` or more lead from one to the other.
+    least key), class_size (rows), set_id and n_links: to how many other sets of its class the row's set is as similar as
+    the threshold. Texts belong to one class if links of similarity ``threshold`` or more lead from one to the other.
 
     A null text counts as empty. All texts without words are one class; a text of fewer than ``n`` words has one gram of
     all its words. Repeated rows are in one class, and each is returned. A null key orders last. An empty table gives
@@ -196,16 +262,8 @@ def near_classes(
         more = scratch.keep(verified(rest, sets))
         found = more.where(F.col("jaccard") >= threshold).select("a", "b")
         roots = components(scratch, found.union(roots.select("node", "root")))
-        checked = checked.union(more)
-
-    links = checked.where(F.col("jaccard") >= threshold)
-    degree = (
-        links.select(F.col("a").alias("set_id"), F.col("b").alias("o"))
-        .union(links.select("b", "a"))
-        .distinct()
-        .groupBy("set_id")
-        .agg(F.count(F.lit(1)).alias("n_links"))
-    )
+
+    degree = link_counts(roots, sets, threshold)
     of_set = reps.select("set_id", "rep").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").join(degree, "set_id", "left")
     of_set = of_set.select("set_id", "rep", F.coalesce("root", "set_id").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     sizes = signed.groupBy("set_id").agg(F.count(F.lit(1)).alias("copies"))

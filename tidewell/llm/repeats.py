@@ -30,7 +30,8 @@ POSITION_BITS = 24
 #: Contexts of one gram that one task expands, some 100 MB. Those of a more frequent gram meet by the hashes of all their strings instead.
 GROUP_CONTEXTS = 50_000
 BATCH_CONTEXTS = 16_000
-NO_DOC = -(2**63)
+#: Anchors of the texts that meet in one chunk before they meet those of others, some 40 MB of text.
+CHUNK_ANCHORS = 250_000
 
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -192,14 +193,22 @@ def _runs(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keyed(docs: DataFrame, key: str, text: str, *others) -> DataFrame:
-    """kd and kt, which name a row's number and text, with the number, the text and other columns."""
-    kd = F.coalesce(F.col(key).cast("long"), F.lit(NO_DOC)).alias("kd")
-    return docs.select(kd, text_hash(text).alias("kt"), F.col(key).alias("doc"), F.col(text).alias("text"), *others)
+    """kd and kt, which name a row's number (of any type) and text, with the number, the text and other columns."""
+    return docs.select(F.xxhash64(F.lit(3), F.col(key)).alias("kd"), text_hash(text).alias("kt"), F.col(key).alias("doc"), F.col(text).alias("text"), *others)
 
 
-def repeated_spans(docs: DataFrame, minimum: int = MINIMUM, gram: int = GRAM, key: str = "doc_id", text: str = "text", group_contexts: int = GROUP_CONTEXTS):
-    """(summary, spans): for every row kd, kt, its key, n_bytes and sha256; and for those with repeats the
-    byte ranges [(s, e), ...] in arbitrary order, which may overlap. kd and kt name a row's number and text."""
+def repeated_spans(
+    docs: DataFrame, minimum: int = MINIMUM, gram: int = GRAM, key: str = "doc_id", text: str = "text", group_contexts: int = GROUP_CONTEXTS, chunk_anchors: int = CHUNK_ANCHORS,
+):
+    """(summary, copies, spans).
+
+    summary has for every row kd, kt, its key, n_bytes and sha256. copies has the sha256 of the texts of at least the minimum
+    that several rows have: all their bytes are repeated. spans has kd, kt and the byte ranges [(s, e), ...] of other
+    texts with repeats, in arbitrary order and perhaps overlapping.
+
+    A text that many rows have is looked at once. Anchors of the texts of a chunk meet first, so a passage
+    that many texts share makes one row for each chunk and not for each text.
+    """
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
     keyed = _keyed(docs, key, text)
@@ -225,19 +234,100 @@ def repeated_spans(docs: DataFrame, minimum: int = MINIMUM, gram: int = GRAM, ke
         anchors, f"kd long, kt long, doc {kind}, n_bytes long, sha256 string, places array<int>, grams array<long>, contexts array<long>"
     )
     summary = scratch.keep(made)
-    each = summary.select("kd", "kt", "n_bytes", F.explode(F.arrays_zip("places", "grams", "contexts")).alias("z")).select(
-        "kd", "kt", "n_bytes", F.col("z.places").alias("place"), F.col("z.grams").alias("gram"), F.col("z.contexts").alias("context"),
-    )
-    alike = scratch.keep(each.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("kd", "kt", "place")).alias("one")))
-    settled = each.join(alike.where("n > 1").select("gram", "context"), ["gram", "context"])
-    settled = settled.select(
-        "kd", "kt", F.greatest(F.lit(0), F.col("place") + (gram - minimum)).cast("long").alias("s"), F.least(F.col("n_bytes"), F.col("place") + minimum).cast("long").alias("e"),
-    )
+    long_enough = summary.where(F.col("n_bytes") >= minimum)
+    copies = long_enough.groupBy("sha256").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("sha256")
+    once = long_enough.groupBy("sha256").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("kd", "kt", "n_bytes", "places", "grams", "contexts")).alias("t"))
+    once = once.select("copies", "t.*")
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of texts (places, and which of the chunk's anchors is there) and rows of the chunk's different anchors."""
+        from pyspark import TaskContext
+
+        names = ["chunk", "kd", "kt", "n_bytes", "places", "which", "anchor", "gram", "context", "n", "place"]
+        chunk, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            part = pa.Table.from_batches(held).combine_chunks()
+            kd, kt, copies = (part.column(c).to_numpy() for c in ("kd", "kt", "copies"))
+            place, g, c = (part.column(x).combine_chunks().flatten().to_numpy(zero_copy_only=False) for x in ("places", "grams", "contexts"))
+            lengths = part.column("places").combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            order = np.lexsort((c, g))
+            starts = np.ones(len(order), bool)
+            starts[1:] = (g[order][1:] != g[order][:-1]) | (c[order][1:] != c[order][:-1])
+            which = np.empty(len(order), np.int32)
+            which[order] = np.cumsum(starts) - 1
+            first = order[starts]  # lexsort is stable: the first text of the chunk that has the anchor
+            times = np.bincount(which, minlength=len(first)).astype(np.int64)
+            owner = np.repeat(np.arange(len(lengths)), lengths)[first]
+            none = lambda n, t: pa.nulls(n, t)
+            ints = pa.list_(pa.int32())
+            single = np.flatnonzero(copies == 1)
+            edges = np.concatenate(([0], np.cumsum(lengths))).tolist()
+            n = len(single)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(n, chunk)), pa.array(kd[single]), pa.array(kt[single]), pa.array(part.column("n_bytes").to_numpy()[single]),
+                    pa.array([place[edges[i] : edges[i + 1]] for i in single.tolist()], ints), pa.array([which[edges[i] : edges[i + 1]] for i in single.tolist()], ints),
+                    none(n, pa.int32()), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.int64()), none(n, pa.int32()),
+                ],
+                names,
+            )
+            for at in range(0, len(first), 50_000):
+                f = first[at : at + 50_000]
+                n = len(f)
+                o = owner[at : at + n]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(n, chunk)), pa.array(kd[o]), pa.array(kt[o]), none(n, pa.int64()), none(n, ints), none(n, ints),
+                        pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(g[f]), pa.array(c[f]), pa.array(times[at : at + n]), pa.array(place[f]),
+                    ],
+                    names,
+                )
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                held.append(part)
+                size += len(part.column(part.schema.get_field_index("places")).flatten())
+                if size >= chunk_anchors:
+                    yield from flush()
+                    chunk, held, size = chunk + 1, [], 0
+        if held:
+            yield from flush()
+
+    fields = "chunk long, kd long, kt long, n_bytes long, places array<int>, which array<int>, anchor int, gram long, context long, n long, place int"
+    chunked = scratch.keep(once.mapInArrow(chunks, fields))
+    each = chunked.where("anchor is not null").select("chunk", "anchor", "gram", "context", "n", "kd", "kt", "place")
+    alike = scratch.keep(each.groupBy("gram", "context").agg(F.sum("n").alias("n"), F.min(F.struct("kd", "kt", "place")).alias("one")))
+    repeated = each.select("chunk", "anchor", "gram", "context").join(alike.where("n > 1").select("gram", "context"), ["gram", "context"]).select(F.col("chunk").alias("of"), "anchor")
+
+    def settle(texts: pa.Table, hot: pa.Table) -> pa.Table:
+        """The merged ranges of each text around its repeated anchors."""
+        texts = texts.combine_chunks()
+        lengths = texts.column("places").combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) if texts.num_rows else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(texts.num_rows), lengths)
+        which = texts.column("which").combine_chunks().flatten().to_numpy(zero_copy_only=False) if len(owner) else np.zeros(0, np.int32)
+        hit = np.zeros(max(int(which.max(initial=0)), int(hot.column("anchor").to_numpy().max(initial=0))) + 1, bool)
+        hit[hot.column("anchor").to_numpy()] = True
+        on = np.flatnonzero(hit[which])
+        owner = owner[on]
+        place = texts.column("places").combine_chunks().flatten().to_numpy(zero_copy_only=False)[on].astype(np.int64) if len(on) else np.zeros(0, np.int64)
+        s = np.maximum(0, place + gram - minimum)
+        e = np.minimum(texts.column("n_bytes").to_numpy()[owner], place + minimum)
+        opens = np.ones(len(s), bool)  # places ascend, and so do both ends
+        opens[1:] = (owner[1:] != owner[:-1]) | (s[1:] > e[:-1])
+        closes = np.append(opens[1:], True) if len(opens) else opens
+        at = owner[opens]
+        return pa.table({"kd": texts.column("kd").to_numpy()[at], "kt": texts.column("kt").to_numpy()[at], "s": s[opens], "e": e[closes]})
+
+    texts = chunked.where("anchor is null").select("chunk", "kd", "kt", "n_bytes", "places", "which")
+    settled = texts.groupBy("chunk").cogroup(repeated.groupBy("of")).applyInArrow(settle, "kd long, kt long, s long, e long")
 
     mixed = alike.groupBy("gram").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("gram", "k")
     wanted = alike.join(mixed, "gram").select("one.*", "gram", "n", "k")
     wanted = wanted.groupBy("kd", "kt").agg(F.collect_list(F.struct("place", "gram", "n", "k")).alias("at"))
-    held = keyed.select("kd", "kt", "text").join(wanted, ["kd", "kt"])
+    # Rows that repeat number and text are one text.
+    held = keyed.select("kd", "kt", "text").join(wanted, ["kd", "kt"]).dropDuplicates(["kd", "kt"])
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kd", "kt", "place", "gram", "n", "k", "before", "after"]
@@ -310,8 +400,10 @@ def repeated_spans(docs: DataFrame, minimum: int = MINIMUM, gram: int = GRAM, ke
     many = found.where(F.col("k") > group_contexts).mapInArrow(strings, "kd long, kt long, n long, gram long, s long, back long, hash long")
     twice = many.groupBy("gram", "back", "hash").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram", "back", "hash")
     many = many.where("n = 1").join(twice, ["gram", "back", "hash"]).select("kd", "kt", "s", (F.col("s") + minimum).alias("e"))
+    single = chunked.where("anchor is null").select("kd", "kt")
     spans = settled.unionByName(few).unionByName(many).groupBy("kd", "kt").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    return summary, spans
+    spans = spans.join(single, ["kd", "kt"], "left_semi")
+    return summary, copies, spans
 
 
 def _merged(spans: list) -> list[tuple[int, int]]:
@@ -339,9 +431,14 @@ def repeat_summary(docs: DataFrame, minimum: int = MINIMUM, gram: int = GRAM, ke
     strings never cross texts. A null text is empty. Repeated rows are texts like any other, so they
     remove each other if long enough. A null key is kept. An empty table gives an empty result. Other columns are ignored.
     """
-    summary, spans = repeated_spans(docs, minimum, gram, key, text, **options)
+    summary, copies, spans = repeated_spans(docs, minimum, gram, key, text, **options)
     kind = dict(docs.dtypes)[key]
-    clean = summary.join(spans.select("kd", "kt"), ["kd", "kt"], "left_anti").select(
+    rows = summary.select("kd", "kt", "doc", "n_bytes", "sha256").join(copies.withColumn("whole", F.lit(True)), "sha256", "left")
+    whole = rows.where("whole").select(
+        F.col("doc").alias(key), "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256"),
+    )
+    single = rows.where("whole is null")
+    clean = single.join(spans.select("kd", "kt"), ["kd", "kt"], "left_anti").select(
         F.col("doc").alias(key), "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha256").alias("kept_sha256"),
     )
 
@@ -356,15 +453,21 @@ def repeat_summary(docs: DataFrame, minimum: int = MINIMUM, gram: int = GRAM, ke
             yield pa.RecordBatch.from_arrays([batch.column("doc"), *cols], [key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     held = _keyed(docs, key, text).join(spans, ["kd", "kt"])
-    return clean.unionByName(held.select("doc", "text", "spans").mapInArrow(run, f"{key} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    cut = held.select("doc", "text", "spans").mapInArrow(run, f"{key} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return clean.unionByName(whole).unionByName(cut)
 
 
 def remove_repeats(docs: DataFrame, minimum: int = MINIMUM, gram: int = GRAM, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows with their columns, the text without its repeated bytes.
 
-    A character of which only some bytes go leaves none behind. Texts without repeats stay as they are, null included.
+    A character of which only some bytes go leaves none behind. Texts without repeats stay as they are, null included;
+    the others have a text, which is empty if all of it goes. Texts that several rows have go whole if they are at
+    least as long as the minimum. An empty table gives an empty result; other columns may have any names.
     """
-    _, spans = repeated_spans(docs, minimum, gram, key, text, **options)
+    summary, copies, spans = repeated_spans(docs, minimum, gram, key, text, **options)
+    every = F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("n_bytes").alias("e")))
+    whole = summary.join(copies, "sha256").select("kd", "kt", "n_bytes").distinct().select("kd", "kt", every.alias("spans"))
+    spans = spans.join(whole.select("kd", "kt"), ["kd", "kt"], "left_anti").unionByName(whole)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

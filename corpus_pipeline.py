@@ -38,9 +38,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.groupBy("k", "h").agg(F.first("row").alias("row")).select("row.*")
 
 
+#: Bytes of the shortest passage that counts as repeated, some 50 words of four letters and a space.
+PASSAGE_BYTES = 256
+#: Bytes by which such passages find each other.
+PASSAGE_GRAM = 64
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings of 400 bytes that occur elsewhere; n_chars follows the text."""
-    out = remove_repeats(docs)
+    """Texts without passages of ``PASSAGE_BYTES`` that occur elsewhere, in the same text or another; n_chars follows the text.
+
+    Every document stays. Texts without repeats stay as they are, null ones included; repeated rows of such length lose
+    their whole text. An empty table gives an empty result.
+    """
+    out = remove_repeats(docs, PASSAGE_BYTES, PASSAGE_GRAM)
     if "n_chars" in docs.columns:
         changed = F.char_length("text").cast(out.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.coalesce(changed, F.col("n_chars")))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import held_out_fold
+from tidewell.llm.common import held_out_fold, let_workers_import
 
 #: White-space separated tokens of a passage.
 PASSAGE_TOKENS = 64
@@ -30,7 +30,9 @@ for _i, _chars in enumerate(CLASSES):
     BYTE_CLASS[list(_chars.encode())] = _i + 1
 BYTE_CLASS[128:] = len(CLASSES) + 1
 N_CLASSES = len(CLASSES) + 2
-N_FEATURES = N_CLASSES + 10
+#: Slots for hashed words.
+WORD_SLOTS = 64
+N_FEATURES = N_CLASSES + 10 + WORD_SLOTS
 
 
 def passage_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,15 +81,21 @@ def passage_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
         twice[order[:-1][same]] = True
         return twice
 
-    pair = hashes.copy()
-    pair[:-1] = pair[:-1] * np.uint64(31) + hashes[1:]
+    # Pairs of neighbours within a document; a document's last token starts none.
+    inner = np.flatnonzero(doc_of_token[1:] == doc_of_token[:-1])
+    twice = np.zeros(len(hashes), bool)
+    twice[inner] = repeated(hashes[inner] * np.uint64(31) + hashes[inner + 1] + docs[inner])
     columns = [
         np.log(per_passage(lengths) / k + 1) / 3, per_passage((upper > 1) & (lower == 0)) / k, per_passage((upper > 0) & (lower > 0)) / k,
-        per_passage(last >= 9) / k, per_passage((last == 8) & (lengths > 1)) / k, per_passage(repeated(hashes + docs)) / k, per_passage(repeated(pair + docs)) / k,
+        per_passage(last >= 9) / k, per_passage((last == 8) & (lengths > 1)) / k, per_passage(repeated(hashes + docs)) / k, per_passage(twice) / k,
         per_passage(repeated(hashes + passage.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) / k, np.log(k) / 4, np.log(np.repeat(tokens, passages) + 1.0) / 8,
     ]
     for i, c in enumerate(columns):
         out[:, N_CLASSES + i] = c
+    # Words by themselves: how many of a passage's tokens fall in each slot of a hash.
+    slot = (hashes % np.uint64(WORD_SLOTS)).astype(np.int64)
+    spread = np.bincount(passage * WORD_SLOTS + slot, minlength=m * WORD_SLOTS).reshape(m, WORD_SLOTS)
+    out[:, N_CLASSES + len(columns) :] = np.sqrt(spread / k[:, None])
     return out, passages
 
 
@@ -118,6 +126,20 @@ class AttentionModel:
     def score(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         return self._forward(x.astype(np.float64), sizes)["y"]
 
+    def gradients(self, x: np.ndarray, sizes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the weighted mean of the documents' log losses."""
+        p, f = self.p, self._forward(x, sizes)
+        err = (f["y"] - labels) * weights / len(labels)
+        dz = np.repeat(err[:, None] * p["c"], sizes, axis=0)
+        da = (dz * f["h"]).sum(axis=1)
+        ds = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, f["at"]), sizes))
+        dt = ds[:, None] * p["w"] * f["g"] * (1 - f["t"] ** 2)
+        dg = ds[:, None] * p["w"] * f["t"] * f["g"] * (1 - f["g"])
+        dh = dz * f["a"][:, None] + dt @ p["V"].T + dg @ p["U"].T
+        de = dh * (1 - f["h"] ** 2)
+        xb = (x - self.mean) / self.scale
+        return {"E": xb.T @ de, "e": de.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": (f["t"] * f["g"]).T @ ds, "c": f["z"].T @ err, "b": np.array([err.sum()])}
+
     def fit(self, x: np.ndarray, sizes: np.ndarray, labels: np.ndarray, weights: np.ndarray, epochs: int = 60, rate: float = 0.01, decay: float = 1e-4, seed: int = 3) -> None:
         x = x.astype(np.float64)
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
@@ -132,17 +154,7 @@ class AttentionModel:
                 docs = order[at : at + 64]
                 n = sizes[docs]
                 rows = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in docs])
-                xb = (x[rows] - self.mean) / self.scale
-                f = self._forward(x[rows], n)
-                err = (f["y"] - labels[docs]) * weights[docs] / len(docs)
-                dz = np.repeat(err[:, None] * p["c"], n, axis=0)
-                da = (dz * f["h"]).sum(axis=1)
-                ds = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, f["at"]), n))
-                dt = ds[:, None] * p["w"] * f["g"] * (1 - f["t"] ** 2)
-                dg = ds[:, None] * p["w"] * f["t"] * f["g"] * (1 - f["g"])
-                dh = dz * f["a"][:, None] + dt @ p["V"].T + dg @ p["U"].T
-                de = dh * (1 - f["h"] ** 2)
-                grads = {"E": xb.T @ de, "e": de.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": (f["t"] * f["g"]).T @ ds, "c": f["z"].T @ err, "b": np.array([err.sum()])}
+                grads = self.gradients(x[rows], n, labels[docs], weights[docs])
                 step += 1
                 lr = rate * (0.5 + 0.5 * np.cos(np.pi * epoch / epochs))
                 for k, v in p.items():
@@ -163,17 +175,19 @@ def _batched(batch: pa.RecordBatch, column: int, most_bytes: int = 1 << 20) -> I
         i = j
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, key: str = "doc_id", text: str = "text", label: str = "quality") -> AttentionModel:
+def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, sample_text_bytes: int = SAMPLE_TEXT_BYTES, key: str = "doc_id", text: str = "text", label: str = "quality") -> AttentionModel:
     """Learn from at most ``per_label`` documents of each label, chosen by a hash of their number.
 
-    Rows of the held-out fold, without a label or with a null number aren't used; of several labels for a number the
-    least counts. Each label weighs as much as it has among all rows that may be used.
+    Rows of the held-out fold, without a label, with a null number or null text, or with a text of over
+    ``sample_text_bytes`` aren't used for learning; of several labels or texts for a number the least counts. Each label weighs as much as it has among all rows that may be used.
     """
     usable = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (held_out_fold(key) != 0)).groupBy(key).agg(F.min(label).alias("y"))
     share = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = [usable.where(F.col("y") == y).orderBy(F.xxhash64(F.lit(23), key), key).limit(per_label) for y in (0, 1)]
     picked = F.broadcast(chosen[0].union(chosen[1]))  # 2 * per_label rows at most
-    sample = docs.where(F.octet_length(text) <= SAMPLE_TEXT_BYTES).select(F.col(key), F.col(text).alias("text")).join(picked, key)
+    # One text for each number, the least, so that what reaches the driver is bounded however often a number occurs.
+    sample = docs.where(F.octet_length(text) <= sample_text_bytes).select(F.col(key), F.col(text).alias("text")).join(picked, key)
+    sample = sample.groupBy(key, "y").agg(F.min("text").alias("text")).select(key, "text", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,11 +232,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     Null numbers are scored. Without labels the untrained model scores. An empty table gives an empty result. Columns other
     than the number and the text are no input.
     """
+    let_workers_import(docs.sparkSession)
     return scored(docs, train(docs, labels, key=key, text=text, **options), threshold, key, text)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows that aren't rejected, with all their columns."""
+    """The rows that aren't rejected, with all their columns, whatever these are called.
+
+    Null and empty texts are scored like any other, repeated rows stay or go together, and an empty table gives an
+    empty result.
+    """
+    let_workers_import(docs.sparkSession)
     model = train(docs, labels, key=key, text=text, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

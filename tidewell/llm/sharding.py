@@ -49,8 +49,9 @@ def shuffle_into_shards(
 
     A null text counts as empty; rows with a null key are one key. Repeated rows keep their number and
     each gets a slot of its own. Rows of one key with other texts share the shard but are spread
-    over its buckets. Ties of the seeded order are broken by key, size and checksum, so the result depends
-    on the rows alone. An empty table gives an empty result.
+    over its buckets; a row that is repeated is in one bucket as often, so what one task holds is bounded by the
+    bucket's size and the copies of one row. Ties of the seeded order are broken by key, size and checksum, and the
+    result depends on the rows, the seed and the number of shards, not on how the input or the shuffles are split. An empty table gives an empty result.
     """
     payload = docs.columns if payload is None else payload
     body = F.coalesce(F.col(text), F.lit(""))
@@ -78,12 +79,15 @@ def shuffle_into_shards(
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
 
     cells = ["seeded", "k", "size", "crc", "moves", "record"]
+    # Spark seeds ``shuffle`` by the partition as well and goes on from row to row, so both must follow from the rows alone:
+    # a partition for each few buckets, whatever the session's settings, and its buckets in order.
     buckets = (
-        rows.groupBy("shard", "bucket")
+        rows.repartition(n_shards * per_shard, "shard", "bucket")
+        .groupBy("shard", "bucket")
         .agg(F.sort_array(F.collect_list(F.struct(*cells))).alias("recs"))
-        .join(starts, ["shard", "bucket"])
         .sortWithinPartitions("shard", "bucket")
-        .select("shard", "start", F.shuffle("recs", F.lit(seed)).alias("recs"))
+        .select("shard", "bucket", F.shuffle("recs", F.lit(seed)).alias("recs"))
+        .join(starts, ["shard", "bucket"])
     )
     out = buckets.select("shard", "start", F.posexplode("recs").alias("pos", "r"))
     return out.select(

@@ -1,7 +1,7 @@
 """License statements in texts.
 
-Templates are fingerprinted by winnowing: of each window of hashed word trigrams the least is kept. The fingerprints
-make an inverted index of fixed size. A text's own fingerprints that are in the index name templates and places;
+Templates are fingerprinted by winnowing: of each window of hashed word grams the least is kept. The fingerprints
+make an inverted index of fixed size. A text's grams that are in the index name templates and places;
 a banded alignment of the template's words with those around a place then tells how much of the template is
 there, and where.
 """
@@ -15,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import text_hash
+from tidewell.llm.common import let_workers_import, text_hash
 
-#: Words of a gram, and grams of a window: any GRAM + WINDOW - 1 equal words in a row share a fingerprint.
-GRAM, WINDOW = 3, 2
+#: (least words of a template, words of a gram, grams of a window). Of a template of m words a fifth may be missing, changed or
+#: have a word put in between; what is left has a run of equal words that holds a whole window, so it shares a fingerprint.
+GRAMS = ((1, 1, 1), (2, 2, 1), (8, 3, 1), (16, 3, 2))
 BAND = 8
 LEAST_COVERAGE = 0.8
 
@@ -50,32 +51,26 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return hash_runs(LOWER[data], starts, lengths, keep), starts, starts + lengths, edges
 
 
-def winnowed(words: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the grams that some window of their text selects; a text with fewer grams is one window."""
+def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` words."""
     from tidewell.llm.grams import mix, powers
 
-    if len(words) < GRAM:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    factor = powers(GRAM, 0xD6E8FEB86659FD93)
-    n = len(words) - GRAM + 1
-    grams = mix(sum(words[j : n + j] * factor[j] for j in range(GRAM)))
-    inside = np.zeros(len(words), bool)
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        inside[a : max(a, b - GRAM + 1)] = True
-    inside = inside[:n]
-    pick = np.zeros(n, bool)
-    both = np.flatnonzero(inside[:-1] & inside[1:])
-    pick[np.where(grams[both] <= grams[both + 1], both, both + 1)] = True
-    alone = inside.copy()
-    alone[1:] &= ~inside[:-1]
-    alone[:-1] &= ~inside[1:]
-    pick |= alone
-    at = np.flatnonzero(pick)
-    return at, grams[at]
+    n = len(words) - size + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    factor = powers(size, 0xD6E8FEB86659FD93)
+    return mix(sum((words[j : n + j] * factor[j] for j in range(size)), np.full(n, size, np.uint64)))
+
+
+def winnowed(grams: np.ndarray, window: int) -> np.ndarray:
+    """Places of the grams that are the least of some window; fewer grams than that are one window."""
+    if len(grams) <= window:
+        return np.array([int(grams.argmin())] if len(grams) else [], np.int64)
+    return np.unique([at + int(grams[at : at + window].argmin()) for at in range(len(grams) - window + 1)])
 
 
 class Index:
-    """The templates' fingerprints."""
+    """The templates' fingerprints: for each length of gram the sorted hashes, and where they lie."""
 
     def __init__(self, templates: list[tuple[str, str]]):
         raw = [t.encode() for _, t in templates]
@@ -83,21 +78,21 @@ class Index:
         data = np.frombuffer(b"".join(raw), np.uint8)
         words, _, _, edges = word_spans(data, offsets)
         self.words = [words[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        places, grams = [], []
+        found: dict[int, list[tuple[int, int, int]]] = {}
         for i, w in enumerate(self.words):
-            at, g = winnowed(w, np.array([0, len(w)]))
-            places += [(i, int(x)) for x in at]
-            grams.append(g)
-        flat = np.concatenate(grams)
-        order = np.argsort(flat, kind="stable")
-        self.grams, self.places = flat[order], [places[i] for i in order]
+            size, window = next((g, k) for least, g, k in reversed(GRAMS) if len(w) >= least or least == 1)
+            grams = gram_hashes(w, size)
+            found.setdefault(size, []).extend((int(grams[at]), i, int(at)) for at in winnowed(grams, window))
+        self.tables = {size: (np.array([r[0] for r in sorted(rows)], np.uint64), [r[1:] for r in sorted(rows)]) for size, rows in found.items()}
 
-    def hits(self, grams: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(which of ``grams``, template, place in it)."""
-        lo, hi = np.searchsorted(self.grams, grams, "left"), np.searchsorted(self.grams, grams, "right")
-        for i in np.flatnonzero(hi > lo).tolist():
-            for k in range(lo[i], hi[i]):
-                yield (i, *self.places[k])
+    def hits(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(place in ``words``, template, place in it)."""
+        for size, (grams, places) in self.tables.items():
+            own = gram_hashes(words, size)
+            lo, hi = np.searchsorted(grams, own, "left"), np.searchsorted(grams, own, "right")
+            for i in np.flatnonzero(hi > lo).tolist():
+                for k in range(lo[i], hi[i]):
+                    yield (i, *places[k])
 
 
 def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
@@ -134,10 +129,11 @@ def license_spans(
     """The places where a text has at least the share ``coverage`` of a template's words, in order.
 
     Returns key, license, template (its number), matched (words), words (of the template), coverage, first_char and
-    end_char (code points). Candidates of one template that overlap count once, by their best coverage and then
-    the first place. A null or empty text has none. Repeated rows with equal number and text report once; null numbers are
+    end_char (code points). Places of one template that overlap count once: in their order, the one with more coverage
+    stays, and of equals the first. A null or empty text has none. Repeated rows with equal number and text report once; null numbers are
     kept. An empty table gives an empty result. Other columns are ignored.
     """
+    let_workers_import(docs.sparkSession)
     templates = TEMPLATES if templates is None else templates
     kind = dict(docs.dtypes)[key]
 
@@ -153,20 +149,19 @@ def license_spans(
                 j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 19), "right")) - 1)
                 part, bounds = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 words, starts, ends, edges = word_spans(part, bounds)
-                at, grams = winnowed(words, edges)
                 chars = np.concatenate(([0], np.cumsum((part & 0xC0) != 0x80)))
                 rows: list[list] = [[] for _ in names]
-                doc_of = np.searchsorted(edges, at, "right") - 1
-                seen: dict[tuple[int, int], list[int]] = {}
-                for which, template, place in index.hits(grams):
-                    d = int(doc_of[which])
-                    diagonal = int(at[which]) - int(edges[d]) - place
-                    known = seen.setdefault((d, template), [])
-                    if any(abs(diagonal - k) <= BAND // 2 for k in known[-2:]):
+                seen: set[tuple[int, int, int]] = set()
+                for at, template, place in index.hits(words):
+                    d = int(np.searchsorted(edges, at, "right")) - 1
+                    diagonal = at - int(edges[d]) - place
+                    if (d, template, diagonal) in seen:
                         continue
-                    known.append(diagonal)
+                    seen.add((d, template, diagonal))
                     m = len(index.words[template])
                     lo, hi = max(edges[d], edges[d] + diagonal - BAND), min(edges[d + 1], edges[d] + diagonal + m + BAND)
+                    if np.isin(index.words[template], words[lo:hi]).sum() < coverage * m - 1e-9:
+                        continue  # too few of its words are there, in any order
                     base = chars[bounds[d]]
                     for c, x in zip(rows, (i + d, i + d, template, diagonal + edges[d] - lo, words[lo:hi].view(np.int64), chars[starts[lo:hi]] - base, chars[ends[lo:hi]] - base), strict=True):
                         c.append(x)
@@ -199,8 +194,19 @@ def license_spans(
     spread = found.repartition(F.xxhash64("doc", "text_hash", "template", "diagonal", "chars"))
     made = spread.mapInArrow(aligned, f"doc {kind}, text_hash long, template int, matched long, words long, first_char long, end_char long")
     made = made.withColumn("coverage", F.col("matched") / F.col("words")).where(F.col("coverage") >= coverage)
-    best = made.groupBy("doc", "text_hash", "template", "end_char").agg(F.max_by(F.struct("matched", "words", "coverage", "first_char"), F.struct("coverage", "first_char")).alias("b"))
+    # By their first characters; of two that overlap the one with more coverage stays, and of equals the first.
+    places = made.distinct().groupBy("doc", "text_hash", "template").agg(F.sort_array(F.collect_list(F.struct("first_char", "end_char", "coverage", "matched", "words"))).alias("p"))
+    last = lambda kept: F.element_at(kept, -1)
+    none = F.array().cast(places.schema["p"].dataType)
+    kept = F.aggregate(
+        "p", none,
+        lambda kept, x: F.when(F.size(kept) == 0, F.array(x))
+        .when(x["first_char"] >= last(kept)["end_char"], F.concat(kept, F.array(x)))
+        .when(x["coverage"] > last(kept)["coverage"], F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(x)))
+        .otherwise(kept),
+    )
+    best = places.select("doc", "text_hash", "template", F.explode(kept).alias("b"))
     names = F.element_at(F.array(*[F.lit(n) for n, _ in templates]), F.col("template") + 1)
     return best.select(
-        F.col("doc").alias(key), "text_hash", names.alias("license"), "template", "b.matched", "b.words", "b.coverage", "b.first_char", "end_char",
+        F.col("doc").alias(key), "text_hash", names.alias("license"), "template", "b.matched", "b.words", "b.coverage", "b.first_char", "b.end_char",
     )

@@ -95,10 +95,10 @@ def contained_items(
     )
     hits = shared.join(hint(sized.select("h", "item", "q")), "h")
     same = F.col("doc").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")) & F.col("item").eqNullSafe(F.col("i"))
-    counted = hits.groupBy("doc", "text_hash", "item", "q").agg(F.count(F.lit(1)).alias("found"))
+    # Only candidates are counted on all shingles.
+    counted = hits.join(candidates, same, "left_semi").groupBy("doc", "text_hash", "item", "q").agg(F.count(F.lit(1)).alias("found"))
     return (
-        counted.join(candidates, same, "left_semi")
-        .where(F.col("found") >= F.lit(threshold) * F.col("q"))
+        counted.where(F.col("found") >= F.lit(threshold) * F.col("q"))
         .select(
             F.col("doc").alias(doc_key),
             "text_hash",
@@ -111,7 +111,11 @@ def contained_items(
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents that hold no item, with all their columns."""
+    """The documents that hold no item, with all their columns.
+
+    Null and empty texts hold none. Repeated rows stay or go together, null numbers are judged by their text, and
+    empty tables of either kind remove nothing.
+    """
     key = options.get("doc_key", "doc_id")
     text = options.get("text", "text")
     bad = contained_items(docs, items, **options).select(F.col(key).alias("_doc"), F.col("text_hash").alias("_hash")).distinct()

@@ -17,13 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import Scratch, held_out_fold
 
 #: Bytes of text whose distinct words are counted together.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 6 << 20
 FREQUENT, ENDINGS = 1 << 15, 1 << 12
 UNKNOWN, END = FREQUENT + ENDINGS, FREQUENT + ENDINGS + 1
 N_CLASSES = FREQUENT + ENDINGS + 2
@@ -128,26 +128,23 @@ def classed(docs: DataFrame, scratch: Scratch, key: str, text: str) -> tuple[Dat
     rows = scratch.keep(chunk_rows(docs, key, text), "zstd")
     is_end = F.col("word") == 0
     words = rows.where("word is not null").select("chunk", "word", F.when(is_end, F.lit(None)).otherwise(F.col("hash")).alias("hash"), "ending", "train")
-    by_word = Window.partitionBy("hash")
-    counted = scratch.keep(
-        words.select(
-            "chunk", "word", "hash", "ending", "train", F.sum("train").over(by_word).alias("c"), F.row_number().over(by_word.orderBy("chunk")).alias("r")
-        )
-    )
-    total, distinct = counted.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count(F.when((F.col("c") > 0) & (F.col("r") == 1), 1))).first()
+    # A word's counts are summed before they are shuffled, and go back by a join, which Spark splits where a word is in most chunks.
+    by_word = scratch.keep(words.where("hash is not null").groupBy("hash").agg(F.sum("train").alias("c"), F.min("ending").alias("ending")))
+    ends = words.where("hash is null").agg(F.coalesce(F.sum("train"), F.lit(0))).first()[0]
+    inner, distinct = by_word.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
+    total, distinct = inner + ends, distinct + (ends > 0)
     whole = total + 0.5 * (distinct + 1)
     often = max(2, math.ceil(total / FREQUENT))
     cls = (
-        F.when(F.col("hash").isNull(), END)
-        .when(F.col("c") == 0, UNKNOWN)
+        F.when(F.col("c") == 0, UNKNOWN)
         .when(F.col("c") >= often, F.pmod(F.xxhash64("hash"), F.lit(FREQUENT)))
         .otherwise(F.lit(FREQUENT) + F.col("ending"))
         .cast("int")
     )
-    counted = counted.withColumn("cls", cls)
     mass = np.zeros(N_CLASSES)
-    by_class = counted.where("r = 1 and c > 0").groupBy("cls").agg(F.sum(F.col("c") + 0.5).alias("m")).toArrow()  # N_CLASSES rows at most
+    by_class = by_word.where("c > 0").groupBy(cls.alias("cls")).agg(F.sum(F.col("c") + 0.5).alias("m")).toArrow()  # N_CLASSES rows at most
     mass[by_class.column("cls").to_numpy()] = by_class.column("m").to_numpy() / whole
+    mass[END] = (ends + 0.5) / whole if ends else 0.0
     mass[UNKNOWN] = 0.5 / whole
     kind = dict(docs.dtypes)[key]
 
@@ -170,7 +167,12 @@ def classed(docs: DataFrame, scratch: Scratch, key: str, text: str) -> tuple[Dat
         return pa.table([docs.column("doc"), docs.column("fold"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(classes, pa.binary())], ["doc", "fold", "n_tokens", "n_known", "base_score", "classes"])
 
     texts = rows.where("word is null").select("chunk", "doc", "fold", "ids").groupBy("chunk")
-    joined = texts.cogroup(counted.select("chunk", "word", "c", "cls").groupBy("chunk"))
+    end = F.lit(END if ends else UNKNOWN)
+    counted = words.where("hash is not null").select("chunk", "word", "hash").join(by_word.select("hash", "c", cls.alias("cls")), "hash")
+    counted = counted.select(F.col("chunk").alias("of"), "word", "c", "cls").unionByName(
+        words.where("hash is null").select(F.col("chunk").alias("of"), "word", F.lit(ends).cast("long").alias("c"), end.alias("cls"))
+    )
+    joined = texts.cogroup(counted.groupBy("of"))
     out = scratch.keep(joined.applyInArrow(look_up, f"doc {kind}, fold int, n_tokens long, n_known long, base_score double, classes binary"), "zstd")
     scratch.drop(rows)
     return out, total, distinct, mass
@@ -316,6 +318,9 @@ def language_scores(docs: DataFrame, states: int = STATES, iterations: int = ITE
     are held out from all counts and training. A null text counts as empty and has the end of text only. Repeated rows
     are scored each, and count each. Null numbers are kept; their fold is that of empty text. An empty table
     gives an empty result. Other columns are ignored. Words meet by 64-bit hashes.
+
+    The states are first guessed from at most ``GUESS_DOCS`` training texts of up to 16,384 tokens, chosen by a hash;
+    everything after that, word counts and all passes of Baum-Welch, is over all training texts.
     """
     scratch = Scratch(docs.sparkSession, "hmm")
     texts, total, distinct, mass = classed(docs, scratch, key, text)

@@ -52,8 +52,8 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Dat
                     ["doc_id", "source", "n", "ids"],
                 )
 
-    cols = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("source").cast("string"), F.lit("")), "text")
-    return cols.mapInArrow(run, "doc_id long, source string, n long, ids binary")
+    cols = docs.select(F.col("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")), "text")
+    return cols.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, source string, n long, ids binary")
 
 
 def mixed_positions(
@@ -186,5 +186,5 @@ def pack(
             ]
             yield pa.RecordBatch.from_arrays(out + [pa.array(bodies, pa.binary())] * with_ids, names + ["ids"] * with_ids)
 
-    kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
+    kinds = f"doc_id {dict(docs.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
     return joined.mapInArrow(run, kinds + ", ids binary" * with_ids)

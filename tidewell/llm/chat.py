@@ -14,8 +14,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tidewell.llm.common import Scratch
+from tidewell.llm.common import Scratch, let_workers_import
 
 OPEN, CLOSE = "### ", "</turn>"
 #: What a turn of the template looks like: the first unescaped colon and line end close the role, the first unescaped mark the text.
@@ -70,6 +71,8 @@ def format_turns(turns: DataFrame) -> DataFrame:
     turn. The rendered turns of a conversation, in order, are its training text. A null text or role counts as empty.
     """
 
+    let_workers_import(turns.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             roles = [r or "" for r in batch.column(2).to_pylist()]
@@ -84,8 +87,8 @@ def format_turns(turns: DataFrame) -> DataFrame:
                 ["conv_id", "turn", "role", "text", "rendered", "level", "loss_start", "loss_end"],
             )
 
-    cols = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    return cols.mapInArrow(run, "conv_id long, turn long, role string, text string, rendered string, level int, loss_start int, loss_end int")
+    cols = turns.select(F.col("conv_id"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    return cols.mapInArrow(run, f"conv_id {dict(turns.dtypes)['conv_id']}, turn long, role string, text string, rendered string, level int, loss_start int, loss_end int")
 
 
 class _Digest:
@@ -104,11 +107,11 @@ class _Digest:
                 self.masked.update(text.encode())
         self.chars += len(rendered)
 
-    def row(self, conv: int | None) -> tuple:
+    def row(self, conv) -> tuple:
         return (conv, self.n, self.turns.hexdigest(), self.loss, self.masked.hexdigest(), self.chars)
 
 
-_DIGEST = [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
+_DIGEST = [("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
 
 
 def conversation_digests(turns: DataFrame) -> DataFrame:
@@ -126,7 +129,9 @@ def conversation_digests(turns: DataFrame) -> DataFrame:
     scratch = Scratch(turns.sparkSession, "chat")
     keys = ["conv_id", "turn", "role"]
     ordered = format_turns(turns).select(*keys, "text", "rendered").repartitionByRange(*keys).sortWithinPartitions(*keys, "text")
-    kinds = [*_DIGEST, ("part", pa.int32()), ("piece", pa.int32()), ("body", pa.string())]
+    digest_kinds = [("conv_id", to_arrow_type(turns.schema["conv_id"].dataType)), *_DIGEST]
+    digest_names = [n for n, _ in digest_kinds]
+    kinds = [*digest_kinds, ("part", pa.int32()), ("piece", pa.int32()), ("body", pa.string())]
 
     def rows(found: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*found, strict=True), kinds, strict=True)], [n for n, _ in kinds])
@@ -165,7 +170,7 @@ def conversation_digests(turns: DataFrame) -> DataFrame:
             flush(True)
             yield rows(found)
 
-    kind = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    kind = f"conv_id {dict(turns.dtypes)['conv_id']}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     made = scratch.keep(ordered.select("conv_id", "rendered").mapInArrow(finish, kind + ", part int, piece int, body string"))
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,10 +184,10 @@ def conversation_digests(turns: DataFrame) -> DataFrame:
                 conv, digest = c, digest or _Digest()
                 digest.add(body)
             if found:
-                yield rows(found).select([n for n, _ in _DIGEST])
+                yield rows(found).select(digest_names)
         if digest is not None:
-            yield rows([(*digest.row(conv), None, None, None)]).select([n for n, _ in _DIGEST])
+            yield rows([(*digest.row(conv), None, None, None)]).select(digest_names)
 
     open_ = made.where("part is not null").repartition("conv_id").sortWithinPartitions("conv_id", "part", "piece")
-    whole = made.where("part is null").select([n for n, _ in _DIGEST])
+    whole = made.where("part is null").select(digest_names)
     return whole.unionByName(open_.select("conv_id", "body").mapInArrow(join_up, kind))

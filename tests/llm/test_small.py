@@ -406,6 +406,91 @@ def test_quality_learns(spark, sf_dir):
     assert len(held) > 40 and sum(r["predicted"] == r["quality"] for r in held) / len(held) > 0.95
 
 
+def test_passages_dont_depend_on_neighbours():
+    rng = random.Random(3)
+    found = [words(rng, n).encode() for n in (30, 1, 90, 64)]
+    def features(order):
+        ends = np.concatenate(([0], np.cumsum([len(found[i]) for i in order])))
+        x, sizes = quality.passage_features(np.frombuffer(b"".join(found[i] for i in order), np.uint8), ends)
+        at = np.concatenate(([0], np.cumsum(sizes)))
+        return {i: x[at[k] : at[k + 1]] for k, i in enumerate(order)}
+    one, other = features([0, 1, 2, 3]), features([2, 0, 3, 1])
+    assert all(np.array_equal(one[i], other[i]) for i in range(4))
+
+
+def test_attention_gradients():
+    """A step of plain descent along the gradients that ``fit`` uses lowers the loss as finite differences say."""
+    rng = np.random.default_rng(4)
+    model = quality.AttentionModel(7, hidden=5, gates=3)
+    x, sizes, y = rng.normal(size=(9, 7)), np.array([2, 4, 3]), np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        s = model.score(x, sizes)
+        return -(y * np.log(s) + (1 - y) * np.log(1 - s)).mean()
+
+    grads = model.gradients(x, sizes, y, np.ones(3))
+    for name, p in model.p.items():
+        for at in np.ndindex(p.shape):
+            was = p[at]
+            p[at] = was + 1e-6
+            up = loss()
+            p[at] = was - 1e-6
+            down = loss()
+            p[at] = was
+            assert abs((up - down) / 2e-6 - grads[name][at]) < 1e-6, (name, at)
+
+
+def test_language_model_beats_unigrams_on_held_out_texts(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet".replace("sf0.001", "sf0.01"))
+    score, base = hmm.language_scores(d).where("held_out").agg({"score": "sum", "base_score": "sum"}).select("sum(score)", "sum(base_score)").first()
+    assert score > 0.95 * base  # both are negative
+
+
+def test_shards_dont_depend_on_partitions(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    was, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for n in (3, 7):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        seen.append(sorted((r["doc_id"], r["shard"], r["slot"]) for r in sharding.shuffle_into_shards(d.repartition(n), 5).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert seen[0] == seen[1]
+
+
+def test_licenses_against_every_place(spark):
+    """Statements with a fifth of their words missing, changed or added to are found wherever brute force aligns them."""
+    rng = random.Random(8)
+    found = []
+    for _, t in licenses.TEMPLATES:
+        for _ in range(6):
+            w = t.split()
+            for _ in range(rng.randint(0, len(w) // 5)):
+                at = rng.randrange(len(w))
+                w[at : at + 1] = rng.choice([[], ["zzz"], [w[at], "zzz"]])
+            found.append(f"{words(rng, rng.randint(0, 30))} {' '.join(w)} {words(rng, rng.randint(0, 30))}")
+    df = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
+    got = {(r["doc_id"], r["template"]): r["coverage"] for r in sorted(licenses.license_spans(df).collect(), key=lambda r: r["coverage"])}
+    split = lambda t: [x.lower() for x in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", t)]
+    number: dict = {}
+    want = {}
+    for k, (_, t) in enumerate(licenses.TEMPLATES):
+        a = np.array([number.setdefault(w, len(number)) for w in split(t)], np.uint64)
+        for i, text in enumerate(found):
+            b = np.array([number.setdefault(w, len(number)) for w in split(text)], np.uint64)
+            most = max(licenses.align(a, b, d)[0] for d in range(-3, len(b))) / len(a)
+            if most >= 0.8:
+                want[i, k] = most
+    assert got.keys() <= want.keys() and len(got) >= 0.98 * len(want) and len(want) > 60
+    assert sum(abs(got[x] - want[x]) < 1e-9 for x in got) >= 0.95 * len(got)
+
+
+def test_text_keys(spark):
+    said = [("a", 0, "user", "hi"), ("a", 1, "assistant", "yes"), (None, 0, "user", "x")]
+    df = spark.createDataFrame(said, "conv_id string, turn long, role string, text string")
+    assert {r["conv_id"]: r["n_turns"] for r in chat.conversation_digests(df).collect()} == {"a": 2, None: 1}
+    docs = spark.createDataFrame([("a", "one two", "s"), (None, None, None)], "doc_id string, text string, source string")
+    assert {r["doc_id"] for r in packing.pack(docs).collect()} == {"a", None}
+
+
 def test_licenses(docs, none, spark):
     found = [(0, "Before. Licensed under the Apache License, Version 2.0. After"), (1, "é RELEASED under the\nMIT license!"), (2, None), (3, ""), (4, "this work was licensed under the GNU General Public License version 3"), (5, "license under mit"), (6, "Released under the MIT License. " * 5), (None, "Licensed under CC BY-NC 4.0.")]
     df = spark.createDataFrame([(*x, 1) for x in found], "doc_id long, text string, template int")

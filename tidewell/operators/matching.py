@@ -24,27 +24,39 @@ def _pieces(name: Column, size: int = LEAST_CONTAINED) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - size + 1, F.lit(1))), lambda i: F.substring(name, i, size))
 
 
+def _rarest_piece(names: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Each (kind, key) with that ``piece`` of it which is in the fewest rows of ``pieces`` (kind, piece); those of which a piece is in none drop out."""
+    counts = pieces.groupBy(F.col("kind").alias("_k"), F.col("piece").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    own = names.select("kind", "key").distinct().withColumn("piece", F.explode(F.array_distinct(_pieces(F.col("key")))))
+    n = F.coalesce("_n", F.lit(0))
+    met = own.join(counts, (F.col("kind") == F.col("_k")) & (F.col("piece") == F.col("_p")), "left")
+    return met.groupBy("kind", "key").agg(F.min_by("piece", F.struct(n, "piece")).alias("piece"), F.min(n).alias("_least")).where("_least > 0").drop("_least")
+
+
 def fuzzy_anti_join(found: DataFrame, known: DataFrame) -> DataFrame:
     """Rows of ``found`` (id, name, organization) that match no known one by name or, where both have one, by organization.
 
-    Equal names meet by the name. A contained one meets the other by its first four characters, which the
-    longer has somewhere, so no pair is formed that shares nothing.
+    Equal names meet by the name. A contained one meets those that contain it by the rarest of its pieces of four
+    characters, all of which the longer one has. So frequent pieces form no pairs, and none is formed that shares nothing.
     """
-    f = found.select("id", F.array(F.struct(F.lit("n").alias("kind"), org_key(F.col("name")).alias("key")), F.struct(F.lit("o").alias("kind"), org_key(F.col("organization")).alias("key"))).alias("k"))
-    f = f.select("id", F.explode("k").alias("k")).select("id", "k.kind", "k.key").where("key != ''")
-    k = known.select(F.array(F.struct(F.lit("n").alias("kind"), org_key(F.col("name")).alias("key")), F.struct(F.lit("o").alias("kind"), org_key(F.col("organization")).alias("key"))).alias("k"))
-    k = k.select(F.explode("k").alias("k")).select(F.col("k.kind").alias("kind"), F.col("k.key").alias("known_key")).where("known_key != ''").distinct()
-    equal = f.join(k, (f["kind"] == k["kind"]) & (f["key"] == k["known_key"]), "left_semi").select("id")
-    head = lambda c: F.substring(c, 1, LEAST_CONTAINED)
-    f_long, k_long = f.where(F.length("key") >= LEAST_CONTAINED), k.where(F.length("known_key") >= LEAST_CONTAINED).withColumnRenamed("kind", "known_kind")
-    inner = f_long.withColumn("piece", F.explode(F.array_distinct(_pieces(F.col("key"))))).join(
-        k_long.withColumn("head", head(F.col("known_key"))), (F.col("kind") == F.col("known_kind")) & (F.col("piece") == F.col("head")) & F.contains("key", F.col("known_key")), "left_semi"
-    )
-    outer = f_long.withColumn("head", head(F.col("key"))).join(
-        k_long.withColumn("piece", F.explode(F.array_distinct(_pieces(F.col("known_key"))))), (F.col("kind") == F.col("known_kind")) & (F.col("head") == F.col("piece")) & F.contains("known_key", F.col("key")), "left_semi"
-    )
-    hit = equal.union(inner.select("id")).union(outer.select("id")).distinct()
-    return found.join(hit, "id", "left_anti")
+
+    def keys(rows: DataFrame, *others: str) -> DataFrame:
+        both = F.array(F.struct(F.lit("n").alias("kind"), org_key(F.col("name")).alias("key")), F.struct(F.lit("o").alias("kind"), org_key(F.col("organization")).alias("key")))
+        return rows.select(*others, F.explode(both).alias("k")).select(*others, "k.kind", "k.key").where("key != ''")
+
+    def in_pieces(names: DataFrame) -> DataFrame:
+        return names.withColumn("piece", F.explode(F.array_distinct(_pieces(F.col("key")))))
+
+    f, k = keys(found, "id"), keys(known).distinct()
+    equal = f.join(k, ["kind", "key"], "left_semi").select("id")
+    f_long, k_long = f.where(F.length("key") >= LEAST_CONTAINED), k.where(F.length("key") >= LEAST_CONTAINED)
+    f_pieces, k_pieces = in_pieces(f_long), in_pieces(k_long)
+    side = lambda names: names.select(F.col("kind").alias("_kind"), F.col("key").alias("_key"), F.col("piece").alias("_piece"))
+    meet = (F.col("kind") == F.col("_kind")) & (F.col("piece") == F.col("_piece"))
+    inner = f_pieces.join(side(_rarest_piece(k_long, f_pieces)), meet & F.contains("key", F.col("_key")), "left_semi").select("id")
+    contained = _rarest_piece(f_long, k_pieces).join(side(k_pieces), meet & F.contains("_key", F.col("key")), "left_semi")
+    outer = f_long.join(contained.select("kind", "key"), ["kind", "key"], "left_semi").select("id")
+    return found.join(equal.union(inner).union(outer).distinct(), "id", "left_anti")
 
 
 def greedy_distinct(found: DataFrame, group: str, order: str = "ord") -> DataFrame:

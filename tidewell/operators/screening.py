@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TIER_1, TIER_2 = 0.7, 0.4
+#: Active rules that are sent to all tasks, at most; some 2 MB.
+MOST_RULES = 10_000
 
 
 def criterion(field: Column, operator: Column, value: Column) -> Column:
@@ -28,34 +30,33 @@ def tier(share: Column) -> Column:
     return F.when(share.isNull(), 2).when(share >= F.lit(TIER_1), 1).when(share >= F.lit(TIER_2), 2).otherwise(3)
 
 
-def applied(entities: DataFrame, rules: DataFrame, fields: list[str], id_col: str = "id") -> DataFrame:
-    """Each entity with each active rule of its channel or of all channels; entities without a rule keep one row.
+def active_rules(rules: DataFrame) -> DataFrame:
+    """One row with all active rules as an array in their order; an error if there are more than ``MOST_RULES``.
 
-    ``rules``: rule_id, ord, label, channel, weight, field, operator, value, active. The rules are a settings table of
-    some dozens of rows that users write by hand; active ones meet entities by channel, so that the join has a key.
+    ``rules``: rule_id, ord, label, channel, weight, field, operator, value, active, a settings table written by hand.
+    """
+    r = F.struct("ord", "rule_id", "label", "weight", F.col("channel").alias("of"), "field", "operator", "value")
+    one = rules.where("active").agg(F.sort_array(F.collect_list(r)).alias("_rules"), F.count(F.lit(1)).alias("_n"))
+    return one.select(F.when(F.col("_n") <= MOST_RULES, F.col("_rules")).otherwise(F.raise_error(F.lit("too many rules"))).alias("_rules"))
+
+
+def screened(entities: DataFrame, rules: DataFrame, fields: list[str], id_col: str = "id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, the columns of ``keep``, score, max_possible, share, tier and the breakdown (ord, rule_id, label, weight, passed).
+
+    A rule applies to its channel or, without one, to all. Entities are rows: none is shuffled, and equal ids stay apart.
     """
-    r = rules.where("active").select("rule_id", "ord", "label", "weight", "field", "operator", "value", F.col("channel").alias("rule_channel"))
-    channels = entities.select("channel").distinct()
-    by_channel = channels.join(F.broadcast(r), F.col("rule_channel").isNull() | (F.col("rule_channel") == F.col("channel")))
-    by_channel = by_channel.groupBy(F.col("channel").alias("_c")).agg(F.sort_array(F.collect_list(F.struct("ord", "rule_id", "label", "weight", "field", "operator", "value"))).alias("_rules"))
-    joined = entities.join(by_channel, F.col("channel").eqNullSafe(F.col("_c")), "left")
-    out = joined.select("*", F.explode_outer("_rules").alias("_r")).select(*entities.columns, "_r.*")
     known = F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f).cast("string"))])
-    passed = criterion(F.element_at(known, F.col("field")), F.col("operator"), F.col("value"))
-    return out.withColumn("passed", F.when(F.col("rule_id").isNotNull(), passed))
-
-
-def screened(entities: DataFrame, rules: DataFrame, fields: list[str], id_col: str = "id") -> DataFrame:
-    """id, score, max_possible, share, tier and the breakdown (rule_id, label, weight, passed) in rule order."""
-    a = applied(entities, rules, fields, id_col)
-    rows = F.filter(F.collect_list(F.when(F.col("rule_id").isNotNull(), F.struct("ord", "rule_id", "label", "weight", "passed"))), lambda x: x.isNotNull())
-    out = a.groupBy(id_col).agg(
-        F.coalesce(F.sum(F.when(F.col("passed"), F.col("weight")).otherwise(0)), F.lit(0)).cast("long").alias("score"),
-        F.coalesce(F.sum("weight"), F.lit(0)).cast("long").alias("max_possible"),
-        F.sort_array(rows).alias("breakdown"),
-    )
+    mine = F.filter("_rules", lambda r: r["of"].isNull() | F.coalesce(r["of"] == F.col("channel"), F.lit(False)))
+
+    def judged(r: Column) -> Column:
+        passed = criterion(F.element_at(known, r["field"]), r["operator"], r["value"])
+        return F.struct(*[r[c].alias(c) for c in ("ord", "rule_id", "label", "weight")], passed.alias("passed"))
+
+    out = entities.crossJoin(F.broadcast(active_rules(rules))).select(id_col, *keep, F.transform(mine, judged).alias("breakdown"))  # one row
+    points = lambda some: F.aggregate(F.filter("breakdown", some), F.lit(0).cast("long"), lambda n, r: n + F.coalesce(r["weight"], F.lit(0)))
+    out = out.withColumn("score", points(lambda r: r["passed"])).withColumn("max_possible", points(lambda r: F.lit(True)))
     out = out.withColumn("share", F.when(F.col("max_possible") > 0, F.col("score") / F.col("max_possible")))
-    return out.withColumn("tier", tier(F.col("share")))
+    return out.select(id_col, *keep, "score", "max_possible", "breakdown", "share", tier(F.col("share")).alias("tier"))
 
 
 def channel_summary(channels: DataFrame, rules: DataFrame) -> DataFrame:

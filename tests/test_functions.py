@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions import arrays, dates, labels, numbers, text
-from tidewell.operators import contacts, latest, lifecycle, matching, screening, stages
+from tidewell.operators import contacts, latest, lifecycle, lookups, matching, screening, stages
 from tidewell.sources.tables import append_only, csv_fields, read_csv, read_csv_rows
 from tidewell.streaming import latest as stream
 
@@ -141,10 +141,12 @@ def test_contacts(spark):
 
 def test_lifecycle(spark):
     p = spark.createDataFrame([(1, "a"), (2, "b")], "id int, stage string")
-    commands = spark.createDataFrame([(1, "a", "c"), (2, "a", "c"), (3, "a", "c")], "record_id int, from_stage string, to_stage string")
+    commands = spark.createDataFrame([(1, 1, 5, "a", "c"), (2, 2, 5, "a", "c"), (3, 3, 5, "a", "c"), (4, 1, 5, "a", "d"), (5, 1, 4, "x", "e")], "id int, record_id int, created_at int, from_stage string, to_stage string")
     moved = lifecycle.move_stages(p, commands)
-    assert {r["record_id"]: r["accepted"] for r in moved.collect()} == {1: True, 2: False, 3: False}
+    assert {r["id"]: r["accepted"] for r in moved.collect()} == {1: True, 2: False, 3: False, 4: False, 5: False}
     assert {tuple(r) for r in lifecycle.apply_moves(p, moved.where("accepted")).collect()} == {(1, "c"), (2, "b")}
+    stamped = lifecycle.apply_moves(p, moved.where("accepted"), F.lit("2024-02-01").cast("timestamp")).collect()
+    assert {r["id"]: r["updated_at"] is not None for r in stamped} == {1: True, 2: False}
     kids = spark.createDataFrame([(10, 1), (11, 9), (12, None)], "id int, parent int")
     assert [r["id"] for r in lifecycle.orphans(kids, p, "parent", "id").collect()] == [11]
     assert {r["id"]: r["parent"] for r in lifecycle.unlink_missing(kids, p, "parent", "id").collect()} == {10: 1, 11: None, 12: None}
@@ -165,6 +167,30 @@ def test_stream_keeps_the_latest_change(spark, tmp_path):
     df = spark.createDataFrame(rows, kinds)
     append_only(df.where("id < 2"), str(tmp_path / "in"))
     append_only(df.where("id >= 2"), str(tmp_path / "in"))
-    q = stream.start(stream.change_stream(spark, str(tmp_path / "in"), df.schema), "latest_changes", str(tmp_path / "cp"))
-    q.awaitTermination(60)
-    assert {(r["prospect_id"], r["to_stage"]) for r in spark.table("latest_changes").collect()} == {(1, "b"), (2, "c")}
+    out = str(tmp_path / "out")
+    for more in ([], [(4, 2, "d", datetime(2024, 1, 5)), (5, 1, "old", datetime(2024, 1, 2))]):
+        if more:
+            append_only(spark.createDataFrame(more, kinds), str(tmp_path / "in"))
+        q = stream.start(stream.change_stream(spark, str(tmp_path / "in"), df.schema), out, str(tmp_path / "cp"))
+        q.awaitTermination(60)
+    assert {(r["prospect_id"], r["to_stage"]) for r in stream.current(spark, out).collect()} == {(1, "b"), (2, "d")}
+
+
+def test_lookups(spark):
+    df = spark.createDataFrame([(1,), (1,), (2,)], "id int")
+    assert lookups.exactly_one(df.where("id = 2")).count() == 1 and lookups.at_most_one(df.where("id = 9")).count() == 0
+    for bad in (lambda: lookups.exactly_one(df.where("id = 1")), lambda: lookups.exactly_one(df.where("id = 9")), lambda: lookups.at_most_one(df.where("id = 1"))):
+        with pytest.raises(LookupError):
+            bad()
+
+
+def test_rules_are_bounded(spark, monkeypatch):
+    from tidewell.operators import screening
+    from tidewell.plans import adapters
+
+    e = spark.createDataFrame([(1, "BUILDING", None, "x7"), (1, None, "o", "y")], "id int, channel string, organization string, name string")
+    got = screening.screened(e, adapters.rules(spark), ["channel", "organization", "name"]).collect()
+    assert sorted((r["score"], r["max_possible"]) for r in got) == [(4, 12), (5, 8)]  # rows of one id stay apart
+    monkeypatch.setattr(screening, "MOST_RULES", 2)
+    with pytest.raises(Exception, match="too many rules"):
+        screening.screened(e, adapters.rules(spark), ["channel", "organization", "name"]).collect()

@@ -58,3 +58,41 @@ def json_text(c: Column, path: str) -> Column:
 
 def json_number(c: Column, path: str) -> Column:
     return F.get_json_object(c, path).try_cast("double")
+
+
+def json_list(c: Column, item: str) -> Column:
+    """An array of structs from JSON text; empty for null, for text that isn't such an array, and for other shapes."""
+    kind = f"array<{item}>"
+    return F.coalesce(F.from_json(c, kind), F.array().cast(kind))
+
+
+def with_links(a: Column) -> Column:
+    """Structs whose ``url`` is a link with a scheme."""
+    from tidewell.functions.text import link
+
+    return F.transform(a, lambda x: x.withField("url", link(x["url"])))
+
+
+def named_only(a: Column) -> Column:
+    """Structs that have a name."""
+    return F.filter(a, lambda x: F.coalesce(x["name"], F.lit("")) != "")
+
+
+def high_confidence_first(a: Column) -> Column:
+    """Recommended evaluations, those of high confidence first, otherwise in their order."""
+    wanted = F.filter(a, lambda e: F.coalesce(e["recommended"], F.lit(False)))
+    high = lambda e: F.coalesce(e["confidence"] == "high", F.lit(False))
+    return F.concat(F.filter(wanted, high), F.filter(wanted, lambda e: ~high(e)))
+
+
+def default_selection(approved: Column, evaluations: Column) -> Column:
+    """The approved channels, or the recommended ones where nothing was approved yet."""
+    return F.coalesce(approved, F.transform(F.filter(evaluations, lambda e: F.coalesce(e["recommended"], F.lit(False))), lambda e: e["channel"]))
+
+
+def has_substance(*cols: Column) -> Column:
+    """Whether any of the texts has more than white space."""
+    out = F.lit(False)
+    for c in cols:
+        out = out | (F.length(F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")) > 0)
+    return out

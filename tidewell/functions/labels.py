@@ -58,3 +58,21 @@ def nearest_importance(weight: Column) -> Column:
     """The closest level; of two equally close ones the first."""
     levels = F.array(*[F.struct(F.abs(F.lit(v) - weight).alias("d"), F.lit(i).alias("i"), F.lit(v).alias("v")) for i, (v, _) in enumerate(IMPORTANCE)])
     return F.array_min(levels)["v"]
+
+
+def known_or(value: str | None, allowed: list[str], default: str | None = None) -> str | None:
+    """A parameter if it is one of the allowed ones, else the default."""
+    return value if value in allowed else default
+
+
+def listed_or(c: Column, allowed: list[str], default: str | None = None) -> Column:
+    """The same for a column."""
+    return F.when(c.isin(*allowed), c).otherwise(F.lit(default))
+
+
+def described(dim: DataFrame, descriptions: dict[str, str]) -> DataFrame:
+    """One row: a line '- value: label -- description' for each value of the list, in order."""
+    text = F.create_map(*[F.lit(x) for kv in descriptions.items() for x in kv])
+    line = F.concat(F.lit("- "), "value", F.lit(": "), "label", F.lit(" -- "), F.coalesce(F.element_at(text, F.col("value")), F.lit("")))
+    rows = F.sort_array(F.collect_list(F.struct("ord", line.alias("line"))))
+    return dim.agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("text"))

@@ -45,15 +45,24 @@ def matched_without_email(contacts: DataFrame, writes: DataFrame) -> DataFrame:
     return joined.withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").select("seq", F.col("_n").alias("name"), "organization", "contact_id")
 
 
-def backfilled(sources: DataFrame) -> DataFrame:
+def backfilled(sources: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """New contacts from (priority, id, contact_name, contact_email, organization): the first source of an address counts,
-    and rows without an address are all added."""
+    addresses of ``existing`` contacts are left out, and rows without an address are all added."""
     email = null_if_empty(F.lower(F.trim("contact_email")))
     named = sources.select("priority", "id", F.coalesce(null_if_empty(F.trim("contact_name")), F.lower(F.trim("contact_email"))).alias("name"), email.alias("email"), "organization")
     named = named.where(F.coalesce(null_if_empty(F.trim("name")), F.col("email")).isNotNull())
     first = Window.partitionBy("email").orderBy("priority", "id")
     ranked = named.withColumn("_rn", F.when(F.col("email").isNotNull(), F.row_number().over(first)).otherwise(1))
-    return ranked.where("_rn = 1").drop("_rn")
+    new = ranked.where("_rn = 1").drop("_rn")
+    if existing is None:
+        return new
+    taken = existing.where("email is not null").select(F.col("email").alias("_taken")).distinct()
+    return new.join(taken, F.col("email") == F.col("_taken"), "left_anti")
+
+
+def shown_organization(name: Column, organization: Column) -> Column:
+    """The organization unless it is the name itself."""
+    return F.when(organization.isNotNull() & ~organization.eqNullSafe(name), organization)
 
 
 def renamed(contacts: DataFrame) -> DataFrame:

@@ -5,18 +5,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# The columns that an accepted candidate takes along.
+ACCEPTED = ("name", "channel", "organization", "contact_name", "contact_email", "website", "location", "funder_type", "geographic_focus", "typical_grant_size", "focus_areas")
 
-def move_stages(records: DataFrame, commands: DataFrame) -> DataFrame:
-    """Each command (record_id, from_stage, to_stage) with ``accepted``: only if the record is in that stage."""
+
+def move_stages(records: DataFrame, commands: DataFrame, order: tuple[str, ...] = ("created_at", "id")) -> DataFrame:
+    """Each command (record_id, from_stage, to_stage and the columns of ``order``) with ``accepted``.
+
+    A command is accepted if the record is in its ``from_stage`` and no earlier command of the batch moved the record:
+    the first success makes the others fail, as they name a stage that the record has left. So a record moves once in a batch.
+    ``order`` must tell the commands of a record apart.
+    """
     state = records.select(F.col("id").alias("_id"), F.col("stage").alias("_stage"))
-    joined = commands.join(state, (F.col("record_id") == F.col("_id")) & (F.col("from_stage") == F.col("_stage")), "left")
-    return joined.withColumn("accepted", F.col("_id").isNotNull()).drop("_id", "_stage")
+    place = F.struct(*order)
+    fits = commands.join(state, (F.col("record_id") == F.col("_id")) & (F.col("from_stage") == F.col("_stage")), "left_semi")
+    first = fits.groupBy(F.col("record_id").alias("_r")).agg(F.min(place).alias("_first"))
+    joined = commands.join(first, (F.col("record_id") == F.col("_r")) & (place == F.col("_first")), "left")
+    return joined.withColumn("accepted", F.col("_r").isNotNull()).drop("_r", "_first")
 
 
-def apply_moves(records: DataFrame, accepted: DataFrame) -> DataFrame:
-    """Records with the stages of accepted commands, one for each record."""
+def apply_moves(records: DataFrame, accepted: DataFrame, at: Column | None = None) -> DataFrame:
+    """Records with the stages of accepted commands, one row for each record; with ``at`` moved ones get it as updated_at."""
     moves = accepted.select(F.col("record_id").alias("_id"), F.col("to_stage").alias("_to"))
-    return records.join(moves, F.col("id") == F.col("_id"), "left").withColumn("stage", F.coalesce("_to", "stage")).drop("_id", "_to")
+    out = records.join(moves, F.col("id") == F.col("_id"), "left")
+    if at is not None:
+        was = F.col("updated_at") if "updated_at" in records.columns else F.lit(None).cast("timestamp")
+        out = out.withColumn("updated_at", F.when(F.col("_id").isNotNull(), at).otherwise(was))
+    return out.withColumn("stage", F.coalesce("_to", "stage")).drop("_id", "_to")
+
+
+def updated(rows: DataFrame, changes: DataFrame, key: str, at: Column) -> DataFrame:
+    """Rows with the columns that ``changes`` (one row for each key) has for their key, null ones too, stamped with updated_at."""
+    columns = [c for c in changes.columns if c != key]
+    new = changes.select(F.col(key).alias("_key"), F.struct(*columns).alias("_new"))
+    out = rows.join(new, F.col(key) == F.col("_key"), "left")
+    hit = F.col("_key").isNotNull()
+    was = F.col("updated_at") if "updated_at" in rows.columns else F.lit(None).cast("timestamp")
+    cells = [F.when(hit, F.col("_new")[c]).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in rows.columns if c != "updated_at"]
+    return out.select(*cells, F.when(hit, at).otherwise(was).alias("updated_at"))
+
+
+def singleton_upsert(rows: DataFrame, values: DataFrame) -> DataFrame:
+    """A table of one row after a write of one: the values go into that row, or are its first row."""
+    own = rows.orderBy("id").limit(1).select(F.col("id").alias("_id"))
+    return values.join(own, F.lit(True), "left").select(F.coalesce("_id", "id").alias("id"), *[c for c in values.columns if c != "id"])
+
+
+def accepted(candidates: DataFrame, first_stage: str) -> dict[str, DataFrame]:
+    """What accepting candidates writes: 'prospects' in the first stage, with the columns that both tables have, 'runs' of research
+    for them, and 'contacts' of those that name one. A prospect has its candidate's id."""
+    from tidewell.operators.contacts import clean_email, display_name
+
+    copied = [c for c in ACCEPTED if c in candidates.columns]
+    name = display_name(F.col("contact_name"), F.col("organization"), F.col("contact_email"))
+    return {
+        "prospects": candidates.select("id", *copied, F.lit(first_stage).alias("stage")),
+        "runs": candidates.select(F.col("id").alias("prospect_id"), F.lit("researching").alias("status"), F.concat(F.lit("Researching "), "name", F.lit(" and drafting a strategy...")).alias("status_message")),
+        "contacts": candidates.select(name.alias("name"), clean_email(F.col("contact_email")).alias("email"), "organization", F.col("id").alias("source_prospect_id")).where("name is not null"),
+    }
 
 
 def first_claims(claims: DataFrame, run: str = "run_id", ts: str = "claimed_at", tie: str = "id") -> DataFrame:

@@ -61,6 +61,15 @@ def with_next_stage(records: DataFrame, stages: DataFrame) -> DataFrame:
     return out.drop("_v", "_o", "_n", "_first")
 
 
+def listed(records: DataFrame, wanted: str | None = None, channel: str | None = None) -> DataFrame:
+    """Records whose name has the wanted text, without regard to case, and that are in the channel; either may be absent or empty."""
+    from tidewell.functions.text import contains_ignoring_case
+
+    if wanted and wanted.strip():
+        records = records.where(contains_ignoring_case(F.col("name"), F.lit(wanted.strip())))
+    return records.where(F.col("channel") == channel) if channel else records
+
+
 def stuck_longest(aged: DataFrame, k: int = 3, least_days: float = 1.0) -> DataFrame:
     """The k records with the most days, of which those under ``least_days`` then drop out."""
     return aged.orderBy(F.col("days").desc(), "id").limit(k).where(F.col("days") >= least_days)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions import arrays, dates, labels, numbers, text
-from tidewell.operators import contacts, latest, lifecycle, matching, profile, screening, stages
+from tidewell.operators import contacts, latest, lifecycle, lookups, matching, profile, screening, stages
 from tidewell.plans import adapters as ad
 from tidewell.plans.adapters import sql
 from tidewell.sources.tables import checked_import, read_csv_rows, table
@@ -177,8 +177,8 @@ def channel_rule_summary(spark, d):
 @query(sql(f"@{APPLIED} SELECT channel, tier, count(*) AS n FROM tiered GROUP BY channel, tier"))
 def tier_distribution(spark, d):
     p = ad.prospects(spark, d)
-    s = screening.screened(p, ad.rules(spark), FIELDS)
-    return s.join(p.select("id", "channel"), "id").groupBy("channel", "tier").agg(F.count(F.lit(1)).alias("n"))
+    s = screening.screened(p, ad.rules(spark), FIELDS, keep=("channel",))
+    return s.groupBy("channel", "tier").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT p_size AS weight, CASE WHEN p_size <= 2 THEN 1 WHEN p_size <= 4 THEN 3 ELSE 5 END AS nearest,
@@ -315,7 +315,15 @@ def fuzzy_anti_join(spark, d):
     return matching.fuzzy_anti_join(found, spark.createDataFrame(KNOWN, "name string, organization string")).select("id", "name")
 
 
-@query()
+#: A fold in SQL: the rows of a batch in order, each kept unless it matches one kept before.
+GREEDY = f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY ord) AS i, {KEY.format("name")} AS nk, {KEY.format("organization")} AS ok FROM fresh), fold AS (
+  SELECT batch, 0::BIGINT AS i, []::VARCHAR[] AS ns, []::VARCHAR[] AS os, []::BIGINT[] AS ids FROM (SELECT DISTINCT batch FROM numbered)
+  UNION ALL SELECT f.batch, f.i + 1, CASE WHEN hit THEN ns ELSE list_append(ns, nk) END, CASE WHEN hit THEN os ELSE list_append(os, ok) END, CASE WHEN hit THEN ids ELSE list_append(ids, id) END
+  FROM (SELECT f.*, r.id, r.nk, r.ok, len(list_filter(ns, lambda x: {SAME.format(a="x", b="r.nk")})) + len(list_filter(os, lambda x: {SAME.format(a="x", b="r.ok")})) > 0 AS hit FROM fold f JOIN numbered r ON r.batch = f.batch AND r.i = f.i + 1) f
+), kept AS (SELECT unnest(ids) AS id FROM (SELECT batch, arg_max(ids, i) AS ids FROM fold GROUP BY batch))"""
+
+
+@query(f"WITH RECURSIVE fresh AS (SELECT n_nationkey AS id, n_nationkey AS ord, n_name AS name, NULL::VARCHAR AS organization, n_regionkey AS batch FROM nation), {GREEDY} SELECT id, name, batch FROM fresh JOIN kept USING (id)")
 def greedy_dedupe(spark, d):
     n = table(spark, d, "nation")
     found = n.select(F.col("n_nationkey").alias("id"), F.col("n_nationkey").alias("ord"), F.col("n_name").alias("name"), F.lit(None).cast("string").alias("organization"), F.col("n_regionkey").alias("batch"))
@@ -529,18 +537,34 @@ def gap_fill(spark, d):
 # --- lifecycle --------------------------------------------------------------
 
 
-@query(sql("SELECT c.id, c.record_id, p.id IS NOT NULL AS accepted FROM (SELECT id, prospect_id AS record_id, to_stage AS from_stage FROM v_log) c LEFT JOIN v_prospects p ON p.id = c.record_id AND p.stage = c.from_stage"))
+# Of the commands that name a record's stage the first moves it; the others then name a stage that it has left.
+MOVES = """moves AS (SELECT l.id, l.prospect_id AS record_id, l.to_stage AS from_stage, l.created_at, p.id IS NOT NULL AND row_number() OVER (PARTITION BY l.prospect_id, p.id IS NOT NULL ORDER BY l.created_at, l.id) = 1 AS accepted
+  FROM v_log l LEFT JOIN v_prospects p ON p.id = l.prospect_id AND p.stage = l.to_stage)"""
+
+
+def _commands(spark, d):
+    return ad.log(spark, d).select("id", "created_at", F.col("prospect_id").alias("record_id"), F.col("to_stage").alias("from_stage"), F.lit("renewal").alias("to_stage"))
+
+
+@query(sql(f"@{MOVES} SELECT id, record_id, accepted FROM moves"))
 def cas_updates(spark, d):
-    commands = ad.log(spark, d).select("id", F.col("prospect_id").alias("record_id"), F.col("to_stage").alias("from_stage"), F.lit("renewal").alias("to_stage"))
-    return lifecycle.move_stages(ad.prospects(spark, d), commands).select("id", "record_id", "accepted")
+    return lifecycle.move_stages(ad.prospects(spark, d), _commands(spark, d)).select("id", "record_id", "accepted")
 
 
-@query(sql("""SELECT stage, count(*) AS n FROM (SELECT CASE WHEN EXISTS (SELECT 1 FROM v_log l WHERE l.prospect_id = p.id AND l.to_stage = p.stage) THEN 'renewal' ELSE stage END AS stage FROM v_prospects p) GROUP BY stage"""))
+@query(sql(f"""@{MOVES} SELECT CASE WHEN m.record_id IS NOT NULL THEN 'renewal' ELSE stage END AS stage, CASE WHEN m.record_id IS NOT NULL THEN '{ad.AS_OF}' END AS updated, count(*) AS n
+FROM v_prospects p LEFT JOIN (SELECT record_id FROM moves WHERE accepted) m ON m.record_id = p.id GROUP BY ALL"""))
 def moved_stages(spark, d):
     p = ad.prospects(spark, d)
-    commands = ad.log(spark, d).select(F.col("prospect_id").alias("record_id"), F.col("to_stage").alias("from_stage"), F.lit("renewal").alias("to_stage")).distinct()
-    accepted = lifecycle.move_stages(p, commands).where("accepted")
-    return lifecycle.apply_moves(p, accepted).groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
+    accepted = lifecycle.move_stages(p, _commands(spark, d)).where("accepted")
+    moved = lifecycle.apply_moves(p, accepted, ad.as_of())
+    return moved.groupBy("stage", F.date_format("updated_at", "yyyy-MM-dd").alias("updated")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(sql(f"@{MOVES} SELECT record_id AS prospect_id, from_stage, 'renewal' AS to_stage, id AS command FROM moves WHERE accepted"))
+def stage_move_audit(spark, d):
+    """What a move of stages appends to the log of changes."""
+    accepted = lifecycle.move_stages(ad.prospects(spark, d), _commands(spark, d)).where("accepted")
+    return accepted.select(F.col("record_id").alias("prospect_id"), "from_stage", "to_stage", F.col("id").alias("command"))
 
 
 @query(sql("SELECT id, row_number() OVER (PARTITION BY prospect_id ORDER BY created_at, id) = 1 AS won FROM v_log"))
@@ -642,19 +666,31 @@ def dashboard_cards(spark, d):
     return out
 
 
-@query(sql("SELECT p.id, count(l.id) AS changes, max(l.id) AS last_change, count(k.id) AS contacts FROM v_prospects p LEFT JOIN v_log l ON l.prospect_id = p.id LEFT JOIN (SELECT id FROM v_contacts WHERE email IS NOT NULL) k ON k.id = p.id WHERE p.id = 7 GROUP BY p.id"))
+@query(sql(f"""@{APPLIED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY prospect_id ORDER BY created_at DESC, id DESC) AS rn FROM v_log),
+h AS (SELECT prospect_id, count(*) AS total, string_agg(to_stage, ',' ORDER BY rn) FILTER (WHERE rn <= 3) AS newest FROM ranked GROUP BY prospect_id),
+entry AS (SELECT prospect_id, max(l.created_at) AS at FROM v_log l JOIN v_prospects p ON p.id = l.prospect_id WHERE l.to_stage = p.stage GROUP BY prospect_id)
+SELECT p.id, CASE WHEN s.value IS NULL THEN 'view' ELSE n.value END AS next_stage, round((epoch_us(TIMESTAMP '{ad.AS_OF}') - epoch_us(coalesce(e.at, p.created_at))) / 86400000000.0::DOUBLE, 6) AS days,
+  coalesce(h.total, 0) AS changes, h.newest AS history, CAST(floor(t.share * 100 + 0.5) AS BIGINT) AS fit, t.tier, coalesce(k.n, 0) AS contacts
+FROM v_prospects p JOIN tiered t ON t.id = p.id LEFT JOIN v_stages s ON s.value = p.stage LEFT JOIN v_stages n ON n.ord = s.ord + 1 LEFT JOIN h ON h.prospect_id = p.id LEFT JOIN entry e ON e.prospect_id = p.id
+LEFT JOIN (SELECT id % 100 AS of, count(*) AS n FROM v_contacts WHERE email IS NOT NULL GROUP BY 1) k ON k.of = p.id"""))
 def prospect_detail(spark, d):
-    p = ad.prospects(spark, d).where("id = 7").select(F.col("id").alias("pid"))
-    log = ad.log(spark, d).where("prospect_id = 7").select(F.col("id").alias("lid"), "prospect_id")
-    k = ad.contacts(spark, d).where("email is not null and id = 7").select(F.col("id").alias("kid"))
-    out = p.join(log, F.col("pid") == F.col("prospect_id"), "left").join(k, F.col("pid") == F.col("kid"), "left")
-    return out.groupBy(F.col("pid").alias("id")).agg(F.count("lid").alias("changes"), F.max("lid").alias("last_change"), F.count("kid").alias("contacts"))
+    """The page of every prospect: what comes next, days in the stage, the newest changes, the fit, and how many contacts."""
+    p, log = ad.prospects(spark, d), ad.log(spark, d)
+    page = stages.with_next_stage(stages.days_since_entry(p, log, ad.as_of()), _stages(spark))
+    history = lookups.newest_list(log, "prospect_id", "to_stage", ["created_at", "id"], 3)
+    fit = screening.screened(p, ad.rules(spark), FIELDS).select("id", "share", "tier")
+    people = ad.contacts(spark, d).where("email is not null").groupBy((F.col("id") % 100).alias("of")).agg(F.count(F.lit(1)).alias("contacts"))
+    out = page.join(fit, "id").join(history, F.col("id") == F.col("prospect_id"), "left").join(people, F.col("id") == F.col("of"), "left")
+    return out.select(
+        "id", "next_stage", F.round("days", 6).alias("days"), F.coalesce("total", F.lit(0)).alias("changes"), F.array_join("newest", ",").alias("history"),
+        numbers.round_half_up(F.col("share") * 100).cast("long").alias("fit"), "tier", F.coalesce("contacts", F.lit(0)).alias("contacts"),
+    )
 
 
 @query(sql(f"""@{APPLIED}, u AS (SELECT c.channel AS k, avg(share) AS fit, count(*) AS n FROM tiered c GROUP BY 1) SELECT value AS channel, coalesce(n, 0) AS n, round(fit, 6) AS fit, coalesce(fit >= 0.5::DOUBLE, false) AS recommended FROM v_channels LEFT JOIN u ON u.k = value"""))
 def channel_fit(spark, d):
     p = ad.prospects(spark, d)
-    s = screening.screened(p, ad.rules(spark), FIELDS).join(p.select("id", "channel"), "id")
+    s = screening.screened(p, ad.rules(spark), FIELDS, keep=("channel",))
     agg = s.groupBy("channel").agg(F.avg("share").alias("fit"), F.count(F.lit(1)).alias("n"))
     out = stages.zero_filled(_channels(spark).select("value"), agg, "channel", {"n": 0})
     return out.select(F.col("value").alias("channel"), "n", F.round("fit", 6).alias("fit"), F.coalesce(F.col("fit") >= 0.5, F.lit(False)).alias("recommended"))

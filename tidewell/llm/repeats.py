@@ -402,7 +402,7 @@ def repeated_spans(
     many = many.where("n = 1").join(twice, ["gram", "back", "hash"]).select("kd", "kt", "s", (F.col("s") + minimum).alias("e"))
     single = chunked.where("anchor is null").select("kd", "kt")
     spans = settled.unionByName(few).unionByName(many).groupBy("kd", "kt").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    spans = spans.join(single, ["kd", "kt"], "left_semi")
+    spans = scratch.keep(spans.join(single, ["kd", "kt"], "left_semi"))
     return summary, copies, spans
 
 

@@ -559,3 +559,18 @@ def test_pipeline(docs, none, labels, spark, tmp_path):
     assert {"doc_id", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0, name
+
+
+def test_language_model_does_not_depend_on_chunks(spark, monkeypatch):
+    """Words with counts of their own, in one chunk or in many, give the same model; more of them fit held-out texts better."""
+    rng = random.Random(31)
+    topics = [[f"w{t}x{i}" for i in range(30)] for t in range(4)]
+    data = [(i, " ".join(rng.choice(topics[i % 4]) for _ in range(60))) for i in range(400)] + [(None, None), (1, "")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    monkeypatch.setattr(hmm, "OWN", 20)
+    one, many = (sorted(map(str, ((r["doc_id"], round(r["score"], 3)) for r in hmm.language_scores(df.repartition(n, "text")).collect()))) for n in (1, 7))
+    assert one == many
+    held = hmm.language_scores(df).where("held_out").agg({"score": "sum", "base_score": "sum"}).first().asDict()
+    assert held["sum(score)"] > 0.9 * held["sum(base_score)"]
+    monkeypatch.setattr(hmm, "OWN", 10**9)
+    assert hmm.language_scores(df).where("held_out").agg({"score": "sum"}).first()[0] < held["sum(score)"]

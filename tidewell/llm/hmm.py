@@ -1,13 +1,14 @@
 """A hidden Markov language model trained by Baum-Welch on all training documents.
 
 A token's probability in a state is its unigram probability times the state's preference for the token's
-class: P(w) * B[s, class(w)] / P(class(w)). Frequent words have classes of their own (up to collisions in a table of fixed
-size), rare ones are classed by their ending, unknown words and the end of a text have a class each. So the states'
-tables have a fixed size whatever the vocabulary, while unigram counts cover every word. For each state the probabilities of
-all words and the unknown one sum to one, and the score of a text is exact for the model.
-
-Counts never leave the executors: texts are read in chunks, each chunk's distinct words meet the others' in a shuffle, and the
-counts go back to the chunk. What the driver holds is the states' tables.
+class: P(w) * B[s, class(w)] / P(class(w)). Each word with ``OWN`` occurrences in training is a class of its own, at
+any size of the corpus; rarer ones are classed by their ending, unknown words and the end of a text have a class each.
+For each state the probabilities of all words and the unknown one sum to one, and the score of a text is exact for the model.
+
+What is gathered grows with the corpus and never leaves the executors: texts are read in chunks, each chunk's distinct words
+meet the others' in a shuffle, and counts go back to the chunk. Expected counts of words by state take the same way in
+each pass: they are a table with a row for each such word, joined to the words of a chunk. The driver holds the states' moves and
+the shared classes.
 """
 
 from __future__ import annotations
@@ -24,13 +25,16 @@ from tidewell.llm.common import Scratch, held_out_fold
 
 #: Bytes of text whose distinct words are counted together.
 CHUNK_BYTES = 12 << 20
-FREQUENT, ENDINGS = 1 << 15, 1 << 12
-UNKNOWN, END = FREQUENT + ENDINGS, FREQUENT + ENDINGS + 1
-N_CLASSES = FREQUENT + ENDINGS + 2
+#: Occurrences in training from which a word has expected counts of its own.
+OWN = 64
+ENDINGS = 1 << 12
+UNKNOWN, END = ENDINGS, ENDINGS + 1
+#: Classes that words share. Codes of tokens from here on are places in their chunk's list of words.
+N_CLASSES = ENDINGS + 2
 STATES = 8
 ITERATIONS = 3
-#: Documents from which the first guess of the states is made.
-GUESS_DOCS = 1500
+#: Documents from which the first guess of the states is made, and the tokens of the longest.
+GUESS_DOCS, GUESS_TOKENS = 1500, 1 << 14
 #: The most frequent classes that the guess looks at.
 GUESS_CLASSES = 3000
 #: Tokens that forward and backward recursion hold at once, but for a longer single text.
@@ -44,6 +48,15 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def pack_ints(x: np.ndarray) -> bytes:
+    """Whole numbers as all their low bytes, then all second ones, and so on, which compress well."""
+    return np.ascontiguousarray(x.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpack_ints(raw) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def chunk_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Rows of documents (ids: places in the chunk's list of words) and rows of words (hash, ending, count in training)."""
 
@@ -69,9 +82,8 @@ def chunk_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
             ids = rank[inverse] + 1  # 0 is the end of a text
             train = np.bincount(ids, np.repeat(folds != 1, counts), minlength=len(words) + 1).astype(np.int64)
             train[0] = int((folds != 1).sum())
-            low, high = (ids & 0xFFFF).astype("<u2"), (ids >> 16).astype(np.uint8)
             ends = np.cumsum(counts)
-            raw = [low[e - n : e].tobytes() + high[e - n : e].tobytes() for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+            raw = [pack_ints(ids[e - n : e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
             n = len(raw)
             keys = pa.concat_arrays([h[0].column(0) for h in held])
             none = lambda t, k: pa.nulls(k, t)
@@ -123,8 +135,10 @@ def chunk_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return cols.mapInArrow(run, f"chunk long, doc {kind}, fold int, ids binary, word int, hash long, ending int, train long")
 
 
-def classed(docs: DataFrame, scratch: Scratch, key: str, text: str) -> tuple[DataFrame, int, int, np.ndarray]:
-    """(doc, fold, n_tokens, n_known, base_score, classes), N, V and the classes' probabilities."""
+def classed(docs: DataFrame, scratch: Scratch, key: str, text: str) -> tuple[DataFrame, DataFrame, int, np.ndarray, float]:
+    """Texts (chunk, at, doc, fold, n_tokens, n_known, base_score, codes), a chunk's words with own counts (chunk, word, hash, c),
+    N, the probabilities of the shared classes, and N + 0.5 (V + 1), over which all probabilities are taken.
+    """
     rows = scratch.keep(chunk_rows(docs, key, text), "zstd")
     is_end = F.col("word") == 0
     words = rows.where("word is not null").select("chunk", "word", F.when(is_end, F.lit(None)).otherwise(F.col("hash")).alias("hash"), "ending", "train")
@@ -134,69 +148,82 @@ def classed(docs: DataFrame, scratch: Scratch, key: str, text: str) -> tuple[Dat
     inner, distinct = by_word.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     total, distinct = inner + ends, distinct + (ends > 0)
     whole = total + 0.5 * (distinct + 1)
-    often = max(2, math.ceil(total / FREQUENT))
-    cls = (
-        F.when(F.col("c") == 0, UNKNOWN)
-        .when(F.col("c") >= often, F.pmod(F.xxhash64("hash"), F.lit(FREQUENT)))
-        .otherwise(F.lit(FREQUENT) + F.col("ending"))
-        .cast("int")
-    )
+    cls = F.when(F.col("c") == 0, UNKNOWN).when(F.col("c") < OWN, F.col("ending")).cast("int")
     mass = np.zeros(N_CLASSES)
-    by_class = by_word.where("c > 0").groupBy(cls.alias("cls")).agg(F.sum(F.col("c") + 0.5).alias("m")).toArrow()  # N_CLASSES rows at most
-    mass[by_class.column("cls").to_numpy()] = by_class.column("m").to_numpy() / whole
+    by_class = by_word.where(f"c > 0 and c < {OWN}").groupBy("ending").agg(F.sum(F.col("c") + 0.5).alias("m")).toArrow()  # ENDINGS rows at most
+    mass[by_class.column("ending").to_numpy()] = by_class.column("m").to_numpy() / whole
     mass[END] = (ends + 0.5) / whole if ends else 0.0
     mass[UNKNOWN] = 0.5 / whole
     kind = dict(docs.dtypes)[key]
+    names = ["chunk", "at", "doc", "fold", "n_tokens", "n_known", "base_score", "codes", "word", "hash", "c"]
+    schema = f"chunk long, at int, doc {kind}, fold int, n_tokens long, n_known long, base_score double, codes binary, word int, hash long, c long"
 
     def look_up(docs: pa.Table, words: pa.Table) -> pa.Table:
         order = words.column("word").to_numpy()
-        count, cls = np.zeros(len(order), np.int64), np.zeros(len(order), np.uint16)
+        count, code = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        shared = words.column("cls").fill_null(-1).to_numpy()
         count[order] = words.column("c").to_numpy()
-        cls[order] = words.column("cls").to_numpy()
+        code[order] = np.where(shared >= 0, shared, N_CLASSES + order)
         logs = np.log10((count + 0.5) / whole)
         known = count > 0
-        n_tokens, n_known, base, classes = [], [], [], []
+        n_tokens, n_known, base, codes = [], [], [], []
         for raw in docs.column("ids").to_pylist():
-            k = len(raw) // 3
-            ids = np.zeros(k + 1, np.int64)
-            ids[:k] = np.frombuffer(raw, "<u2", k) | (np.frombuffer(raw, np.uint8, k, 2 * k).astype(np.int64) << 16)
-            n_tokens.append(k + 1)
+            ids = np.append(unpack_ints(raw), 0)
+            n_tokens.append(len(ids))
             n_known.append(int(known[ids].sum()))
             base.append(float(logs[ids].sum()))
-            classes.append(cls[ids].astype("<u2").tobytes())
-        return pa.table([docs.column("doc"), docs.column("fold"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(classes, pa.binary())], ["doc", "fold", "n_tokens", "n_known", "base_score", "classes"])
+            codes.append(pack_ints(code[ids]))
+        n = docs.num_rows
+        own = words.filter(pa.array(shared < 0)).sort_by("word")
+        texts = pa.table(
+            [
+                docs.column("chunk"), pa.array(np.arange(n, dtype=np.int32)), docs.column("doc"), docs.column("fold"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
+                pa.array(base, pa.float64()), pa.array(codes, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
+            ],
+            names,
+        )
+        none = [pa.nulls(own.num_rows, f.type) for f in texts.schema]
+        listed = pa.table([own.column("of"), *none[1:8], own.column("word"), own.column("hash"), own.column("c")], names)
+        return pa.concat_tables([texts, listed.cast(texts.schema)])
 
     texts = rows.where("word is null").select("chunk", "doc", "fold", "ids").groupBy("chunk")
     end = F.lit(END if ends else UNKNOWN)
     counted = words.where("hash is not null").select("chunk", "word", "hash").join(by_word.select("hash", "c", cls.alias("cls")), "hash")
-    counted = counted.select(F.col("chunk").alias("of"), "word", "c", "cls").unionByName(
-        words.where("hash is null").select(F.col("chunk").alias("of"), "word", F.lit(ends).cast("long").alias("c"), end.alias("cls"))
+    counted = counted.select(F.col("chunk").alias("of"), "word", "c", "cls", F.when(F.col("cls").isNull(), F.col("hash")).alias("hash")).unionByName(
+        words.where("hash is null").select(F.col("chunk").alias("of"), "word", F.lit(ends).cast("long").alias("c"), end.alias("cls"), F.lit(None).cast("long").alias("hash"))
     )
-    joined = texts.cogroup(counted.groupBy("of"))
-    out = scratch.keep(joined.applyInArrow(look_up, f"doc {kind}, fold int, n_tokens long, n_known long, base_score double, classes binary"), "zstd")
-    scratch.drop(rows)
-    return out, total, distinct, mass
+    out = scratch.keep(texts.cogroup(counted.groupBy("of")).applyInArrow(look_up, schema), "zstd")
+    scratch.drop(rows, by_word)
+    return out.where("word is null").drop("word", "hash", "c"), out.where("word is not null").select("chunk", "word", "hash", "c"), total, mass, whole
 
 
 class Model:
     """start[s], move[s, s'], and prefer[class, s]: the state's probability of a class over the class's own."""
 
-    def __init__(self, start: np.ndarray, move: np.ndarray, prefer: np.ndarray):
-        self.start, self.move, self.prefer = start, move, prefer
+    def __init__(self, start: np.ndarray, move: np.ndarray, prefer: np.ndarray, even: float = 0.0, factor: np.ndarray | float = 1.0):
+        self.start, self.move, self.prefer, self.even, self.factor = start, move, prefer, even, factor
 
     @classmethod
-    def from_counts(cls, start: np.ndarray, move: np.ndarray, emit: np.ndarray, mass: np.ndarray) -> Model:
-        """The next model from expected counts; emit is [class, state]. The unknown word keeps its unigram probability."""
+    def from_counts(cls, start: np.ndarray, move: np.ndarray, emit: np.ndarray, mass: np.ndarray, own_emit: np.ndarray | float = 0.0) -> Model:
+        """The next model from expected counts; emit is [class, state] of the shared classes, ``own_emit`` the sum over all other
+        words, which have what probability ``mass`` leaves. The unknown word keeps its unigram probability.
+        """
         share = np.where(mass > 0, mass, 0)
         share[UNKNOWN] = 0
+        known = max(1 - mass[UNKNOWN], 1e-300)  # the probability of all other words, shared or not
         emit = emit.copy()
         emit[UNKNOWN] = 0
-        emit += PRIOR * share[:, None] / max(share.sum(), 1e-300)
-        emit *= (1 - mass[UNKNOWN]) / np.maximum(emit.sum(axis=0), 1e-300)
+        even = PRIOR / known
+        factor = known / np.maximum(emit.sum(axis=0) + own_emit + PRIOR, 1e-300)
         prefer = np.ones_like(emit)
         some = share > 0
-        prefer[some] = emit[some] / mass[some, None]
-        return cls((start + 1) / (start + 1).sum(), (move + 1) / (move + 1).sum(axis=1, keepdims=True), prefer)
+        prefer[some] = (emit[some] / mass[some, None] + even) * factor
+        return cls((start + 1) / (start + 1).sum(), (move + 1) / (move + 1).sum(axis=1, keepdims=True), prefer, even, factor)
+
+    def with_words(self, emit: np.ndarray, mass: np.ndarray) -> Model:
+        """The same with some words of their own classes appended."""
+        own = (emit / mass[:, None] + self.even) * self.factor
+        return Model(self.start, self.move, np.concatenate((self.prefer, own)), self.even, self.factor)
 
     def forward(self, packed: _Packed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scaled forward recursion: alphas, scales and natural log likelihood ratios by text."""
@@ -225,7 +252,7 @@ class Model:
         gamma = alpha * beta
         later = slice(packed.steps[0][1], len(alpha))
         moves = self.move * (alpha[packed.before[later]].T @ emit[later])
-        emits = np.stack([np.bincount(packed.classes, gamma[:, s], minlength=N_CLASSES) for s in range(len(self.start))], axis=1)
+        emits = np.stack([np.bincount(packed.classes, gamma[:, s], minlength=len(self.prefer)) for s in range(len(self.start))], axis=1)
         return gamma[: packed.steps[0][1]].sum(axis=0), moves, emits, float(total.sum())
 
 
@@ -264,15 +291,9 @@ def _packs(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, _Packed]]:
         at = end
 
 
-def first_guess(sample: list[np.ndarray], mass: np.ndarray, states: int, seed: int = 7) -> Model:
-    """States from a mixture of unigrams over some texts; they are likely to stay."""
+def first_guess(counts: np.ndarray, states: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """States of some texts and counts of their classes by state, from a mixture of unigrams; counts is [text, class]."""
     rng = np.random.default_rng(seed)
-    times = sum((np.bincount(t, minlength=N_CLASSES) for t in sample), np.zeros(N_CLASSES, np.int64))
-    used = np.sort(np.argsort(-times, kind="stable")[:GUESS_CLASSES])
-    column = np.full(N_CLASSES, len(used))
-    column[used] = np.arange(len(used))
-    counts = [np.bincount(column[t], minlength=len(used) + 1)[:-1] for t in sample] or [np.ones(len(used))]
-    counts = np.stack(counts).astype(np.float32)
     length = np.maximum(counts.sum(axis=1, keepdims=True), 1)
     posterior = rng.dirichlet(np.full(states, 0.3), len(counts))
     for _ in range(25):
@@ -281,34 +302,102 @@ def first_guess(sample: list[np.ndarray], mass: np.ndarray, states: int, seed: i
         x = (counts @ logs.T + np.log(posterior.mean(axis=0) + 1e-3) * np.sqrt(length)) / np.sqrt(length)
         posterior = np.exp(x - x.max(axis=1, keepdims=True))
         posterior /= posterior.sum(axis=1, keepdims=True)
-    emit = np.zeros((N_CLASSES, states))
-    emit[used] = (posterior.T @ counts).T
-    stay = np.full((states, states), 1.0) + np.eye(states) * 20 * states
-    return Model.from_counts(posterior.sum(axis=0), stay * 1e3, emit, mass)
+    return posterior.sum(axis=0), (posterior.T @ counts).T
+
+
+def _with_words(texts: DataFrame, words: DataFrame, state: DataFrame, columns: list[str]):
+    """Texts of a chunk together with the chunk's own words and their expected counts."""
+    known = words.join(state, "hash", "left").select(F.col("chunk").alias("of"), "word", "hash", "c", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in columns])
+    return texts.groupBy("chunk").cogroup(known.groupBy("of"))
+
+
+def _places(texts: pa.Table, words: pa.Table) -> list[np.ndarray]:
+    """Classes of each text's tokens: shared ones, then the rows of ``words``."""
+    listed = words.column("word").to_numpy()
+    place = np.zeros(int(listed.max(initial=0)) + 1, np.int64)
+    place[listed] = N_CLASSES + np.arange(len(listed))
+    out = []
+    for chunk in texts.column("codes").chunks:
+        for raw in chunk:
+            code = unpack_ints(raw.as_buffer())
+            own = code >= N_CLASSES
+            code[own] = place[code[own] - N_CLASSES]
+            out.append(code)
+    return out
+
 
+def _own(words: pa.Table, columns: list[str], whole: float) -> tuple[np.ndarray, np.ndarray]:
+    """Expected counts and probabilities of a chunk's own words."""
+    return np.stack([words.column(c).to_numpy() for c in columns], axis=1), (words.column("c").to_numpy() + 0.5) / whole
 
-def baum_welch(texts: DataFrame, model: Model, mass: np.ndarray) -> tuple[Model, float]:
-    """One iteration over all texts: expected counts by task, summed by class in a shuffle."""
+
+def guessed(training: DataFrame, words: DataFrame, mass: np.ndarray, states: int, columns: list[str]) -> tuple[Model, DataFrame]:
+    """The first model and expected counts (hash, one column for each state) from a bounded sample of texts."""
+    spark = training.sparkSession
+    by_hash = F.xxhash64(F.lit(41), "doc")
+    # A thinned choice first, as each task would send the driver as many rows as it wants in all.
+    every = max(1, training.count() // (2 * GUESS_DOCS))
+    some = training.where((F.col("n_tokens") <= GUESS_TOKENS) & (F.pmod(by_hash, F.lit(every)) == 0))
+    picked = some.orderBy(by_hash, "doc", "n_tokens", "base_score").select("chunk", "at").limit(GUESS_DOCS).collect()
+    rows = spark.createDataFrame([(r["chunk"], r["at"], i) for i, r in enumerate(picked)], "chunk long, at int, row long")
+    sample = training.join(F.broadcast(rows), ["chunk", "at"])  # GUESS_DOCS rows at most
+    nothing = spark.createDataFrame([], "hash long, " + ", ".join(f"{c} double" for c in columns))
+
+    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        listed = words.column("hash").to_numpy()
+        at, own, key, n = [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for row, text in zip(texts.column("row").to_pylist(), _places(texts, words), strict=True):
+            found, times = np.unique(text, return_counts=True)
+            mine = found >= N_CLASSES
+            code = found.copy()
+            code[mine] = listed[found[mine] - N_CLASSES]
+            at.append(np.full(len(found), row)), own.append(mine), key.append(code), n.append(times)
+        return pa.table([np.concatenate(x) for x in (at, own, key, n)], ["row", "own", "key", "n"])
+
+    counts = _with_words(sample, words, nothing, columns).applyInArrow(run, "row long, own boolean, key long, n long")
+    top = counts.groupBy("own", "key").agg(F.sum("n").alias("_n")).orderBy(F.desc("_n"), "own", "key").limit(GUESS_CLASSES).select("own", "key")
+    found = counts.join(F.broadcast(top), ["own", "key"]).toArrow()  # GUESS_DOCS * GUESS_CLASSES rows at most
+    own, key = found.column("own").to_numpy(), found.column("key").to_numpy()
+    row = found.column("row").to_numpy()
+    used, column = np.unique(np.stack([own.astype(np.int64), key]), axis=1, return_inverse=True)
+    table = np.zeros((max(1, len(picked)), max(1, used.shape[1])), np.float32)
+    table[row, column.ravel()] = found.column("n").to_numpy()
+    start, counted = first_guess(table, states)
+    shared, mine = np.zeros((N_CLASSES, states)), used[0] == 1
+    counted = counted[: used.shape[1]].astype(np.float64)
+    shared[used[1][~mine]] = counted[~mine]
+    stay = (np.full((states, states), 1.0) + np.eye(states) * 20 * states) * 1e3
+    state = pa.table([pa.array(used[1][mine], pa.int64()), *(pa.array(counted[mine, s]) for s in range(states))], ["hash", *columns])
+    model = Model.from_counts(start, stay, shared, mass, counted[mine].sum(axis=0))
+    return model, spark.createDataFrame(state) if state.num_rows else nothing
+
+
+def baum_welch(training: DataFrame, words: DataFrame, state: DataFrame, model: Model, mass: np.ndarray, whole: float, columns: list[str], scratch: Scratch) -> tuple[Model, DataFrame]:
+    """One iteration over all texts: expected counts by chunk, summed by word or class in a shuffle and kept as a table."""
     states = len(model.start)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, move, emit, total = np.zeros(states), np.zeros((states, states)), np.zeros((N_CLASSES, states)), 0.0
-        for batch in batches:
-            for _, packed in _packs([np.frombuffer(x.as_buffer(), "<u2") for x in batch.column(0)]):
-                a, b, c, d = model.expect(packed)
-                start, move, total = start + a, move + b, total + d
-                emit += c
+    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        here = model.with_words(*_own(words, columns, whole))
+        start, move, emit, total = np.zeros(states), np.zeros((states, states)), np.zeros_like(here.prefer), 0.0
+        for _, packed in _packs(_places(texts, words)):
+            a, b, c, d = here.expect(packed)
+            start, move, total = start + a, move + b, total + d
+            emit += c
+        keys = np.concatenate((np.arange(N_CLASSES), words.column("hash").to_numpy()))
         some = np.flatnonzero(emit.any(axis=1))
-        ids = np.concatenate((some, N_CLASSES + np.arange(states + 2)))
+        keys = np.concatenate((keys[some], N_CLASSES + np.arange(states + 2)))
+        own = np.concatenate((some >= N_CLASSES, np.zeros(states + 2, bool)))
         values = np.concatenate((emit[some], move, start[None], np.full((1, states), total)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32())] + [pa.array(values[:, s]) for s in range(states)], ["id"] + [f"s{s}" for s in range(states)])
+        return pa.table([own, keys, *(values[:, s] for s in range(states))], ["own", "key", *columns])
 
-    cols = [f"s{s}" for s in range(states)]
-    sums = texts.select("classes").mapInArrow(run, "id int, " + ", ".join(f"{c} double" for c in cols)).groupBy("id").agg(*[F.sum(c).alias(c) for c in cols])
+    schema = "own boolean, key long, " + ", ".join(f"{c} double" for c in columns)
+    sums = scratch.keep(_with_words(training, words, state, columns).applyInArrow(run, schema).groupBy("own", "key").agg(*[F.sum(c).alias(c) for c in columns]))
     table = np.zeros((N_CLASSES + states + 2, states))
-    found = sums.toArrow()  # a row for each class: bounded by N_CLASSES
-    table[found.column("id").to_numpy()] = np.stack([found.column(c).to_numpy() for c in cols], axis=1)
-    return Model.from_counts(table[N_CLASSES + states], table[N_CLASSES : N_CLASSES + states], table[:N_CLASSES], mass), float(table[-1, 0])
+    found = sums.where("not own").toArrow()  # a row for each shared class: bounded by N_CLASSES
+    table[found.column("key").to_numpy()] = np.stack([found.column(c).to_numpy() for c in columns], axis=1)
+    rest = sums.where("own").agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in columns]).first()
+    model = Model.from_counts(table[N_CLASSES + states], table[N_CLASSES : N_CLASSES + states], table[:N_CLASSES], mass, np.array(rest, float))
+    return model, sums.where("own").select(F.col("key").alias("hash"), *columns)
 
 
 def language_scores(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -319,36 +408,33 @@ def language_scores(docs: DataFrame, states: int = STATES, iterations: int = ITE
     are scored each, and count each. Null numbers are kept; their fold is that of empty text. An empty table
     gives an empty result. Other columns are ignored. Words meet by 64-bit hashes.
 
-    The states are first guessed from at most ``GUESS_DOCS`` training texts of up to 16,384 tokens, chosen by a hash;
+    The states are first guessed from at most ``GUESS_DOCS`` training texts of up to ``GUESS_TOKENS`` tokens, chosen by a hash;
     everything after that, word counts and all passes of Baum-Welch, is over all training texts.
     """
     scratch = Scratch(docs.sparkSession, "hmm")
-    texts, total, distinct, mass = classed(docs, scratch, key, text)
+    columns = [f"s{s}" for s in range(states)]
+    texts, words, total, mass, whole = classed(docs, scratch, key, text)
     training = texts.where("fold != 1")
-    by_hash = F.xxhash64(F.lit(41), "doc")
-    # A thinned choice first, as each task would send the driver as many rows as it wants in all.
-    every = max(1, training.count() // (2 * GUESS_DOCS))
-    sample = training.where((F.octet_length("classes") <= 1 << 15) & (F.pmod(by_hash, F.lit(every)) == 0))
-    sample = sample.orderBy(by_hash, "doc", "classes").select("classes").limit(GUESS_DOCS).collect()
-    model = first_guess([np.frombuffer(r["classes"], "<u2") for r in sample], mass, states)
+    model, state = guessed(training, words, mass, states, columns)
     for _ in range(iterations if total else 0):
-        model, _ = baum_welch(training, model, mass)
+        model, state = baum_welch(training, words, state, model, mass, whole, columns, scratch)
 
     names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ratio = np.zeros(batch.num_rows)
-            for rows, packed in _packs([np.frombuffer(x.as_buffer(), "<u2") for x in batch.column("classes")]):
-                ratio[rows] = model.forward(packed)[2]
-            base = batch.column("base_score").to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc"), pa.array(batch.column("fold").to_numpy() == 1), batch.column("n_tokens"), batch.column("n_known"),
-                    pa.array(np.full(batch.num_rows, total)), batch.column("base_score"), pa.array(base + ratio / math.log(10)),
-                ],
-                names,
-            )
+    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+        here = model.with_words(*_own(words, columns, whole))
+        ratio = np.zeros(texts.num_rows)
+        for rows, packed in _packs(_places(texts, words)):
+            ratio[rows] = here.forward(packed)[2]
+        base = texts.column("base_score").to_numpy()
+        return pa.table(
+            [
+                texts.column("doc"), pa.array(texts.column("fold").to_numpy() == 1), texts.column("n_tokens"), texts.column("n_known"),
+                pa.array(np.full(texts.num_rows, total, np.int64)), texts.column("base_score"), pa.array(base + ratio / math.log(10)),
+            ],
+            names,
+        )
 
     kind = dict(docs.dtypes)[key]
-    return texts.mapInArrow(run, f"{key} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    schema = f"{key} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return _with_words(texts, words, state, columns).applyInArrow(run, schema)

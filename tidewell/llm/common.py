@@ -42,8 +42,15 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Whether Spark frees a query's shuffle files as soon as the query ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
-    """Written tables that cut lineage, so that a lost executor costs a read and not a recomputation."""
+    """Written tables that cut lineage, so that a lost executor costs a read and not a recomputation.
+
+    What follows reads the table, so the shuffle files behind it are freed once it is written.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         let_workers_import(spark)
@@ -55,7 +62,15 @@ class Scratch:
         """Write ``df`` as Parquet and return it as read from there. zstd is for large texts: it takes less disk and more memory."""
         self.made += 1
         path = f"{self.root}/{self.made}"
-        df.write.option("compression", codec).parquet(path)
+        before = self.spark.conf.get(FREE_SHUFFLES, None)
+        self.spark.conf.set(FREE_SHUFFLES, "true")
+        try:
+            df.write.option("compression", codec).parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(FREE_SHUFFLES)
+            else:
+                self.spark.conf.set(FREE_SHUFFLES, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

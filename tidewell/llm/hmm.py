@@ -1,8 +1,9 @@
 """A hidden Markov language model trained by Baum-Welch on all training documents.
 
 A token's probability in a state is its unigram probability times the state's preference for the token's
-class: P(w) * B[s, class(w)] / P(class(w)). Each word with ``OWN`` occurrences in training is a class of its own, at
-any size of the corpus; rarer ones are classed by their ending, unknown words and the end of a text have a class each.
+class: P(w) * B[s, class(w)] / P(class(w)). A word with at least N^(3/4) / ``OWN`` occurrences among N training tokens is a
+class of its own; rarer ones are classed by their ending, unknown words and the end of a text have a class each. So words with
+classes of their own grow in number with the corpus, up to ``OWN`` * N^(1/4), and each has ever more occurrences to learn from.
 For each state the probabilities of all words and the unknown one sum to one, and the score of a text is exact for the model.
 
 What is gathered grows with the corpus and never leaves the executors: texts are read in chunks, each chunk's distinct words
@@ -25,8 +26,8 @@ from tidewell.llm.common import Scratch, held_out_fold
 
 #: Bytes of text whose distinct words are counted together.
 CHUNK_BYTES = 12 << 20
-#: Occurrences in training from which a word has expected counts of its own.
-OWN = 64
+#: A word has expected counts of its own from N^(3/4) / OWN occurrences among N training tokens.
+OWN = 512
 ENDINGS = 1 << 12
 UNKNOWN, END = ENDINGS, ENDINGS + 1
 #: Classes that words share. Codes of tokens from here on are places in their chunk's list of words.
@@ -148,9 +149,10 @@ def classed(docs: DataFrame, scratch: Scratch, key: str, text: str) -> tuple[Dat
     inner, distinct = by_word.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     total, distinct = inner + ends, distinct + (ends > 0)
     whole = total + 0.5 * (distinct + 1)
-    cls = F.when(F.col("c") == 0, UNKNOWN).when(F.col("c") < OWN, F.col("ending")).cast("int")
+    often = max(2, math.ceil(total**0.75 / OWN))
+    cls = F.when(F.col("c") == 0, UNKNOWN).when(F.col("c") < often, F.col("ending")).cast("int")
     mass = np.zeros(N_CLASSES)
-    by_class = by_word.where(f"c > 0 and c < {OWN}").groupBy("ending").agg(F.sum(F.col("c") + 0.5).alias("m")).toArrow()  # ENDINGS rows at most
+    by_class = by_word.where(f"c > 0 and c < {often}").groupBy("ending").agg(F.sum(F.col("c") + 0.5).alias("m")).toArrow()  # ENDINGS rows at most
     mass[by_class.column("ending").to_numpy()] = by_class.column("m").to_numpy() / whole
     mass[END] = (ends + 0.5) / whole if ends else 0.0
     mass[UNKNOWN] = 0.5 / whole

@@ -80,14 +80,16 @@ def shuffle_into_shards(
 
     cells = ["seeded", "k", "size", "crc", "moves", "record"]
     # Spark seeds ``shuffle`` by the partition as well and goes on from row to row, so both must follow from the rows alone:
-    # a partition for each few buckets, whatever the session's settings, and its buckets in order.
+    # the number of a bucket is that of its partition, whatever the session's settings.
+    # A bucket's start comes to it as one more row, so that its records aren't shuffled again for a join.
+    number = F.col("shard") * per_shard + F.col("bucket")
     buckets = (
-        rows.repartition(n_shards * per_shard, "shard", "bucket")
-        .groupBy("shard", "bucket")
-        .agg(F.sort_array(F.collect_list(F.struct(*cells))).alias("recs"))
-        .sortWithinPartitions("shard", "bucket")
-        .select("shard", "bucket", F.shuffle("recs", F.lit(seed)).alias("recs"))
-        .join(starts, ["shard", "bucket"])
+        rows.withColumn("number", number)
+        .unionByName(starts.select("start", number.alias("number")), allowMissingColumns=True)
+        .repartitionById(n_shards * per_shard, "number")
+        .groupBy("number")
+        .agg(F.sort_array(F.collect_list(F.when(F.col("start").isNull(), F.struct(*cells)))).alias("recs"), F.max("start").alias("start"))
+        .select(F.floor(F.col("number") / per_shard).cast("int").alias("shard"), "start", F.shuffle("recs", F.lit(seed)).alias("recs"))
     )
     out = buckets.select("shard", "start", F.posexplode("recs").alias("pos", "r"))
     return out.select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewell.llm.common import table
 
@@ -73,6 +74,26 @@ def op10_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(synthesised(table(spark, sf_dir, "embeddings")), lambda k: k % 100 == 0)
 
 
+def op11_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.token_files import written_tokens
+
+    return written_tokens(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.runs import periodic_runs, run_digests, with_repeats
+
+    return run_digests(periodic_runs(with_repeats(table(spark, sf_dir, "documents"))))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewell.llm.hard_negatives import hard_negatives
+
+    rows = table(spark, sf_dir, "embeddings")
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", changed), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat": op1_chat,
@@ -85,6 +106,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_hmm": op8_hmm,
         "op9_quality": op9_quality,
         "op10_chroma": op10_chroma,
+        "op11_token_codes": op11_token_codes,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 

@@ -270,8 +270,12 @@ def hard_negatives(
     ))
     positives = _selected(scratch, packed.withColumn("windows", every), blocks, shape, True, n_positives, bound, id_bits, least_id)
 
-    ceiling = F.expr(f"score * {low} div 100 + IF(score * {low} % 100 > 0, 1, 0)")  # div cuts towards zero
-    floor = F.expr(f"score * {high} div 100 - IF(score * {high} % 100 < 0, 1, 0)")
+
+    def percent(p: int, beyond: str) -> Column:
+        """p percent of the score, cut towards zero, and ``beyond`` of what was cut; hundreds apart from the rest, so that nothing overflows."""
+        return F.expr(f"{p} * (score div 100) + ({p} * (score % 100)) div 100 + ({beyond.format(f'({p} * (score % 100)) % 100')})")
+
+    ceiling, floor = percent(low, "IF({0} > 0, 1, 0)"), percent(high, "IF({0} < 0, -1, 0)")
     bands = positives.select("ablock", F.col("w").alias("a"), F.col("rank").alias("j"), F.col("id").alias("positive_id"), "score", ceiling.cast("long").alias("lo"), floor.cast("long").alias("hi"))
     bands = bands.where("lo <= hi").withColumn("w", (F.col("a") * n_positives + F.col("j") - 1).cast("int"))
     bands = scratch.keep(bands)

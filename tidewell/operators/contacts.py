@@ -36,6 +36,39 @@ def upserted(contacts: DataFrame, writes: DataFrame) -> DataFrame:
     )
 
 
+def merged(contacts: DataFrame, writes: DataFrame, at: Column) -> DataFrame:
+    """The directory after ``writes`` (seq, name, email, organization, source_prospect_id, source_candidate_id) in the order of seq.
+
+    ``contacts``: id, name, email, organization, source_prospect_id, source_candidate_id, created_at, updated_at. A write with an
+    address goes to the contact of that address, which takes over all it says, nulls too; the last one wins. A write without one goes to the newest contact
+    without an address that has its name, without regard to case, and its organization; it only sets the source links that it has. If there is none, the
+    first such write adds a contact with its seq as the id. Written contacts get ``at`` as updated_at, new ones as created_at too. Writes without any name are skipped.
+    """
+    links = ("source_prospect_id", "source_candidate_id")
+    w = writes.select(
+        "seq", display_name(F.col("name"), F.col("organization"), F.col("email")).alias("w_name"), clean_email(F.col("email")).alias("w_email"), F.col("organization").alias("w_org"), *[F.col(c).alias(f"w_{c}") for c in links],
+    ).where("w_name is not null")
+    cells = F.struct("w_name", "w_org", *[f"w_{c}" for c in links])
+    last = w.where("w_email is not null").groupBy("w_email").agg(F.max_by(cells, "seq").alias("w"), F.min("seq").alias("w_seq")).select("w_email", "w.*", "w_seq")
+    mailed = contacts.where("email is not null").join(last, F.col("email") == F.col("w_email"), "full_outer")
+    hit = F.col("w_seq").isNotNull()
+    new = lambda written, c: F.when(hit, F.col(written)).otherwise(F.col(c)).alias(c)
+    stamp = [F.when(F.col("id").isNull(), at).otherwise(F.col("created_at")).alias("created_at"), F.when(hit, at).otherwise(F.col("updated_at")).alias("updated_at")]
+    ids = F.coalesce("id", "w_seq").alias("id")
+    mailed = mailed.select(ids, new("w_name", "name"), F.coalesce("w_email", "email").alias("email"), new("w_org", "organization"), *[new(f"w_{c}", c) for c in links], *stamp)
+
+    # one row for each name and organization: its last links that aren't null
+    key = F.struct(F.lower("w_name").alias("n"), F.col("w_org").alias("o")).alias("w_key")
+    named = w.where("w_email is null").groupBy(key).agg(
+        F.min("seq").alias("w_seq"), F.min_by("w_name", "seq").alias("w_name"), F.min_by("w_org", "seq").alias("w_org"), *[F.max_by(f"w_{c}", F.when(F.col(f"w_{c}").isNotNull(), F.col("seq"))).alias(f"w_{c}") for c in links],
+    )
+    newest = Window.partitionBy("_key").orderBy(F.col("created_at").desc_nulls_last(), F.col("id").desc())
+    without = contacts.where("email is null").withColumn("_key", F.struct(F.lower("name").alias("n"), F.col("organization").alias("o"))).withColumn("_rn", F.row_number().over(newest))
+    unmailed = without.join(named, (F.col("_rn") == 1) & F.col("_key").eqNullSafe(F.col("w_key")), "full_outer")
+    unmailed = unmailed.select(ids, F.coalesce("name", "w_name").alias("name"), "email", F.coalesce("organization", "w_org").alias("organization"), *[F.coalesce(f"w_{c}", c).alias(c) for c in links], *stamp)
+    return mailed.unionByName(unmailed)
+
+
 def matched_without_email(contacts: DataFrame, writes: DataFrame) -> DataFrame:
     """For writes without an address the newest contact of that name and organization without one; null if none."""
     w = writes.where(clean_email(F.col("email")).isNull()).withColumn("_n", display_name(F.col("name"), F.col("organization"), F.lit(None).cast("string"))).where("_n is not null")

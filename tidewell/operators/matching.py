@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import org_key
+from tidewell.sources.scratch import kept, shared_folder
 
 LEAST_CONTAINED = 4
 
@@ -59,16 +60,58 @@ def fuzzy_anti_join(found: DataFrame, known: DataFrame) -> DataFrame:
     return found.join(equal.union(inner).union(outer).distinct(), "id", "left_anti")
 
 
+def _related(keys: DataFrame) -> DataFrame:
+    """Pairs (kind, key, other) of the distinct ``keys`` (kind, key) of one kind of which one has the other in it, both ways round.
+
+    The contained one meets the longer ones by its rarest piece.
+    """
+    long = keys.where(F.length("key") >= LEAST_CONTAINED)
+    pieces = long.withColumn("piece", F.explode(F.array_distinct(_pieces(F.col("key")))))
+    longer = pieces.select(F.col("kind").alias("_kind"), F.col("key").alias("other"), F.col("piece").alias("_piece"))
+    meet = (F.col("kind") == F.col("_kind")) & (F.col("piece") == F.col("_piece")) & (F.length("other") > F.length("key")) & F.contains("other", F.col("key"))
+    pairs = _rarest_piece(long, pieces).join(longer, meet).select("kind", "key", "other")
+    return pairs.unionByName(pairs.select("kind", F.col("other").alias("key"), F.col("key").alias("other")))
+
+
 def greedy_distinct(found: DataFrame, group: str, order: str = "ord") -> DataFrame:
-    """Of each group's rows in order, those that match no row accepted before; a batch is one group of bounded size."""
-    rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("id").alias("id"), org_key(F.col("name")).alias("n"), org_key(F.col("organization")).alias("g"))))
-    kind = "array<struct<o:{0},id:{1},n:string,g:string>>".format(dict(found.dtypes)[order], dict(found.dtypes)["id"])
-    folded = F.aggregate(
-        rows, F.array().cast(kind),
-        lambda kept, r: F.when(F.exists(kept, lambda k: same_key(k["n"], r["n"]) | same_key(k["g"], r["g"])), kept).otherwise(F.array_append(kept, r)),
-    )
-    kept = found.groupBy(group).agg(folded.alias("kept")).select(F.explode("kept.id").alias("id"))
-    return found.join(kept, "id", "left_semi")
+    """Of each group's rows in order (ties by id), those that match no row accepted before, by name or by organization.
+
+    Decided in rounds, for all groups at once. A row without an undecided earlier row that it matches is kept, and those that match a kept row are
+    dropped. The first row of a group is always decided, so it ends; the rounds are as many as the longest chain of rows that hang on
+    each other's fate. Rows meet by their keys: each key has the earliest of its undecided rows, so equal names form no
+    pairs, and the pairs of keys that contain each other are found once. Each round is written and read again.
+
+    Rows without a name and organization match none. A null group is a group. An empty table gives none; ids tell rows apart.
+    """
+    folder = shared_folder(found.sparkSession, "greedy")
+    place = F.struct(F.col(order).alias("o"), F.col("id").alias("id"))
+    rows = kept(found.select("id", place.alias("place"), F.col(group).alias("g"), org_key(F.col("name")).alias("n"), org_key(F.col("organization")).alias("o")), folder, "rows")
+
+    def keyed(some: DataFrame) -> DataFrame:
+        both = F.array(*[F.struct(F.struct(F.col("g").alias("g"), F.lit(c).alias("of")).alias("kind"), F.col(c).alias("key")) for c in ("n", "o")])
+        return some.select("id", "place", F.explode(both).alias("k")).select("id", "place", "k.kind", "k.key").where("key != ''")
+
+    edges = kept(_related(keyed(rows).select("kind", "key").distinct()), folder, "edges")
+    near = lambda keys: edges.join(keys.withColumnRenamed("key", "other"), ["kind", "other"]).drop("other")
+    done = []
+    while True:
+        own = keyed(rows)
+        least = own.groupBy("kind", "key").agg(F.min("place").alias("first"))
+        reach = least.unionByName(near(least)).groupBy("kind", "key").agg(F.min("first").alias("first"))
+        before = own.join(reach, ["kind", "key"]).groupBy("id").agg(F.min("first").alias("_first"))
+        judged = rows.join(before, "id", "left").withColumn("keep", F.coalesce(F.col("_first") == F.col("place"), F.lit(True))).drop("_first")
+        judged = kept(judged, folder, f"round-{len(done)}")
+        done.append(judged.where("keep").select("id"))
+        rest = judged.where("not keep").drop("keep")
+        if not rest.head(1):
+            break
+        taken = keyed(judged.where("keep")).select("kind", "key").distinct()
+        lost = keyed(rest).join(taken.unionByName(near(taken)).distinct(), ["kind", "key"], "left_semi").select("id").distinct()
+        rows = rest.join(lost, "id", "left_anti")
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return found.join(out, "id", "left_semi")
 
 
 def enriched(rows: DataFrame, cache: DataFrame, cache_columns: list[str]) -> DataFrame:

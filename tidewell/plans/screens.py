@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import arrays, dates, labels, numbers, text
-from tidewell.operators import contacts, latest, lifecycle, lookups, matching, screening, stages
+from tidewell.operators import contacts, latest, lifecycle, lookups, ordering, screening, searches, stages
 from tidewell.plans import adapters as ad
 from tidewell.plans.adapters import sql
 from tidewell.plans.queries import APPLIED, FIELDS, GREEDY, HEALTH, KEY, LATEST, SAME, WRITES, _channels, _profiles, _stages, _writes, query
@@ -320,18 +320,6 @@ def discovery_list(spark, d):
     return s.orderBy("tab", F.col("sort_key").desc(), "id")
 
 
-@query(sql(f"""@{WRITES}, base AS (SELECT id, name, email, organization FROM (SELECT *, row_number() OVER (PARTITION BY email ORDER BY id) AS rn FROM v_contacts WHERE email IS NOT NULL) WHERE rn = 1),
-w AS (SELECT * FROM (SELECT seq, lower(trim(email)) AS e, coalesce(nullif(trim(name), ''), nullif(trim(organization), ''), lower(trim(email))) AS n, organization, row_number() OVER (PARTITION BY lower(trim(email)) ORDER BY seq DESC) AS rn FROM writes WHERE email IS NOT NULL) WHERE rn = 1),
-k AS (SELECT coalesce(b.id, w.seq) AS id, CASE WHEN w.e IS NOT NULL THEN w.n ELSE b.name END AS name, coalesce(w.e, b.email) AS email, CASE WHEN w.e IS NOT NULL THEN w.organization ELSE b.organization END AS organization FROM base b FULL JOIN w ON w.e = b.email)
-SELECT id, name, email, CASE WHEN organization <> name THEN organization END AS shown FROM k"""))
-def contact_directory(spark, d):
-    """The directory after all writes, by name; an organization that is the name isn't shown twice."""
-    base = latest.latest_per_key(ad.contacts(spark, d).where("email is not null").withColumn("o", -F.col("id")), ["email"], "o", "id")
-    base = base.withColumn("source_prospect_id", F.col("id")).withColumn("source_candidate_id", F.lit(None).cast("long"))
-    k = contacts.upserted(base, _writes(spark, d))
-    return k.select("id", "name", "email", contacts.shown_organization(F.col("name"), F.col("organization")).alias("shown")).orderBy("name", "id")
-
-
 @query("""SELECT c_custkey AS id, CASE WHEN n IS NULL THEN 0 ELSE n END AS documents, newest FROM customer LEFT JOIN (
   SELECT o_custkey, count(*) AS n, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY rn) FILTER (WHERE rn <= 3) AS newest FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) GROUP BY 1) ON o_custkey = c_custkey""")
 def profile_documents(spark, d):
@@ -343,34 +331,102 @@ def profile_documents(spark, d):
     )
 
 
-def _searches(spark, d) -> tuple[DataFrame, DataFrame]:
-    n = table(spark, d, "nation")
-    k = F.col("n_nationkey")
-    found = n.select(k.alias("id"), k.alias("ord"), F.when(k % 9 == 4, "").otherwise(F.col("n_name")).alias("name"), F.when(k % 4 == 0, F.concat(F.lit("Org "), (k % 8).cast("string"))).alias("organization"), F.col("n_regionkey").alias("batch"))
-    known = ad.prospects(spark, d).where("id % 5 = 0").select(F.concat(F.lit("The "), F.col("name")).alias("name"), "organization").unionByName(spark.createDataFrame([("NATION_21 Trust", None)], "name string, organization string"))
-    return found.where("name <> ''"), known.select("name", F.lit(None).cast("string").alias("organization"))
-
-
-SEARCH = f"""found AS (SELECT n_nationkey AS id, n_nationkey AS ord, CASE WHEN n_nationkey % 9 = 4 THEN '' ELSE n_name END AS name, CASE WHEN n_nationkey % 4 = 0 THEN 'Org ' || (n_nationkey % 8) END AS organization, n_regionkey AS batch FROM nation), known AS (
-  SELECT 'The ' || name AS name FROM v_prospects WHERE id % 5 = 0 UNION ALL SELECT 'NATION_21 Trust'),
-valid AS (SELECT * FROM found WHERE name <> ''), fresh AS (SELECT * FROM valid f WHERE NOT EXISTS (SELECT 1 FROM known k WHERE {SAME.format(a=KEY.format("f.name"), b=KEY.format("k.name"))})), {GREEDY}"""
-
-
-@query(sql(f"@{SEARCH} SELECT id, name, batch, c.hit AS cached FROM valid JOIN kept USING (id) LEFT JOIN (SELECT lower(n_name) AS k, min(n_nationkey) AS hit FROM nation WHERE n_nationkey % 2 = 0 GROUP BY 1) c ON c.k = lower(name)").replace("WITH", "WITH RECURSIVE", 1))
+def _searches(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What searches found (three batches over all customers), the known organizations, and the cache of filings."""
+    k = F.col("c_custkey")
+    text_of = lambda *parts: F.concat(*[p if isinstance(p, str) else p.cast("string") for p in parts])
+    name = text_of(F.when(k % 5 == 0, "The ").otherwise(""), "c_mktsegment", F.lit(" "), k * 7 % 400)
+    found = table(spark, d, "customer").select(
+        k.alias("id"), k.alias("ord"), (F.col("c_nationkey") % 3).alias("batch"), F.col("c_mktsegment").alias("channel"), F.when(k % 9 == 4, "").otherwise(name).alias("name"),
+        F.when(k % 4 == 0, text_of(F.lit("Org "), k % 97)).when(k % 4 == 1, "").alias("organization"), F.when(k % 6 == 0, "").otherwise(text_of(F.lit("w"), k)).alias("website"),
+        F.when(k % 3 == 0, F.col("c_name")).alias("contact_name"), F.when(k % 2 == 0, text_of(F.lit(" U"), k % 40, F.lit("@X.org"))).alias("contact_email"),
+        F.when(k % 7 == 0, "Here").otherwise("").alias("location"), F.when(k % 2 == 0, F.lit("fits")).alias("rationale"),
+    )
+    s = F.col("s_suppkey")
+    known = table(spark, d, "supplier").select(text_of(F.lit("the Building "), s * 11 % 400).alias("name"), F.when(s % 10 == 0, text_of(F.lit("The org "), s)).alias("organization"))
+    p = F.col("p_partkey")
+    segment = F.element_at(F.array(*[F.lit(c) for c, _ in ad.CHANNELS[:5]]), (p % 5 + 1).cast("int"))
+    raw = F.when(p % 3 == 0, '{"filings_with_data":[]}').otherwise(text_of(F.lit('{"filings_with_data":[{"totcntrbgfts":'), p * 1037, F.lit("}]}")))
+    cache = table(spark, d, "part").select(p.alias("ein"), F.lower(text_of(segment, F.lit(" "), p % 400)).alias("name"), F.when(p % 4 == 0, "").otherwise(F.col("p_brand")).alias("city"), raw.alias("raw"))
+    return found, known, cache
+
+
+SEARCH = f"""found AS (SELECT c_custkey AS id, c_custkey AS ord, c_nationkey % 3 AS batch, c_mktsegment AS channel,
+  CASE WHEN c_custkey % 9 = 4 THEN '' ELSE CASE WHEN c_custkey % 5 = 0 THEN 'The ' ELSE '' END || c_mktsegment || ' ' || (c_custkey * 7 % 400) END AS name,
+  CASE c_custkey % 4 WHEN 0 THEN 'Org ' || (c_custkey % 97) WHEN 1 THEN '' END AS organization, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE 'w' || c_custkey END AS website,
+  CASE WHEN c_custkey % 3 = 0 THEN c_name END AS contact_name, CASE WHEN c_custkey % 2 = 0 THEN ' U' || (c_custkey % 40) || '@X.org' END AS contact_email, CASE WHEN c_custkey % 7 = 0 THEN 'Here' END AS location, CASE WHEN c_custkey % 2 = 0 THEN 'fits' END AS rationale FROM customer),
+known AS (SELECT 'the Building ' || (s_suppkey * 11 % 400) AS name, CASE WHEN s_suppkey % 10 = 0 THEN 'The org ' || s_suppkey END AS organization FROM supplier),
+cached AS (SELECT p_partkey AS ein, lower((['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'])[p_partkey % 5 + 1] || ' ' || (p_partkey % 400)) AS k, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_brand END AS city, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey * 1037 END AS gifts FROM part),
+valid AS (SELECT * FROM found WHERE name <> ''),
+fresh AS (SELECT * FROM valid f WHERE NOT EXISTS (SELECT 1 FROM known k WHERE {SAME.format(a=KEY.format("f.name"), b=KEY.format("k.name"))} OR {SAME.format(a=KEY.format("f.organization"), b=KEY.format("k.organization"))})), {GREEDY},
+added AS (SELECT v.id, v.batch, v.channel, v.name, nullif(v.organization, '') AS organization, v.website, v.contact_name, v.contact_email, coalesce(v.location, c.city) AS location, CASE WHEN c.ein IS NOT NULL THEN 'Nonprofit organization (per IRS filing)' END AS funder_type,
+  'Annual contributions/gifts made: ~$' || format('{{:,}}', c.gifts) AS typical_grant_size, '{{"rationale":' || CASE WHEN v.rationale IS NULL THEN 'null' ELSE '"fits"' END || ',"propublica_ein":' || coalesce(CAST(c.ein AS VARCHAR), 'null') || '}}' AS raw
+  FROM valid v JOIN kept USING (id) LEFT JOIN (SELECT * FROM cached QUALIFY row_number() OVER (PARTITION BY k ORDER BY ein) = 1) c ON c.k = lower(v.name))"""
+
+
+@query(sql(f"""@{SEARCH}, {APPLIED.replace("v_prospects p", "added p")} SELECT a.*, t.tier AS suggested_tier, 'ai_search' AS source, 'pending' AS status FROM added a JOIN tiered t USING (id)""").replace("WITH", "WITH RECURSIVE", 1))
 def discovery_results(spark, d):
-    """What a search adds: valid rows that aren't known and match none accepted before in their batch, with cached values."""
-    found, known = _searches(spark, d)
-    new = matching.greedy_distinct(matching.fuzzy_anti_join(found, known), "batch")
-    cache = table(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("hit"))
-    return matching.enriched(new, cache, ["hit"]).select("id", "name", "batch", F.col("hit").alias("cached"))
+    """The candidates that searches add."""
+    return searches.search_candidates(*_searches(spark, d), ad.rules(spark), FIELDS)
 
 
 @query(sql(f"""@{SEARCH} SELECT batch, inserted, skipped, 'Found ' || inserted || ' candidate' || CASE WHEN inserted = 1 THEN '' ELSE 's' END || CASE WHEN skipped > 0 THEN ' (' || skipped || ' already known, skipped)' ELSE '' END AS message
 FROM (SELECT v.batch, count(k.id) AS inserted, count(*) - count(k.id) AS skipped FROM valid v LEFT JOIN kept k USING (id) GROUP BY v.batch)""").replace("WITH", "WITH RECURSIVE", 1))
 def discovery_counts(spark, d):
     """How many rows of each search were added and skipped, and the message that says so."""
-    found, known = _searches(spark, d)
-    new = matching.greedy_distinct(matching.fuzzy_anti_join(found, known), "batch").select("id", F.lit(1).alias("new"))
-    n = found.join(new, "id", "left").groupBy("batch").agg(F.count("new").alias("inserted"), (F.count(F.lit(1)) - F.count("new")).alias("skipped"))
-    skipped = F.when(F.col("skipped") > 0, F.concat(F.lit(" ("), F.col("skipped").cast("string"), F.lit(" already known, skipped)"))).otherwise("")
-    return n.select("batch", "inserted", "skipped", F.concat(F.lit("Found "), text.plural(F.col("inserted"), "candidate"), skipped).alias("message"))
+    found, known, cache = _searches(spark, d)
+    return searches.search_counts(found, searches.search_candidates(found, known, cache, ad.rules(spark), FIELDS))
+
+
+#: The directory of all tests of writes: one contact for each address, and those without one.
+DIRECTORY = """directory AS (SELECT id, name, email, organization, id AS source_prospect_id, NULL::BIGINT AS source_candidate_id, TIMESTAMP '2023-01-01' + to_days(CAST(id % 300 AS INTEGER)) AS created_at, TIMESTAMP '2023-06-01' + to_days(CAST(id % 200 AS INTEGER)) AS updated_at
+  FROM v_contacts WHERE email IS NULL OR id IN (SELECT min(id) FROM v_contacts WHERE email IS NOT NULL GROUP BY email))"""
+
+
+def _directory(spark, d) -> DataFrame:
+    c = ad.contacts(spark, d)
+    first = c.where("email is not null").groupBy("email").agg(F.min("id").alias("id")).select("id")
+    rows = c.where("email is null").unionByName(c.where("email is not null").join(first, "id", "left_semi"))
+    day = lambda start, n: F.timestamp_add("DAY", F.col("id") % n, F.lit(start).cast("timestamp"))
+    return rows.select("id", "name", "email", "organization", F.col("id").alias("source_prospect_id"), F.lit(None).cast("long").alias("source_candidate_id"), day("2023-01-01", 300).alias("created_at"), day("2023-06-01", 200).alias("updated_at"))
+
+
+def _merged_sql(writes: str) -> str:
+    """The directory after ``writes``, as ``k``."""
+    return f"""{DIRECTORY}, w AS (SELECT *, coalesce(nullif(trim(name), ''), nullif(trim(organization), ''), lower(trim(email))) AS n, nullif(lower(trim(email)), '') AS e FROM {writes}),
+we AS (SELECT e, arg_max(n, seq) AS n, arg_max(struct_pack(o := organization, p := source_prospect_id, c := source_candidate_id), seq) AS s, min(seq) AS seq FROM w WHERE e IS NOT NULL AND n IS NOT NULL GROUP BY e),
+wn AS (SELECT lower(n) AS ln, organization AS o, min(seq) AS seq, arg_min(n, seq) AS n, arg_max(source_prospect_id, seq) FILTER (WHERE source_prospect_id IS NOT NULL) AS p, arg_max(source_candidate_id, seq) FILTER (WHERE source_candidate_id IS NOT NULL) AS c FROM w WHERE e IS NULL AND n IS NOT NULL GROUP BY ALL),
+dn AS (SELECT *, row_number() OVER (PARTITION BY lower(name), organization ORDER BY created_at DESC, id DESC) AS rn FROM directory WHERE email IS NULL),
+k AS (SELECT coalesce(d.id, we.seq) AS id, CASE WHEN we.seq IS NOT NULL THEN we.n ELSE d.name END AS name, coalesce(we.e, d.email) AS email, CASE WHEN we.seq IS NOT NULL THEN we.s.o ELSE d.organization END AS organization,
+    CASE WHEN we.seq IS NOT NULL THEN we.s.p ELSE d.source_prospect_id END AS source_prospect_id, CASE WHEN we.seq IS NOT NULL THEN we.s.c ELSE d.source_candidate_id END AS source_candidate_id, CASE WHEN we.seq IS NOT NULL THEN TIMESTAMP '{ad.AS_OF}' ELSE d.updated_at END AS updated_at
+  FROM (SELECT * FROM directory WHERE email IS NOT NULL) d FULL JOIN we ON we.e = d.email
+  UNION ALL SELECT coalesce(d.id, wn.seq), coalesce(d.name, wn.n), NULL, coalesce(d.organization, wn.o), coalesce(wn.p, d.source_prospect_id), coalesce(wn.c, d.source_candidate_id), CASE WHEN wn.seq IS NOT NULL THEN TIMESTAMP '{ad.AS_OF}' ELSE d.updated_at END
+  FROM dn d FULL JOIN wn ON d.rn = 1 AND lower(d.name) = wn.ln AND d.organization IS NOT DISTINCT FROM wn.o)"""
+
+
+SHOWN = "SELECT id, name, email, organization, source_prospect_id AS prospect, source_candidate_id AS candidate, strftime(updated_at, '%Y-%m-%d') AS updated FROM k"
+
+
+def _shown(k: DataFrame) -> DataFrame:
+    return k.select("id", "name", "email", "organization", F.col("source_prospect_id").alias("prospect"), F.col("source_candidate_id").alias("candidate"), F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
+
+
+@query(sql(f"""@{SEARCH}, search_writes AS (SELECT 1000000 + id AS seq, contact_name AS name, contact_email AS email, organization, NULL::BIGINT AS source_prospect_id, id AS source_candidate_id FROM added), {_merged_sql("search_writes")} {SHOWN}""").replace("WITH", "WITH RECURSIVE", 1))
+def discovery_contacts(spark, d):
+    """The directory after the contacts of what searches added."""
+    added = searches.search_candidates(*_searches(spark, d), ad.rules(spark), FIELDS)
+    writes = searches.contact_writes(added.withColumn("seq", F.col("id") + 1_000_000), "seq")
+    return _shown(contacts.merged(_directory(spark, d), writes, ad.as_of()))
+
+
+@query(sql(f"""@{WRITES}, all_writes AS (SELECT seq, name, email, organization, source_prospect_id, NULL::BIGINT AS source_candidate_id FROM writes UNION ALL SELECT 200000 + seq, 'Person ' || (seq % 200), NULL, CASE WHEN seq % 4 <> 0 THEN 'BUILDING' END, NULL, seq FROM writes), {_merged_sql("all_writes")}
+SELECT id, name, email, CASE WHEN organization <> name THEN organization END AS shown, source_prospect_id AS prospect, source_candidate_id AS candidate, row_number() OVER (ORDER BY updated_at DESC, id) AS place FROM k"""))
+def contact_directory(spark, d):
+    """The whole directory after all writes, newest update first, contacts without an address too; an organization that is the name isn't shown twice."""
+    w = _writes(spark, d)
+    s = F.col("seq")
+    none = F.lit(None)
+    more = w.select((s + 200_000).alias("seq"), F.concat(F.lit("Person "), (s % 200).cast("string")).alias("name"), none.cast("string").alias("email"), F.when(s % 4 != 0, "BUILDING").alias("organization"), none.cast("long").alias("source_prospect_id"), s.alias("source_candidate_id"))
+    k = contacts.merged(_directory(spark, d), w.unionByName(more), ad.as_of())
+    shown = k.select("id", "name", "email", contacts.shown_organization(F.col("name"), F.col("organization")).alias("shown"), F.col("source_prospect_id").alias("prospect"), F.col("source_candidate_id").alias("candidate"), "updated_at")
+    return ordering.numbered(shown, ["-updated_at", "id"], "place").drop("updated_at")

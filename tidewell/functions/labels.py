@@ -70,9 +70,8 @@ def listed_or(c: Column, allowed: list[str], default: str | None = None) -> Colu
     return F.when(c.isin(*allowed), c).otherwise(F.lit(default))
 
 
-def described(dim: DataFrame, descriptions: dict[str, str]) -> DataFrame:
+def described(dim: DataFrame) -> DataFrame:
     """One row: a line '- value: label -- description' for each value of the list, in order."""
-    text = F.create_map(*[F.lit(x) for kv in descriptions.items() for x in kv])
-    line = F.concat(F.lit("- "), "value", F.lit(": "), "label", F.lit(" -- "), F.coalesce(F.element_at(text, F.col("value")), F.lit("")))
+    line = F.concat(F.lit("- "), "value", F.lit(": "), "label", F.lit(" -- "), F.coalesce("description", F.lit("")))
     rows = F.sort_array(F.collect_list(F.struct("ord", line.alias("line"))))
     return dim.agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("text"))

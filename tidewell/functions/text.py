@@ -77,6 +77,13 @@ def plural(n: Column, word: str) -> Column:
     return F.concat(n.cast("string"), F.lit(f" {word}"), F.when(n == 1, "").otherwise("s"))
 
 
+# What a URL's part may hold though form encoding replaces it.
+KEPT_IN_URLS = (("!", "%21"), ("'", "%27"), ("(", "%28"), (")", "%29"), ("~", "%7E"))
+
+
 def url_query(c: Column) -> Column:
-    """Percent-encoded, with %20 for a space."""
-    return F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    """Percent-encoded as a part of a URL: %20 for a space, and ' ( ) ! ~ * as they are."""
+    out = F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    for plain, code in KEPT_IN_URLS:
+        out = F.replace(out, F.lit(code), F.lit(plain))
+    return out

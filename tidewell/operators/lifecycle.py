@@ -46,22 +46,28 @@ def updated(rows: DataFrame, changes: DataFrame, key: str, at: Column) -> DataFr
 
 
 def singleton_upsert(rows: DataFrame, values: DataFrame) -> DataFrame:
-    """A table of one row after a write of one: the values go into that row, or are its first row."""
-    own = rows.orderBy("id").limit(1).select(F.col("id").alias("_id"))
-    return values.join(own, F.lit(True), "left").select(F.coalesce("_id", "id").alias("id"), *[c for c in values.columns if c != "id"])
+    """A table of one row after a write of one: the given columns go into that row, nulls too, and its others stay; without a row the write is the first."""
+    own = rows.orderBy("id").limit(1).select(F.struct(*rows.columns).alias("_own"))
+    given = [c for c in values.columns if c != "id"]
+    out = values.join(own, F.lit(True), "left")
+    others = [F.col("_own")[c].alias(c) for c in rows.columns if c not in values.columns]
+    return out.select(F.coalesce(F.col("_own")["id"], "id").alias("id"), *given, *others)
 
 
-def accepted(candidates: DataFrame, first_stage: str) -> dict[str, DataFrame]:
-    """What accepting candidates writes: 'prospects' in the first stage, with the columns that both tables have, 'runs' of research
-    for them, and 'contacts' of those that name one. A prospect has its candidate's id."""
-    from tidewell.operators.contacts import clean_email, display_name
+# The message of a run that starts when a candidate is accepted, around the name.
+RUN_MESSAGE = ("Researching ", " and drafting a strategy...")
+
 
+def accepted(candidates: DataFrame, first_stage: str, actor: Column | None = None, at: Column | None = None) -> dict[str, DataFrame]:
+    """What accepting candidates writes: 'prospects' in the first stage, with the columns that both tables have, 'runs' of research
+    for them, 'contacts', the writes to the directory, which link to the prospects, and 'candidates', the accepted rows with status, reviewed_by and updated_at.
+    A prospect has its candidate's id."""
     copied = [c for c in ACCEPTED if c in candidates.columns]
-    name = display_name(F.col("contact_name"), F.col("organization"), F.col("contact_email"))
     return {
         "prospects": candidates.select("id", *copied, F.lit(first_stage).alias("stage")),
-        "runs": candidates.select(F.col("id").alias("prospect_id"), F.lit("researching").alias("status"), F.concat(F.lit("Researching "), "name", F.lit(" and drafting a strategy...")).alias("status_message")),
-        "contacts": candidates.select(name.alias("name"), clean_email(F.col("contact_email")).alias("email"), "organization", F.col("id").alias("source_prospect_id")).where("name is not null"),
+        "runs": candidates.select(F.col("id").alias("prospect_id"), F.lit("researching").alias("status"), F.concat(F.lit(RUN_MESSAGE[0]), "name", F.lit(RUN_MESSAGE[1])).alias("status_message")),
+        "contacts": candidates.select(F.col("id").alias("seq"), F.col("contact_name").alias("name"), F.col("contact_email").alias("email"), "organization", F.col("id").alias("source_prospect_id"), F.lit(None).cast(dict(candidates.dtypes)["id"]).alias("source_candidate_id")),
+        "candidates": candidates.withColumns({"status": F.lit("accepted"), "reviewed_by": F.lit(None).cast("string") if actor is None else actor, "updated_at": F.lit(None).cast("timestamp") if at is None else at}),
     }
 
 

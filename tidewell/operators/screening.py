@@ -61,10 +61,13 @@ def screened(entities: DataFrame, rules: DataFrame, fields: list[str], id_col: s
 
 def channel_summary(channels: DataFrame, rules: DataFrame) -> DataFrame:
     """Of each channel of the list: how many active rules apply, their points, and the points that each tier takes."""
-    r = rules.where("active").select("weight", F.col("channel").alias("rule_channel"), F.lit(1).alias("one"))
-    joined = channels.join(F.broadcast(r), F.col("rule_channel").isNull() | (F.col("rule_channel") == F.col("value")), "left")
-    points = F.coalesce(F.sum("weight"), F.lit(0))
-    return joined.groupBy(F.col("value").alias("channel")).agg(
-        F.count("one").alias("active_rules"), points.cast("long").alias("max_points"),
+    counts = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("weight"), F.lit(0)).alias("points"))
+    active = rules.where("active")
+    own = counts(active.where("channel is not null").groupBy(F.col("channel").alias("_of")))
+    every = counts(active.where("channel is null")).select(F.col("n").alias("all_n"), F.col("points").alias("all_points"))
+    joined = channels.select("value").join(own, F.col("value") == F.col("_of"), "left").crossJoin(F.broadcast(every))  # one row
+    points = F.coalesce("points", F.lit(0)) + F.col("all_points")
+    return joined.select(
+        F.col("value").alias("channel"), (F.coalesce("n", F.lit(0)) + F.col("all_n")).alias("active_rules"), points.cast("long").alias("max_points"),
         F.ceil(points * F.lit(TIER_1)).cast("long").alias("tier1_points"), F.ceil(points * F.lit(TIER_2)).cast("long").alias("tier2_points"),
     )

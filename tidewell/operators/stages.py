@@ -84,7 +84,16 @@ def priorities(records: DataFrame, health: Column, first: int = 10, k: int = 3)
     return near.withColumn("health", health).where(F.col("health").isin("due_soon", "stalled")).orderBy("next_action_due", "id").limit(k)
 
 
-def budgeted(df: DataFrame, amount: str, order: list[Column], budget: int, keys: list[str] | None = None) -> DataFrame:
-    """Rows in order while the total before them is under the budget, in each group of ``keys``."""
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("_before", F.coalesce(F.sum(amount).over(w), F.lit(0))).where(F.col("_before") < budget).drop("_before")
+def budgeted(df: DataFrame, amount: str, order: list[str], budget: int, key: str | None = None) -> DataFrame:
+    """Rows in order while the total before them is under the budget, of each ``key`` if one is named.
+
+    The row that reaches the budget counts whole. ``order`` tells rows (of a key) apart. Sums are made in two levels over ranges, so that a key may have
+    any number of rows; what lies before a key is the least sum of its rows.
+    """
+    from tidewell.operators.ordering import sums_before
+
+    out = sums_before(df, [*([key] if key else []), *order], F.col(amount), "_before")
+    if key:
+        start = out.groupBy(F.col(key).alias("_key")).agg(F.min("_before").alias("_start"))
+        out = out.join(start, F.col(key).eqNullSafe(F.col("_key"))).withColumn("_before", F.col("_before") - F.col("_start")).drop("_key", "_start")
+    return out.where(F.col("_before") < budget).drop("_before")

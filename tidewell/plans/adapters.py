@@ -58,6 +58,20 @@ def prospects(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def table_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for each part."""
+    k = F.col("p_partkey")
+    channel = F.element_at(F.array(*[F.lit(c) for c, _ in CHANNELS[:4]]), (k % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(k.alias("rule_id"), F.when(k % 6 != 0, channel).alias("channel"), (F.col("p_size") % 6).alias("weight"), (k % 3 != 0).alias("active"))
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments of the customers as a list: ord, value, label, n. One row gathers them, as many as there are kinds."""
+    kinds = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    one = kinds.agg(F.sort_array(F.collect_list(F.struct("value", "n"))).alias("all"))
+    return one.select(F.posexplode("all").alias("ord", "x")).select("ord", "x.value", F.initcap("x.value").alias("label"), "x.n")
+
+
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("id"), F.col("user_id").alias("prospect_id"), F.col("event_type").alias("to_stage"), F.col("ts").cast("timestamp").alias("created_at"), F.col("props").alias("raw"),
@@ -110,6 +124,10 @@ v_prospects AS (
     CASE WHEN c_custkey % 3 <> 0 THEN 'user' || (c_custkey % 400) || '@x.org' END AS email, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END AS organization, c_acctbal AS created_at FROM customer
 ), v_rules AS (
   SELECT * FROM {_values(RULES, "rule_id, ord, label, channel, weight, field, operator, value, active")}
+), v_table_rules AS (
+  SELECT p_partkey AS rule_id, CASE WHEN p_partkey % 6 <> 0 THEN (['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD'])[p_partkey % 4 + 1] END AS channel, p_size % 6 AS weight, p_partkey % 3 <> 0 AS active FROM part
+), v_segments AS (
+  SELECT row_number() OVER (ORDER BY c_mktsegment) - 1 AS ord, c_mktsegment AS value, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS label, count(*) AS n FROM customer GROUP BY c_mktsegment
 ), v_stages AS (
   SELECT * FROM {_values([(i, v, x) for i, (v, x) in enumerate(STAGES)], "ord, value, label")}
 ), v_channels AS (

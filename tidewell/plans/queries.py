@@ -169,9 +169,9 @@ def screen_breakdown(spark, d):
 
 @query(sql("""SELECT c.value AS channel, count(r.rule_id) AS active_rules, coalesce(sum(r.weight), 0)::BIGINT AS max_points,
   ceil(coalesce(sum(r.weight), 0) * 0.7::DOUBLE)::BIGINT AS tier1_points, ceil(coalesce(sum(r.weight), 0) * 0.4::DOUBLE)::BIGINT AS tier2_points
-FROM v_channels c LEFT JOIN v_rules r ON r.active AND (r.channel IS NULL OR r.channel = c.value) GROUP BY c.value HAVING count(r.rule_id) > 0"""))
+FROM v_segments c LEFT JOIN v_table_rules r ON r.active AND (r.channel IS NULL OR r.channel = c.value) GROUP BY c.value HAVING count(r.rule_id) > 0"""))
 def channel_rule_summary(spark, d):
-    return screening.channel_summary(_channels(spark), ad.rules(spark)).where("active_rules > 0")
+    return screening.channel_summary(ad.segments(spark, d), ad.table_rules(spark, d)).where("active_rules > 0")
 
 
 @query(sql(f"@{APPLIED} SELECT channel, tier, count(*) AS n FROM tiered GROUP BY channel, tier"))
@@ -262,7 +262,7 @@ def recent_topk(spark, d):
 
 @query(sql("""SELECT id, channel, size FROM (SELECT *, coalesce(sum(size) OVER (PARTITION BY channel ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM v_candidates) WHERE before < 100"""))
 def budgeted_prefix(spark, d):
-    return stages.budgeted(ad.candidates(spark, d), "size", [F.col("id")], 100, ["channel"]).select("id", "channel", "size")
+    return stages.budgeted(ad.candidates(spark, d), "size", ["id"], 100, "channel").select("id", "channel", "size")
 
 
 @query(sql("""SELECT c.value AS channel, coalesce(n, 0) AS n FROM v_channels c LEFT JOIN (SELECT channel, count(*) AS n FROM (SELECT channel FROM v_prospects UNION ALL SELECT upper(channel) FROM v_candidates) GROUP BY channel) u ON u.channel = c.value"""))
@@ -687,13 +687,26 @@ def prospect_detail(spark, d):
     )
 
 
-@query(sql(f"""@{APPLIED}, u AS (SELECT c.channel AS k, avg(share) AS fit, count(*) AS n FROM tiered c GROUP BY 1) SELECT value AS channel, coalesce(n, 0) AS n, round(fit, 6) AS fit, coalesce(fit >= 0.5::DOUBLE, false) AS recommended FROM v_channels LEFT JOIN u ON u.k = value"""))
+#: What each run thought of four channels: recommended or not, surely or not.
+EVALUATED = """SELECT id, prospect_id AS org, created_at, c.channel, c.pos, c.ok, c.high FROM v_log, (SELECT unnest([
+  {'channel': 'BUILDING', 'pos': 0, 'k': 2}, {'channel': 'FURNITURE', 'pos': 1, 'k': 3}, {'channel': 'HOUSEHOLD', 'pos': 2, 'k': 1}, {'channel': 'MACHINERY', 'pos': 3, 'k': 5}], recursive := true)) u, LATERAL (SELECT u.channel, u.pos, v_log.id % u.k = 0 AS ok, v_log.id % (u.k + 2) = 0 AS high) c"""
+
+
+@query(sql(f"""@runs AS (SELECT id, prospect_id AS org, row_number() OVER (PARTITION BY prospect_id ORDER BY created_at DESC, id DESC) AS rn, count(*) OVER (PARTITION BY prospect_id) - 1 AS history FROM v_log),
+e AS ({EVALUATED}), rec AS (SELECT e.id, string_agg(channel, '|' ORDER BY high DESC, pos) AS recommended FROM e WHERE ok GROUP BY 1),
+n AS (SELECT s.value, count(u.channel) AS n FROM v_segments s LEFT JOIN (SELECT channel FROM v_prospects UNION ALL SELECT upper(channel) FROM v_candidates) u ON u.channel = s.value GROUP BY 1)
+SELECT r.org, r.id AS run, r.history, coalesce(rec.recommended, '') AS recommended, (SELECT string_agg(value || '=' || n, ',' ORDER BY value) FROM n) AS counts FROM runs r LEFT JOIN rec USING (id) WHERE rn = 1"""))
 def channel_fit(spark, d):
-    p = ad.prospects(spark, d)
-    s = screening.screened(p, ad.rules(spark), FIELDS, keep=("channel",))
-    agg = s.groupBy("channel").agg(F.avg("share").alias("fit"), F.count(F.lit(1)).alias("n"))
-    out = stages.zero_filled(_channels(spark).select("value"), agg, "channel", {"n": 0})
-    return out.select(F.col("value").alias("channel"), "n", F.round("fit", 6).alias("fit"), F.coalesce(F.col("fit") >= 0.5, F.lit(False)).alias("recommended"))
+    """The page of each organization: its newest run, how many came before, the channels which that run recommends, surest first, and what is in each channel."""
+    i = F.col("id")
+    one = lambda name, k: F.struct(F.lit(name).alias("channel"), (i % k == 0).alias("recommended"), F.when(i % (k + 2) == 0, "high").otherwise("low").alias("confidence"))
+    runs = ad.log(spark, d).select("id", F.col("prospect_id").alias("org"), "created_at", F.array(one("BUILDING", 2), one("FURNITURE", 3), one("HOUSEHOLD", 1), one("MACHINERY", 5)).alias("evaluations"))
+    newest = runs.groupBy("org").agg(F.max_by(F.struct("id", "evaluations"), F.struct("created_at", "id")).alias("r"), (F.count(F.lit(1)) - 1).alias("history"))
+    first = F.transform(arrays.high_confidence_first(F.col("r.evaluations")), lambda e: e["channel"])
+    both = ad.prospects(spark, d).select("channel").unionByName(ad.candidates(spark, d).select(F.upper("channel").alias("channel")))
+    counts = stages.zero_filled(ad.segments(spark, d).select("value"), both.groupBy("channel").agg(F.count(F.lit(1)).alias("n")), "channel", {"n": 0})
+    line = F.array_join(F.sort_array(F.collect_list(F.concat_ws("=", "value", F.col("n").cast("string")))), ",")  # as many as there are channels
+    return newest.crossJoin(F.broadcast(counts.agg(line.alias("counts")))).select("org", F.col("r.id").alias("run"), "history", F.array_join(first, "|").alias("recommended"), "counts")  # one row
 
 
 @query(sql(f"""@{APPLIED.replace("v_prospects p", "(SELECT * FROM v_candidates) p")} SELECT t.id, t.share, t.tier FROM tiered t JOIN v_candidates c ON c.id = t.id WHERE c.status = 'pending'"""))

@@ -14,7 +14,6 @@ from tidewell.sources.tables import checked_import, read_csv_rows, table
 
 #: Fixed values of these tables: a colour for each stage but one, and what the channels are.
 COLORS = [("view", "#64748b"), ("click", "#2563eb"), ("signup", "#7c3aed"), ("purchase", "#059669"), ("error", "#dc2626")]
-DESCRIPTIONS = {"BUILDING": "Builders and their suppliers", "FURNITURE": "Makers and shops", "SHIPPING": "Carriers"}
 EVALUATION = "struct<channel:string,recommended:boolean,confidence:string>"
 
 
@@ -40,18 +39,19 @@ def singleton_read(spark, d):
     return lookups.singleton(ad.candidates(spark, d)).select("id", "name", "status")
 
 
-@query(sql("""@s AS (SELECT min(id) AS id FROM v_candidates) SELECT 'present' AS kind, s.id, 15 AS threshold, false AS enabled FROM s UNION ALL SELECT 'absent', 1, 20, true"""))
+@query(sql("""SELECT 'present' AS kind, id, 15 AS threshold, NULL::VARCHAR AS organization, name, status FROM v_candidates WHERE id = (SELECT min(id) FROM v_candidates) UNION ALL SELECT 'absent', 1, 20, NULL, NULL, NULL"""))
 def singleton_upsert(spark, d):
-    row = lambda threshold, enabled: spark.createDataFrame([(1, threshold, enabled)], "id long, threshold int, enabled boolean")
-    c = ad.candidates(spark, d).select(F.col("id").cast("long").alias("id"))
-    present, absent = lifecycle.singleton_upsert(c, row(15, False)), lifecycle.singleton_upsert(c.where("false"), row(20, True))
+    """A write of two columns to a row of five, and to none."""
+    row = lambda threshold: spark.createDataFrame([(1, threshold, None)], "id long, threshold int, organization string")
+    c = ad.candidates(spark, d).select(F.col("id").cast("long").alias("id"), F.lit(0).alias("threshold"), "organization", "name", "status")
+    present, absent = lifecycle.singleton_upsert(c, row(15)), lifecycle.singleton_upsert(c.where("false"), row(20))
     return _union([present.select(F.lit("present").alias("kind"), "*"), absent.select(F.lit("absent").alias("kind"), "*")])
 
 
-@query("""WITH hit AS (SELECT l_orderkey AS search, arg_min(l_partkey, (l_linenumber, l_partkey)) AS k FROM lineitem WHERE l_linenumber > 1 GROUP BY 1) SELECT search, p_partkey AS part, p_brand AS brand FROM hit LEFT JOIN (SELECT * FROM part WHERE p_partkey % 7 <> 0) ON p_partkey = k""")
+@query("""WITH hit AS (SELECT l_orderkey AS search, arg_min(l_partkey, (l_linenumber, l_partkey)) AS k FROM lineitem GROUP BY 1) SELECT search, p_partkey AS part, p_brand AS brand FROM hit LEFT JOIN part ON p_partkey = k""")
 def best_effort_lookup(spark, d):
-    hits = table(spark, d, "lineitem").where("l_linenumber > 1").select(F.col("l_orderkey").alias("search"), F.col("l_linenumber").alias("rank"), F.col("l_partkey").alias("part"))
-    details = table(spark, d, "part").where("p_partkey % 7 <> 0").select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("brand"))
+    hits = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("search"), F.col("l_linenumber").alias("rank"), F.col("l_partkey").alias("part"))
+    details = table(spark, d, "part").select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("brand"))
     return lookups.top_hit_details(hits, details, "search", "rank", "part")
 
 
@@ -87,25 +87,13 @@ n AS (SELECT priority, id, coalesce(nullif(trim(contact_name), ''), lower(trim(c
 
 
 @query(sql(f"""@{BACKFILL} SELECT priority, id, name, email, organization FROM (SELECT *, CASE WHEN email IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY email ORDER BY priority, id) END AS rn FROM n)
-WHERE rn = 1 AND (email IS NULL OR email NOT IN (SELECT email FROM v_contacts WHERE email IS NOT NULL AND id % 2 = 0))"""))
+WHERE rn = 1 AND (email IS NULL OR email NOT IN (SELECT email FROM v_contacts WHERE email IS NOT NULL))"""))
 def contact_backfill_on_conflict(spark, d):
     """New contacts of prospects and candidates whose address the directory lacks."""
     i = F.col("id")
     p = ad.prospects(spark, d).select(F.lit(1).alias("priority"), "id", F.when(i % 5 == 0, "  ").otherwise(F.col("name")).alias("contact_name"), F.when(i % 3 != 0, F.concat(F.lit(" User"), (i % 500).cast("string"), F.lit("@x.org"))).alias("contact_email"), "organization")
     c = ad.candidates(spark, d).select(F.lit(2).alias("priority"), "id", F.col("name").alias("contact_name"), F.when(i % 2 == 0, F.concat(F.lit("user"), (i % 900).cast("string"), F.lit("@x.org "))).alias("contact_email"), "organization")
-    return contacts.backfilled(p.unionByName(c), ad.contacts(spark, d).where("id % 2 = 0"))
-
-
-@query(sql("""SELECT 'prospect' AS kind, id, name, 'discovery' AS state, organization FROM v_candidates WHERE status = 'accepted' UNION ALL SELECT 'run', id, 'Researching ' || name || ' and drafting a strategy...', 'researching', NULL FROM v_candidates WHERE status = 'accepted'
-UNION ALL SELECT 'contact', id, organization, 'linked', organization FROM v_candidates WHERE status = 'accepted' AND organization IS NOT NULL"""))
-def accept_candidates(spark, d):
-    """What accepting candidates adds: prospects in the first stage, runs of research, and contacts that link to the prospects."""
-    made = lifecycle.accepted(ad.candidates(spark, d).where(F.col("status") == "accepted").withColumn("contact_name", F.lit(None).cast("string")).withColumn("contact_email", F.lit(None).cast("string")), "discovery")
-    return _union([
-        made["prospects"].select(F.lit("prospect").alias("kind"), "id", "name", F.col("stage").alias("state"), "organization"),
-        made["runs"].select(F.lit("run").alias("kind"), F.col("prospect_id").alias("id"), F.col("status_message").alias("name"), F.col("status").alias("state"), F.lit(None).cast("string").alias("organization")),
-        made["contacts"].select(F.lit("contact").alias("kind"), F.col("source_prospect_id").alias("id"), "name", F.lit("linked").alias("state"), "organization"),
-    ])
+    return contacts.backfilled(p.unionByName(c), ad.contacts(spark, d))
 
 
 @query(sql(f"@{APPLIED} SELECT id, 2 AS runs, 2 AS latest_run, CASE WHEN channel = 'BUILDING' THEN 2 ELSE tier END AS latest_tier, score AS first_score FROM tiered"))
@@ -113,7 +101,7 @@ def screening_snapshots(spark, d):
     """Each run appends a result for every prospect; the newest result counts. The second run lacks the rules that apply to BUILDING."""
     p = ad.prospects(spark, d)
     first = screening.screened(p, ad.rules(spark), FIELDS, keep=("channel",)).select("id", "score", "tier", F.lit(1).alias("run"))
-    again = screening.screened(p.where("channel <> 'BUILDING'"), ad.rules(spark), FIELDS).unionByName(screening.screened(p.where("channel = 'BUILDING'"), ad.rules(spark).where("false"), FIELDS))
+    again = screening.screened(p.where("not (channel <=> 'BUILDING')"), ad.rules(spark), FIELDS).unionByName(screening.screened(p.where("channel <=> 'BUILDING'"), ad.rules(spark).where("false"), FIELDS))
     log = first.unionByName(again.select("id", "score", "tier", F.lit(2).alias("run")))
     newest = F.max_by(F.struct("run", "tier"), "run")
     return log.groupBy("id").agg(F.count(F.lit(1)).alias("runs"), newest["run"].alias("latest_run"), newest["tier"].alias("latest_tier"), F.min_by("score", "run").alias("first_score"))
@@ -122,18 +110,27 @@ def screening_snapshots(spark, d):
 # --- imports ----------------------------------------------------------------
 
 
+IMPORTED = ["name", "channel", "organization", "website", "contact_name", "contact_email", "location", "funder_type", "geographic_focus", "typical_grant_size", "focus_areas"]
+
+
 def _imported(spark, d) -> DataFrame:
     k = F.col("p_partkey")
     kind = F.element_at(F.split("p_type", " "), 1)
-    line = F.concat(F.when(k % 11 == 0, "").otherwise(F.col("p_name")), F.lit(","), F.when(k % 5 == 0, F.lower(kind)).otherwise(kind), F.lit(","), F.when(k % 3 != 0, F.col("p_brand")).otherwise(""), F.lit(","), F.when(k % 2 == 0, '" a, b,"').otherwise(""))
-    rows = read_csv_rows(table(spark, d, "part").select(k.alias("id"), line.alias("value")), "name,channel,organization,focus_areas", ["name", "channel", "organization", "focus_areas"])
+    number = lambda word: F.concat(F.lit(word), k.cast("string"))
+    cells = [
+        F.when(k % 11 == 0, "").otherwise(F.col("p_name")), F.when(k % 5 == 0, F.lower(kind)).otherwise(kind), F.when(k % 3 != 0, F.col("p_brand")).otherwise(""), F.when(k % 2 == 0, number("w")).otherwise(""),
+        F.when(k % 4 == 0, number("Person ")).otherwise(""), F.when(k % 3 == 1, F.concat(F.lit("User"), (k % 500).cast("string"), F.lit("@X.org"))).otherwise(""), F.lit("Here"), F.when(k % 7 == 0, "Fund").otherwise(""),
+        F.lit(""), F.when(k % 2 == 1, F.lit('"$5,000"')).otherwise(""), F.when(k % 2 == 0, '" a, b,"').otherwise(""),
+    ]
+    rows = read_csv_rows(table(spark, d, "part").select(k.alias("id"), F.concat_ws(",", *cells).alias("value")), ",".join(IMPORTED), IMPORTED)
     known = ["ECONOMY", "SMALL", "STANDARD", "MEDIUM", "LARGE"]
-    raw = rows.withColumn("raw", F.to_json(F.struct("name", "channel", "organization", "focus_areas")))
-    return checked_import(raw, known)
+    return checked_import(rows.withColumn("raw", F.to_json(F.struct(*IMPORTED))), known)
 
 
-IMPORT = """imp AS (SELECT id, name, channel, org, areas, name <> '' AND channel IN ('ECONOMY', 'SMALL', 'STANDARD', 'MEDIUM', 'LARGE') AS valid FROM (
-  SELECT p_partkey AS id, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE p_name END AS name, CASE WHEN p_partkey % 5 = 0 THEN lower(split_part(p_type, ' ', 1)) ELSE split_part(p_type, ' ', 1) END AS channel, CASE WHEN p_partkey % 3 <> 0 THEN p_brand ELSE '' END AS org, CASE WHEN p_partkey % 2 = 0 THEN 'a, b,' ELSE '' END AS areas FROM part))"""
+IMPORT = """imp AS (SELECT *, name <> '' AND channel IN ('ECONOMY', 'SMALL', 'STANDARD', 'MEDIUM', 'LARGE') AS valid FROM (
+  SELECT k AS id, CASE WHEN k % 11 = 0 THEN '' ELSE p_name END AS name, CASE WHEN k % 5 = 0 THEN lower(split_part(p_type, ' ', 1)) ELSE split_part(p_type, ' ', 1) END AS channel, CASE WHEN k % 3 <> 0 THEN p_brand ELSE '' END AS org,
+    CASE WHEN k % 2 = 0 THEN 'w' || k ELSE '' END AS website, CASE WHEN k % 4 = 0 THEN 'Person ' || k ELSE '' END AS contact_name, CASE WHEN k % 3 = 1 THEN 'User' || (k % 500) || '@X.org' ELSE '' END AS contact_email, CASE WHEN k % 7 = 0 THEN 'Fund' ELSE '' END AS funder_type,
+    CASE WHEN k % 2 = 1 THEN '$5,000' ELSE '' END AS grant_size, CASE WHEN k % 2 = 0 THEN 'a, b,' ELSE '' END AS areas FROM (SELECT *, p_partkey AS k FROM part)))"""
 
 
 @query(sql(f"@{IMPORT} SELECT count(*) FILTER (WHERE valid) AS imported, count(*) FILTER (WHERE NOT valid) AS errors FROM imp"))
@@ -141,14 +138,15 @@ def csv_import_counts(spark, d):
     return _imported(spark, d).agg(F.count_if("valid").alias("imported"), F.count_if(~F.col("valid")).alias("errors"))
 
 
-@query(sql(f"""@{IMPORT} SELECT id, name, nullif(org, '') AS organization, CASE WHEN areas <> '' THEN 'a|b' END AS focus_areas, 'csv_import' AS source, '{{"name":"' || name || '","channel":"' || channel || '","organization":"' || org || '","focus_areas":"' || areas || '"}}' AS raw,
-  'pending' AS status, CASE WHEN org <> '' THEN 1 ELSE 3 END AS suggested_tier FROM imp WHERE valid"""))
+@query(sql(f"""@{IMPORT} SELECT id, name, channel, nullif(org, '') AS organization, nullif(website, '') AS website, nullif(contact_name, '') AS contact_name, nullif(contact_email, '') AS contact_email, 'Here' AS location, nullif(funder_type, '') AS funder_type, NULL::VARCHAR AS geographic_focus,
+  nullif(grant_size, '') AS typical_grant_size, CASE WHEN areas <> '' THEN 'a|b' END AS focus_areas, 'csv_import' AS source, '{{"name":"' || name || '","channel":"' || channel || '","organization":"' || org || '","website":"' || website || '","contact_name":"' || contact_name || '","contact_email":"' || contact_email
+  || '","location":"Here","funder_type":"' || funder_type || '","geographic_focus":"","typical_grant_size":"' || grant_size || '","focus_areas":"' || areas || '"}}' AS raw, 'pending' AS status, CASE WHEN org <> '' THEN 1 ELSE 3 END AS suggested_tier FROM imp WHERE valid"""))
 def csv_import_rows(spark, d):
-    """The candidates that an import adds, screened, each with its raw row."""
+    """The candidates that an import adds, with all fields, screened, each with its raw row."""
     good = _imported(spark, d).where("valid")
     rule = spark.createDataFrame([(1, 1, "Has an organization", None, 5, "organization", "is_set", None, True)], "rule_id int, ord int, label string, channel string, weight int, field string, operator string, value string, active boolean")
-    out = screening.screened(good, rule, FIELDS, keep=("name", "organization", "focus_areas", "raw"))
-    return out.select("id", "name", "organization", F.array_join("focus_areas", "|").alias("focus_areas"), F.lit("csv_import").alias("source"), "raw", F.lit("pending").alias("status"), F.col("tier").alias("suggested_tier"))
+    out = screening.screened(good, rule, FIELDS, keep=(*IMPORTED, "raw"))
+    return out.select("id", *IMPORTED[:-1], F.array_join("focus_areas", "|").alias("focus_areas"), F.lit("csv_import").alias("source"), "raw", F.lit("pending").alias("status"), F.col("tier").alias("suggested_tier"))
 
 
 @query("""SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS DOUBLE) WHEN 1 THEN p_size + 0.5::DOUBLE END AS amount, CASE WHEN p_partkey % 4 <> 3 THEN p_name END AS note FROM part""")
@@ -201,23 +199,24 @@ def stage_colors(spark, d):
     return ad.prospects(spark, d).join(F.broadcast(dim), "stage", "left").select("id", "color")  # a fixed list
 
 
-@query(sql("SELECT string_agg('- ' || value || ': ' || label || ' -- ' || CASE value " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DESCRIPTIONS.items()) + " ELSE '' END, chr(10) ORDER BY ord) AS text FROM v_channels"))
+@query(sql("SELECT string_agg('- ' || value || ': ' || label || ' -- ' || n || ' customers', chr(10) ORDER BY ord) AS text FROM v_segments"))
 def channel_list_text(spark, d):
-    return labels.described(_channels(spark), DESCRIPTIONS)
+    """The list of the customers' segments as a text, with how many each has."""
+    return labels.described(ad.segments(spark, d).withColumn("description", F.concat(F.col("n").cast("string"), F.lit(" customers"))))
 
 
-@query("""SELECT p_partkey AS id, replace(p_name, ' ', '%20') || '%3F%26' AS asked, CASE WHEN p_name = '' THEN '?' ELSE upper(substr(split_part(p_name, ' ', 1), 1, 1)) || upper(substr(split_part(p_name, ' ', 2), 1, 1)) END AS initials FROM part""")
+@query("""SELECT p_partkey AS id, replace(p_name, ' ', '%20') || '%3F%26''()!~*%2F' AS asked, CASE WHEN p_name = '' THEN '?' ELSE upper(substr(split_part(p_name, ' ', 1), 1, 1)) || upper(substr(split_part(p_name, ' ', 2), 1, 1)) END AS initials FROM part""")
 def url_queries(spark, d):
     s = F.col("p_name")
-    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.url_query(F.concat(s, F.lit("?&"))).alias("asked"), text.initials(s, r"\s+").alias("initials"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.url_query(F.concat(s, F.lit("?&'()!~*/"))).alias("asked"), text.initials(s, r"\s+").alias("initials"))
 
 
-@query(sql("SELECT value, row_number() OVER (ORDER BY md5('7:' || value)) AS place FROM v_channels"))
+@query(sql("SELECT value, row_number() OVER (ORDER BY md5('7:' || value)) AS place FROM (SELECT DISTINCT p_type AS value FROM part)"))
 def nightly_order(spark, d):
-    """Channels in an order that looks random and follows from a seed; a fixed list of a few rows."""
-    from pyspark.sql import Window
-
-    return _channels(spark).select("value", F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit("7:"), "value")))).alias("place"))
+    """The kinds of all parts in an order that looks random and follows from a seed; one row gathers them, as many as there are kinds."""
+    kinds = table(spark, d, "part").select(F.col("p_type").alias("value")).distinct()
+    one = kinds.agg(F.sort_array(F.collect_list(F.struct(F.md5(F.concat(F.lit("7:"), "value")).alias("h"), "value"))).alias("all"))
+    return one.select(F.posexplode("all").alias("place", "x")).select("x.value", (F.col("place") + 1).alias("place"))
 
 
 # --- reviews ----------------------------------------------------------------
@@ -430,3 +429,40 @@ def contact_directory(spark, d):
     k = contacts.merged(_directory(spark, d), w.unionByName(more), ad.as_of())
     shown = k.select("id", "name", "email", contacts.shown_organization(F.col("name"), F.col("organization")).alias("shown"), F.col("source_prospect_id").alias("prospect"), F.col("source_candidate_id").alias("candidate"), "updated_at")
     return ordering.numbered(shown, ["-updated_at", "id"], "place").drop("updated_at")
+
+
+ACCEPTED = """acc AS (SELECT id, name, organization, CASE WHEN id % 3 = 0 THEN 'Lead ' || id END AS contact_name, CASE WHEN id % 2 = 0 THEN ' User' || (id % 500) || '@x.org' END AS contact_email FROM v_candidates WHERE status = 'pending'),
+accept_writes AS (SELECT id AS seq, contact_name AS name, contact_email AS email, organization, id AS source_prospect_id, NULL::BIGINT AS source_candidate_id FROM (SELECT id + 5000000 AS id, contact_name, contact_email, organization FROM acc))"""
+
+
+def _accepted(spark, d) -> dict[str, DataFrame]:
+    i = F.col("id")
+    email = F.when(i % 2 == 0, F.concat(F.lit(" User"), (i % 500).cast("string"), F.lit("@x.org")))
+    c = ad.candidates(spark, d).where(F.col("status") == "pending").select("id", "name", "organization", F.when(i % 3 == 0, F.concat(F.lit("Lead "), i.cast("string"))).alias("contact_name"), email.alias("contact_email"), "status")
+    return lifecycle.accepted(c.withColumn("id", F.col("id") + 5_000_000), "discovery", F.lit("me"), ad.as_of())
+
+
+@query(sql(f"""@{ACCEPTED} SELECT 'prospect' AS kind, id + 5000000 AS id, name, 'discovery' AS state, organization FROM acc UNION ALL SELECT 'run', id + 5000000, 'Researching ' || name || ' and drafting a strategy...', 'researching', NULL FROM acc
+UNION ALL SELECT 'candidate', id + 5000000, 'me {ad.AS_OF}', 'accepted', organization FROM acc"""))
+def accept_candidates(spark, d):
+    """What accepting all pending candidates writes besides contacts: prospects in the first stage, runs of research, and the candidates' own status, reviewer and time."""
+    made = _accepted(spark, d)
+    return _union([
+        made["prospects"].select(F.lit("prospect").alias("kind"), "id", "name", F.col("stage").alias("state"), "organization"),
+        made["runs"].select(F.lit("run").alias("kind"), F.col("prospect_id").alias("id"), F.col("status_message").alias("name"), F.col("status").alias("state"), F.lit(None).cast("string").alias("organization")),
+        made["candidates"].select(F.lit("candidate").alias("kind"), "id", F.concat_ws(" ", "reviewed_by", F.date_format("updated_at", "yyyy-MM-dd")).alias("name"), F.col("status").alias("state"), "organization"),
+    ])
+
+
+@query(sql(f"@{ACCEPTED}, {_merged_sql('accept_writes')} {SHOWN}"))
+def accepted_contacts(spark, d):
+    """The directory after the contacts of accepted candidates, which link to the prospects now."""
+    return _shown(contacts.merged(_directory(spark, d), _accepted(spark, d)["contacts"], ad.as_of()))
+
+
+@query(sql(f"""@{IMPORT}, import_writes AS (SELECT 7000000 + id AS seq, nullif(contact_name, '') AS name, nullif(contact_email, '') AS email, nullif(org, '') AS organization, NULL::BIGINT AS source_prospect_id, NULL::BIGINT AS source_candidate_id FROM imp WHERE valid), {_merged_sql("import_writes")} {SHOWN}"""))
+def csv_import_contacts(spark, d):
+    """The directory after the contacts of an import, which link to nothing."""
+    none = F.lit(None).cast("long")
+    writes = _imported(spark, d).where("valid").select((F.col("id") + 7_000_000).alias("seq"), F.col("contact_name").alias("name"), F.col("contact_email").alias("email"), "organization", none.alias("source_prospect_id"), none.alias("source_candidate_id"))
+    return _shown(contacts.merged(_directory(spark, d), writes, ad.as_of()))

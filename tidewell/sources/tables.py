@@ -44,9 +44,36 @@ def read_csv_rows(lines: DataFrame, header: str, columns: list[str]) -> DataFram
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    lines = spark.read.text(path)
-    header = lines.where(F.trim("value") != "").first()
-    return read_csv_rows(lines, header[0], columns) if header else lines.where("false").select(*[F.lit("").alias(c) for c in columns])
+    """Rows of one or many CSV files with ``file`` and the wanted columns, as texts, trimmed; missing cells are empty.
+
+    Each file has its own header, the first line that isn't blank, and its cells are placed by that: files may have other orders, other columns, or
+    columns in capitals. Of equal names the last counts. A data line that equals the header is data. Lines end by \\n or \\r\\n, inside quotes too.
+    A file without any line gives no rows. Lines are told apart by the part of the file and their place in it, so large files are split.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.regexp_replace("value", "\r$", "").alias("value"), F.monotonically_increasing_id().alias("_line")
+    )
+    lines = lines.where(F.regexp_replace("value", r"\s+", "") != "")
+    place = F.struct("_block", "_line")
+    heads = lines.groupBy("file").agg(F.min_by("value", place).alias("_header"), F.min(place).alias("_first"))
+    heads = heads.select("file", "_first", F.transform(csv_fields(F.col("_header")), lambda n: F.lower(_stripped(n))).alias("_names"))
+    rows = lines.join(heads, "file").where(place != F.col("_first")).withColumn("_f", csv_fields(F.col("value")))
+
+    def cell(c: str) -> Column:
+        back = F.array_position(F.reverse("_names"), c.lower())  # the last of equal names
+        at = (F.size("_names") - back).cast("int")
+        return F.coalesce(F.when(back > 0, _stripped(F.get("_f", at))), F.lit("")).alias(c)
+
+    return rows.select("file", *[cell(c) for c in columns])
+
+
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def import_counts(rows: DataFrame) -> DataFrame:
+    """file, imported, errors of rows with ``file`` and ``valid``."""
+    return rows.groupBy("file").agg(F.count_if("valid").alias("imported"), F.count_if(~F.col("valid")).alias("errors"))
 
 
 def checked_import(rows: DataFrame, channels: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidewell.plans import screens  # noqa: F401  adds its queries
+from tidewell.plans import screens, storage  # noqa: F401  they add their queries
 from tidewell.plans.queries import QUERIES, SQL
 
 

@@ -10,6 +10,7 @@ from tidewell.operators import contacts, latest, lifecycle, lookups, ordering, s
 from tidewell.plans import adapters as ad
 from tidewell.plans.adapters import sql
 from tidewell.plans.queries import APPLIED, FIELDS, GREEDY, HEALTH, KEY, LATEST, SAME, WRITES, _channels, _profiles, _stages, _writes, query
+from tidewell.sources.scratch import kept, shared_folder
 from tidewell.sources.tables import checked_import, read_csv_rows, table
 
 #: Fixed values of these tables: a colour for each stage but one, and what the channels are.
@@ -285,27 +286,48 @@ UNION ALL (SELECT 'recommended', CAST(id AS VARCHAR), round(coalesce(share, -1),
 UNION ALL (SELECT 'decided', CAST(id AS VARCHAR), 1 FROM v_candidates WHERE status <> 'pending' ORDER BY price DESC, id DESC LIMIT 8) UNION ALL SELECT 'settings', CAST(min(id) AS VARCHAR), 1 FROM v_candidates)
 SELECT part, item, value::DOUBLE AS value FROM parts UNION ALL SELECT 'priority count', '', (SELECT count(*) FROM top) + (SELECT CAST(value > 0 AS INT) FROM parts WHERE part = 'ready') + (SELECT CAST(value > 0 AS INT) FROM parts WHERE part = 'pending')"""))
 def dashboard(spark, d):
-    """All parts of the first screen as rows of (part, item, value)."""
+    """All parts of the first screen as rows of (part, item, value).
+
+    Each table is read once for its sums and once for its first rows, of which a task passes on a few. The parts are written, a few dozen rows, as the count of
+    priorities follows from them.
+    """
+    from pyspark.sql import Window
+
     p, c, log = ad.prospects(spark, d), ad.candidates(spark, d), ad.log(spark, d)
     today = F.lit(ad.AS_OF).cast("date")
-    pending = c.where(F.col("status") == "pending")
-    row = lambda df, part, item, value: df.select(F.lit(part).alias("part"), item.cast("string").alias("item"), value.cast("double").alias("value"))
     none, one = F.lit(""), F.lit(1)
-    count = lambda df, part: row(df.agg(F.count(F.lit(1)).alias("n")), part, none, F.col("n"))
-    ready = count(latest.latest_per_key(log, ["prospect_id"]).where((F.col("to_stage") == "signup") & F.col("approved").isNull()), "ready")
-    waiting = count(pending, "pending")
+    cell = lambda part, item, value: F.struct(F.lit(part).alias("part"), item.cast("string").alias("item"), value.cast("double").alias("value"))
+    rows = lambda df, *cells: df.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+
+    # prospects: one sum for each stage gives all totals
+    money = F.sum(F.coalesce("ask_amount", F.lit(0.0)).cast("decimal(18,2)")).alias("m")
+    by_stage = p.groupBy("stage").agg(F.count(one).alias("n"), money, F.count_if(F.col("next_action_due").between(today, F.date_add(today, 7))).alias("due"))
+    sums = by_stage.agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("due").alias("due"), F.max("m").alias("most"), F.collect_list(F.struct("stage", "n", "m")).alias("stages"))  # one row, as many cells as stages
+    totals = rows(sums, cell("prospects", none, F.coalesce("n", F.lit(0))), cell("potential", none, F.col("m")), cell("due this week", none, F.coalesce("due", F.lit(0))))
+    known = _stages(spark).select("value").crossJoin(F.broadcast(sums.select("stages", "most")))  # one row
+    mine = F.get(F.filter("stages", lambda x: x["stage"] == F.col("value")), F.lit(0))
+    shares = numbers.share_of_max(F.coalesce(mine["m"].cast("double"), F.lit(0.0)), F.coalesce(F.col("most").cast("double"), F.lit(0.0)))
+    staged = rows(known, cell("stage", F.col("value"), F.coalesce(mine["n"], F.lit(0))), cell("forecast", F.col("value"), shares))
     top = stages.priorities(p, dates.health_status(F.col("next_action_due"), ad.as_of()))
-    shares = stages.stage_shares(p, _stages(spark))
-    best = screening.screened(pending, ad.rules(spark), FIELDS).withColumn("s", F.coalesce("share", F.lit(-1.0))).orderBy(F.col("s").desc(), "id").limit(3)
-    flags = _union([row(top, "x", none, one), ready.where("value > 0").withColumn("value", F.lit(1.0)), waiting.where("value > 0").withColumn("value", F.lit(1.0))])
-    return _union([
-        count(p, "prospects"), row(p.agg(F.sum(F.coalesce("ask_amount", F.lit(0.0)).cast("decimal(18,2)")).alias("t")), "potential", none, F.col("t")), waiting, ready,
-        count(p.where(F.col("next_action_due").between(today, F.date_add(today, 7))), "due this week"), row(top, "priority", F.concat_ws(" ", F.col("id").cast("string"), "health"), one),
-        row(shares, "stage", F.col("value"), F.col("n")), row(shares, "forecast", F.col("value"), F.col("share")), row(best, "recommended", F.col("id"), F.round("s", 6)),
-        row(log.where(F.col("to_stage") != "error").orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(8), "recent", F.col("id"), one),
-        row(c.where(F.col("status") != "pending").orderBy(F.col("price").desc(), F.col("id").desc()).limit(8), "decided", F.col("id"), one), row(lookups.singleton(c), "settings", F.col("id"), one),
-        row(flags.agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("n")), "priority count", none, F.col("n")),
-    ])
+    top = rows(top, cell("priority", F.concat_ws(" ", F.col("id").cast("string"), "health"), one))
+
+    # candidates: sums, then the best pending ones and the last decided ones by one ranking
+    counted = c.agg(F.count_if(F.col("status") == "pending").alias("n"), F.min("id").alias("first"))
+    counted = rows(counted, cell("pending", none, F.col("n")), cell("settings", F.col("first"), one)).where("part <> 'settings' or item is not null")
+    judged = screening.screened(c, ad.rules(spark), FIELDS, keep=("status", "price"))
+    of = F.when(F.col("status") == "pending", "recommended").otherwise("decided")
+    judged = judged.withColumn("part", of).withColumn("s", F.coalesce("share", F.lit(-1.0)))
+    waits = F.col("part") == "recommended"
+    judged = judged.withColumn("by", F.when(waits, F.col("s")).otherwise(F.col("price"))).withColumn("tie", F.when(waits, -F.col("id")).otherwise(F.col("id")))
+    best = judged.withColumn("rn", F.row_number().over(Window.partitionBy("part").orderBy(F.col("by").desc(), F.col("tie").desc()))).where("rn <= 8").where(~waits | (F.col("rn") <= 3))
+    best = best.select("part", F.col("id").cast("string").alias("item"), F.when(waits, F.round("s", 6)).otherwise(1.0).alias("value"))
+
+    ready = latest.latest_per_key(log, ["prospect_id"]).agg(F.count_if((F.col("to_stage") == "signup") & F.col("approved").isNull()).alias("n"))
+    recent = log.where(F.col("to_stage") != "error").orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(8)
+    parts = _union([totals, staged, top, counted, best, rows(ready, cell("ready", none, F.col("n"))), rows(recent, cell("recent", F.col("id"), one))])
+    parts = kept(parts, shared_folder(spark, "dashboard"), "parts")
+    flag = F.when(F.col("part") == "priority", 1).when(F.col("part").isin("ready", "pending") & (F.col("value") > 0), 1).otherwise(0)
+    return parts.unionByName(rows(parts.agg(F.coalesce(F.sum(flag), F.lit(0)).alias("n")), cell("priority count", none, F.col("n"))))
 
 
 @query(sql(f"""@{APPLIED.replace("v_prospects p", "(SELECT * FROM v_candidates) p")} SELECT c.status AS tab, t.id, t.share, t.tier, CASE WHEN t.share IS NULL THEN -1 ELSE t.share END AS sort_key FROM tiered t JOIN v_candidates c ON c.id = t.id

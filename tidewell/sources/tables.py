@@ -43,7 +43,12 @@ def read_csv_rows(lines: DataFrame, header: str, columns: list[str]) -> DataFram
     return cells.select(*[c for c in lines.columns if c != "value"], *[cell(c).alias(c) for c in columns])
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], columns: list[str]) -> DataFrame:
+    """The wanted columns of one or many CSV files, without the files' names; see ``read_csv_files``."""
+    return read_csv_files(spark, path, columns).drop("file")
+
+
+def read_csv_files(spark: SparkSession, path: str | list[str], columns: list[str]) -> DataFrame:
     """Rows of one or many CSV files with ``file`` and the wanted columns, as texts, trimmed; missing cells are empty.
 
     Each file has its own header, the first line that isn't blank, and its cells are placed by that: files may have other orders, other columns, or
@@ -64,7 +69,7 @@ def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
         at = (F.size("_names") - back).cast("int")
         return F.coalesce(F.when(back > 0, _stripped(F.get("_f", at))), F.lit("")).alias(c)
 
-    return rows.select("file", *[cell(c) for c in columns])
+    return rows.sortWithinPartitions("file", "_block", "_line").select("file", *[cell(c) for c in columns])
 
 
 def _stripped(c: Column) -> Column:

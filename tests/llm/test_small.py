@@ -567,10 +567,13 @@ def test_language_model_does_not_depend_on_chunks(spark, monkeypatch):
     topics = [[f"w{t}x{i}" for i in range(30)] for t in range(4)]
     data = [(i, " ".join(rng.choice(topics[i % 4]) for _ in range(60))) for i in range(400)] + [(None, None), (1, "")]
     df = spark.createDataFrame(data, "doc_id long, text string")
-    monkeypatch.setattr(hmm, "OWN", 100)
+    monkeypatch.setattr(hmm, "OWN_FROM", 8)
     one, many = (sorted(map(str, ((r["doc_id"], round(r["score"], 3)) for r in hmm.language_scores(df.repartition(n, "text")).collect()))) for n in (1, 7))
     assert one == many
     held = hmm.language_scores(df).where("held_out").agg({"score": "sum", "base_score": "sum"}).first().asDict()
     assert held["sum(score)"] > 0.9 * held["sum(base_score)"]
-    monkeypatch.setattr(hmm, "OWN", 1e-9)
+    for own_from in (1, 8):  # the forward recursion stays exact and the held-out score finite, whatever has its own statistics
+        got = hmm.language_scores(df, own_from=own_from).where("held_out").agg({"score": "sum"}).first()[0]
+        assert np.isfinite(got)
+    monkeypatch.setattr(hmm, "OWN_FROM", 10**9)
     assert hmm.language_scores(df).where("held_out").agg({"score": "sum"}).first()[0] < held["sum(score)"]

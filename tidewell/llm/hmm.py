@@ -1,9 +1,8 @@
 """A hidden Markov language model trained by Baum-Welch on all training documents.
 
 A token's probability in a state is its unigram probability times the state's preference for the token's
-class: P(w) * B[s, class(w)] / P(class(w)). A word with at least N^(3/4) / ``OWN`` occurrences among N training tokens is a
-class of its own; rarer ones are classed by their ending, unknown words and the end of a text have a class each. So words with
-classes of their own grow in number with the corpus, up to ``OWN`` * N^(1/4), and each has ever more occurrences to learn from.
+class: P(w) * B[s, class(w)] / P(class(w)). A word with ``own_from`` occurrences or more in training is a class of its own, whatever the size
+of the corpus; rarer ones are classed by their ending, unknown words and the end of a text have a class each. With 1 every word has its own.
 For each state the probabilities of all words and the unknown one sum to one, and the score of a text is exact for the model.
 
 What is gathered grows with the corpus and never leaves the executors: texts are read in chunks, each chunk's distinct words
@@ -25,9 +24,9 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import Scratch, held_out_fold
 
 #: Bytes of text whose distinct words are counted together.
-CHUNK_BYTES = 12 << 20
-#: A word has expected counts of its own from N^(3/4) / OWN occurrences among N training tokens.
-OWN = 512
+CHUNK_BYTES = 32 << 20
+#: A word has expected counts of its own from so many occurrences in training.
+OWN_FROM = 64
 ENDINGS = 1 << 12
 UNKNOWN, END = ENDINGS, ENDINGS + 1
 #: Classes that words share. Codes of tokens from here on are places in their chunk's list of words.
@@ -136,7 +135,7 @@ def chunk_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return cols.mapInArrow(run, f"chunk long, doc {kind}, fold int, ids binary, word int, hash long, ending int, train long")
 
 
-def classed(docs: DataFrame, scratch: Scratch, key: str, text: str) -> tuple[DataFrame, DataFrame, int, np.ndarray, float]:
+def classed(docs: DataFrame, scratch: Scratch, key: str, text: str, own_from: int) -> tuple[DataFrame, DataFrame, int, np.ndarray, float]:
     """Texts (chunk, at, doc, fold, n_tokens, n_known, base_score, codes), a chunk's words with own counts (chunk, word, hash, c),
     N, the probabilities of the shared classes, and N + 0.5 (V + 1), over which all probabilities are taken.
     """
@@ -149,10 +148,9 @@ def classed(docs: DataFrame, scratch: Scratch, key: str, text: str) -> tuple[Dat
     inner, distinct = by_word.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     total, distinct = inner + ends, distinct + (ends > 0)
     whole = total + 0.5 * (distinct + 1)
-    often = max(2, math.ceil(total**0.75 / OWN))
-    cls = F.when(F.col("c") == 0, UNKNOWN).when(F.col("c") < often, F.col("ending")).cast("int")
+    cls = F.when(F.col("c") == 0, UNKNOWN).when(F.col("c") < own_from, F.col("ending")).cast("int")
     mass = np.zeros(N_CLASSES)
-    by_class = by_word.where(f"c > 0 and c < {often}").groupBy("ending").agg(F.sum(F.col("c") + 0.5).alias("m")).toArrow()  # ENDINGS rows at most
+    by_class = by_word.where(f"c > 0 and c < {own_from}").groupBy("ending").agg(F.sum(F.col("c") + 0.5).alias("m")).toArrow()  # ENDINGS rows at most
     mass[by_class.column("ending").to_numpy()] = by_class.column("m").to_numpy() / whole
     mass[END] = (ends + 0.5) / whole if ends else 0.0
     mass[UNKNOWN] = 0.5 / whole
@@ -309,7 +307,9 @@ def first_guess(counts: np.ndarray, states: int, seed: int = 7) -> tuple[np.ndar
 
 def _with_words(texts: DataFrame, words: DataFrame, state: DataFrame, columns: list[str]):
     """Texts of a chunk together with the chunk's own words and their expected counts."""
-    known = words.join(state, "hash", "left").select(F.col("chunk").alias("of"), "word", "hash", "c", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in columns])
+    # expected counts travel as numbers of 4 bytes; sums are made of 8
+    few = state.select("hash", *[F.col(c).cast("float").alias(c) for c in columns])
+    known = words.join(few, "hash", "left").select(F.col("chunk").alias("of"), "word", "hash", "c", *[F.coalesce(c, F.lit(0.0).cast("float")).alias(c) for c in columns])
     return texts.groupBy("chunk").cogroup(known.groupBy("of"))
 
 
@@ -330,7 +330,7 @@ def _places(texts: pa.Table, words: pa.Table) -> list[np.ndarray]:
 
 def _own(words: pa.Table, columns: list[str], whole: float) -> tuple[np.ndarray, np.ndarray]:
     """Expected counts and probabilities of a chunk's own words."""
-    return np.stack([words.column(c).to_numpy() for c in columns], axis=1), (words.column("c").to_numpy() + 0.5) / whole
+    return np.stack([words.column(c).to_numpy() for c in columns], axis=1).astype(np.float64), (words.column("c").to_numpy() + 0.5) / whole
 
 
 def guessed(training: DataFrame, words: DataFrame, mass: np.ndarray, states: int, columns: list[str]) -> tuple[Model, DataFrame]:
@@ -390,6 +390,7 @@ def baum_welch(training: DataFrame, words: DataFrame, state: DataFrame, model: M
         keys = np.concatenate((keys[some], N_CLASSES + np.arange(states + 2)))
         own = np.concatenate((some >= N_CLASSES, np.zeros(states + 2, bool)))
         values = np.concatenate((emit[some], move, start[None], np.full((1, states), total)))
+        values[own] = values[own].astype(np.float32)  # shorter in the shuffle
         return pa.table([own, keys, *(values[:, s] for s in range(states))], ["own", "key", *columns])
 
     schema = "own boolean, key long, " + ", ".join(f"{c} double" for c in columns)
@@ -402,7 +403,7 @@ def baum_welch(training: DataFrame, words: DataFrame, state: DataFrame, model: M
     return model, sums.where("own").select(F.col("key").alias("hash"), *columns)
 
 
-def language_scores(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def language_scores(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS, key: str = "doc_id", text: str = "text", own_from: int | None = None) -> DataFrame:
     """Every row's unigram score and log10 probability under the model.
 
     Returns key, held_out, n_tokens, n_known, train_tokens, base_score, score. Rows whose number has crc32 modulo 5 equal to 1
@@ -410,12 +411,15 @@ def language_scores(docs: DataFrame, states: int = STATES, iterations: int = ITE
     are scored each, and count each. Null numbers are kept; their fold is that of empty text. An empty table
     gives an empty result. Other columns are ignored. Words meet by 64-bit hashes.
 
+    ``own_from``: occurrences from which a word has emission statistics of its own, ``OWN_FROM`` by default; it doesn't depend on the corpus. Smaller:
+    more rows in each pass's shuffles, up to the distinct words of all chunks at 1.
+
     The states are first guessed from at most ``GUESS_DOCS`` training texts of up to ``GUESS_TOKENS`` tokens, chosen by a hash;
     everything after that, word counts and all passes of Baum-Welch, is over all training texts.
     """
     scratch = Scratch(docs.sparkSession, "hmm")
     columns = [f"s{s}" for s in range(states)]
-    texts, words, total, mass, whole = classed(docs, scratch, key, text)
+    texts, words, total, mass, whole = classed(docs, scratch, key, text, OWN_FROM if own_from is None else own_from)
     training = texts.where("fold != 1")
     model, state = guessed(training, words, mass, states, columns)
     for _ in range(iterations if total else 0):

@@ -296,3 +296,17 @@ def test_hard_negative_query(spark, sf_dir):
     got = queries.op13_hard_negatives(spark, sf_dir).collect()
     found = [(r.vec_id, (r.label + 1) % 10 if r.vec_id % 7 == 0 else r.label, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     assert sorted(map(tuple, got)) == plain_negatives(found, lambda i: i % 50 == 0)
+
+
+# --- workers ------------------------------------------------------------------
+
+
+def test_the_archive_holds_the_library():
+    import subprocess
+    import sys
+
+    from tidewell.llm.common import library_archive
+
+    path = library_archive()
+    said = subprocess.run([sys.executable, "-c", f"import sys; sys.path.insert(0, {path!r}); import tidewell.llm.runs as r; print(r.__file__, r.runs_of([[b'a'] * 30]))"], capture_output=True, text=True, cwd="/")
+    assert said.stdout.startswith(path) and said.stdout.strip().endswith("[[(0, 30, 1)]]")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,12 +13,34 @@ from pyspark.sql import functions as F
 
 
 def let_workers_import(spark: SparkSession) -> None:
-    """Put this library's folder on the path of the Python workers, wherever the driver was started."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    known = env.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in known:
-        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+    """Let the Python workers import this library, wherever the driver was started.
+
+    Threads and processes of this machine get the library's folder on their path. Workers elsewhere get its modules as one archive from the driver,
+    once for each Spark context.
+    """
+    sc, root = spark.sparkContext, Path(__file__).resolve().parents[2]
+    if sc.master.startswith("local"):
+        env = sc.environment
+        known = env.get("PYTHONPATH", "").split(os.pathsep)
+        if str(root) not in known:
+            env["PYTHONPATH"] = os.pathsep.join([str(root), *filter(None, known)])
+    elif sc.applicationId not in _SHIPPED:
+        sc.addPyFile(library_archive())
+        _SHIPPED.add(sc.applicationId)
+
+
+#: Applications that have the archive.
+_SHIPPED: set[str] = set()
+
+
+def library_archive() -> str:
+    """The library's modules as a zip file on the driver, from which Spark hands it out."""
+    root = Path(__file__).resolve().parents[1]
+    path = f"{tempfile.mkdtemp(prefix='library-')}/{root.name}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    return path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

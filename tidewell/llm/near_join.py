@@ -211,7 +211,7 @@ def near_classes(
 ) -> DataFrame:
     """Every row with its class of near copies.
 
-    Returns key, text_hash, class_id (the least key in the class), class_rank (0 for one row of the class, the one with the
+    Returns key, text_hash, class_id (the least key in the class), class_rank (0 for the row of the class, and for rows that repeat its number and text, with the
     least key), class_size (rows), set_id and n_links: to how many other sets of its class the row's set is as similar as
     the threshold. Texts belong to one class if links of similarity ``threshold`` or more lead from one to the other.
 

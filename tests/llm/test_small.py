@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidewell.llm import chat, chroma, decontamination, hmm, licenses, near_join, packing, quality, queries, repeats, sharding
@@ -292,6 +293,33 @@ def test_packing_follows_weights(spark):
     assert sum(r["length"] for r in got) == 400 * 51
 
 
+def test_packing_does_not_depend_on_splits(spark):
+    found = [(i % 90, f"text {i % 45} " * (1 + i % 13), "abc"[i % 3]) for i in range(300)]
+    found += [(None, None, None), (7, "copy of one row", "a"), (None, "no number", "b")] * 120
+    docs = spark.createDataFrame(found, "doc_id long, text string, source string")
+
+    def packed(parts, order):
+        given = docs.repartition(parts, *order).withColumn("n", F.lit(1)).withColumn("row", F.lit("x"))
+        return Counter(tuple(r) for r in packing.pack(given, sequence=64, window_sequences=2, bucket_docs=8).collect())
+
+    one = packed(1, ["text"])
+    assert one == packed(7, [F.rand(3)]) and sum(n * r[2] for r, n in one.items()) > 0
+    places = sorted((r[5], r[6], r[2]) for r, n in one.items() for _ in range(n))
+    ends = {}
+    for seq, at, n in places:
+        assert at == ends.get(seq, 0)
+        ends[seq] = at + n
+
+
+def test_packing_steers_the_mix(spark):
+    docs = spark.createDataFrame([(i, "word " * 50, "b" if i % 10 == 0 else "a") for i in range(1000)], "id long, body string, kind string")
+    got = packing.pack(docs, sequence=256, window_sequences=4, exponent=0.5, key="id", text="body", source="kind").collect()
+    early = [r for r in got if r["sequence_id"] < 40]
+    share = sum(r["length"] for r in early if r["kind"] == "b") / sum(r["length"] for r in early)
+    assert abs(share - 0.25) < 0.02  # 0.1 and 0.9 by their roots: 1 to 3
+    assert sum(r["length"] for r in got) == 1000 * 51 and {r["id"] for r in got} == set(range(1000))
+
+
 def repeats_by_hand(found, m=400):
     raw = [clean(t).encode() for t in found]
     count = Counter(b[p : p + m] for b in raw for p in range(len(b) - m + 1))

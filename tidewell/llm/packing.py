@@ -1,6 +1,6 @@
 """Packing of whole documents into sequences, mixed by deficit round-robin over source queues.
 
-Each source is a queue of its documents in a seeded order. In every round a source gets its share of a mixing
+Each source is a queue of its documents in a seeded order. In every round a source gets its target share of a mixing
 window as credit, carries over what it didn't use, and sends the packets that its credit covers. So a packet that ends
 E tokens into its queue goes in round ceil(E / credit): the deficits of all rounds follow from running sums, and no
 task has to see more than a bucket of a queue or a window of the mix. The mixed stream is then cut into sequences.
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import Scratch
+from tidewell.llm.common import Scratch, text_hash
 
 SEQUENCE = 4096
 END_ID = 2
@@ -25,6 +25,9 @@ END_ID = 2
 WINDOW_SEQUENCES = 64
 #: Documents of a queue that one task orders.
 BUCKET_DOCS = 4_000
+#: A source's target share is its share of the corpus to this power, scaled to 1 over all sources: below 1 small sources
+#: come more often than they are long, so that a sequence mixes more sources, until they run out.
+MIX_EXPONENT = 0.7
 
 
 def default_tokenizer() -> str:
@@ -33,8 +36,8 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, source, n (ids with the end), ids (numbers of 2 or 4 bytes). A null text counts as empty."""
+def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """doc_id, source, h (the text's hash), n (ids with the end), ids (numbers of 2 or 4 bytes). A null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tidewell.llm.tokens import WordTokenizer
@@ -43,45 +46,66 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Dat
         end = np.array([end_id], words.dtype).tobytes()
         width = words.dtype.itemsize
         for batch in batches:
-            texts = batch.column(2)
+            texts = batch.column(3)
             for at in range(0, len(texts), 512):
                 ids = [words.encode(t or "") + end for t in texts[at : at + 512].to_pylist()]
                 part = batch.slice(at, 512)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    ["doc_id", "source", "n", "ids"],
+                    [*part.columns[:3], pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                    ["doc_id", "source", "h", "n", "ids"],
                 )
 
-    cols = docs.select(F.col("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")), "text")
-    return cols.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, source string, n long, ids binary")
+    cols = docs.select(F.col(key).alias("k"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s"), text_hash(text).alias("h"), F.col(text).alias("t"))
+    return cols.mapInArrow(run, f"doc_id {dict(cols.dtypes)['k']}, source string, h long, n long, ids binary")
 
 
 def mixed_positions(
     queue: DataFrame, total: int, n_docs: int, weights: dict[str, float] | None, sequence: int, window_sequences: int, seed: int,
+    exponent: float = MIX_EXPONENT, bucket_docs: int = BUCKET_DOCS,
 ) -> DataFrame:
-    """row, start, length, round, position: where each packet of ``queue`` (row, doc_id, source, n) lies in the mix."""
-    bits = max(1, math.ceil(math.log2(max(2, n_docs / BUCKET_DOCS))))
-    q = queue.select("row", "source", "n", F.xxhash64(F.lit(seed), "doc_id", "row").alias("seeded"))
+    """row, source, start, length, round, position: where each packet of ``queue`` (row, doc_id, source, h, n) lies in the mix.
+
+    A queue's order follows from key and text. Only copies of one row are ordered by ``row``, and they can stand for each other.
+    """
+    bits = max(1, math.ceil(math.log2(max(2, n_docs / bucket_docs))))
+    q = queue.select("row", "doc_id", "source", "h", "n", F.xxhash64(F.lit(seed), "doc_id", "h").alias("seeded"))
     q = q.withColumn("bucket", F.shiftright("seeded", 64 - bits))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # Copies of one row are in one bucket as often. Where they are very many, they lie behind the bucket's other rows, in blocks of the input.
+    crowded = q.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 4 * bucket_docs).select("source", "bucket")
+    copies = q.join(crowded, ["source", "bucket"], "left_semi").groupBy("source", "seeded").agg(F.count(F.lit(1)).alias("c"))
+    copies = copies.where(F.col("c") > bucket_docs).select("source", "seeded", F.lit(True).alias("many"))
+    q = q.join(copies, ["source", "seeded"], "left").select(
+        "row", "doc_id", "source", "h", "n", "seeded", "bucket", F.when(F.col("many"), F.col("seeded")).alias("copied"),
+        F.when(F.col("many"), F.shiftright("row", 12)).alias("block"),
+    )
+    place = F.struct("bucket", F.col("copied").isNotNull().alias("many"), F.coalesce("copied", F.lit(0)).alias("copied"), F.coalesce("block", F.lit(0)).alias("block"))
+    q = q.withColumn("place", place)
+    before = Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     sums = (
-        q.groupBy("source", "bucket")
+        q.groupBy("source", "place")
         .agg(F.sum("n").alias("n"))
         .select(
-            F.col("source"), F.col("bucket"),
-            F.coalesce(F.sum("n").over(before), F.lit(0)).alias("bucket_start"),
+            F.col("source"), F.col("place"),
+            F.coalesce(F.sum("n").over(before), F.lit(0)).alias("place_start"),
             F.sum("n").over(Window.partitionBy("source")).alias("source_tokens"),
         )
     )
-    share = F.col("source_tokens") / F.lit(float(max(total, 1)))
+    of_corpus = F.col("source_tokens") / F.lit(float(max(total, 1)))
     if weights:
         whole = sum(weights.values())
         given = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(v / whole))])
-        share = F.coalesce(F.element_at(given, F.col("source")), share)
-    in_bucket = Window.partitionBy("source", "bucket").orderBy("seeded", "row").rowsBetween(Window.unboundedPreceding, 0)
-    q = q.join(sums, ["source", "bucket"]).select(
+        share = F.coalesce(F.element_at(given, F.col("source")), of_corpus)
+    elif exponent == 1:
+        share = of_corpus
+    else:
+        totals = queue.groupBy("source").agg(F.sum("n").alias("source_tokens"))
+        whole = totals.agg(F.sum(F.pow(of_corpus, F.lit(exponent)))).first()[0] or 1.0
+        # Twelve digits don't depend on the order in which the sum was made.
+        share = F.pow(of_corpus, F.lit(exponent)) / F.lit(float(f"{whole:.12g}"))
+    in_place = Window.partitionBy("source", "place").orderBy("seeded", "doc_id", "h", "row").rowsBetween(Window.unboundedPreceding, 0)
+    q = q.join(sums, ["source", "place"]).select(
         "row", "source", "n",
-        (F.col("bucket_start") + F.sum("n").over(in_bucket) - F.col("n")).alias("queue_start"),
+        (F.col("place_start") + F.sum("n").over(in_place) - F.col("n")).alias("queue_start"),
         (share * F.lit(float(sequence * window_sequences))).alias("credit"),
     )
     packets = q.select(
@@ -98,7 +122,7 @@ def mixed_positions(
     rounds = rounds.join(blocks, "block").select("round", (F.col("block_start") + F.sum("t").over(inside) - F.col("t")).alias("round_start"))
     in_round = Window.partitionBy("round").orderBy("source", "queue_end").rowsBetween(Window.unboundedPreceding, 0)
     return packets.join(rounds, "round").select(
-        "row", "start", "length", "round", (F.col("round_start") + F.sum("length").over(in_round) - F.col("length")).alias("position"),
+        "row", "source", "start", "length", "round", (F.col("round_start") + F.sum("length").over(in_round) - F.col("length")).alias("position"),
     )
 
 
@@ -140,23 +164,30 @@ def pack(
     end_id: int = END_ID,
     seed: int = 5,
     with_ids: bool = False,
+    exponent: float = MIX_EXPONENT,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    bucket_docs: int = BUCKET_DOCS,
 ) -> DataFrame:
     """Every id of every document in exactly one piece of one sequence.
 
-    Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, and the piece's ids (4 bytes
-    each) if asked for. ``sequence`` must be a power of two. ``weights`` gives target proportions by source; without it
-    they are those of the corpus, and all queues end together.
+    Returns key, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, and the piece's ids (4 bytes
+    each) if asked for. ``sequence`` must be a power of two. ``weights`` gives target proportions by source (a source
+    without one keeps its share of the corpus). Without ``weights`` the targets are the corpus's own shares to the power ``exponent``; at
+    1 all queues end together, below 1 smaller sources end earlier, and what is left goes on in its own proportions.
 
-    A null text is a document of the end id only; a null source counts as the source ''. Repeated rows are packed
-    each. Null numbers are kept. An empty table gives no pieces. Other columns are ignored.
+    The result depends on the rows, not on how the input is split: a queue is ordered by key and text. A null text is a
+    document of the end id only; a null source counts as the source ''. Repeated rows are packed
+    each, however many. Null numbers are kept. An empty table gives no pieces. Other columns are ignored.
     """
     if sequence & (sequence - 1):
         raise ValueError("sequence must be a power of two")
     path = tokenizer_path or default_tokenizer()
     scratch = Scratch(docs.sparkSession, "pack")
-    tokens = scratch.keep(tokenized(docs, path, end_id).withColumn("row", F.monotonically_increasing_id()), "zstd")
+    tokens = scratch.keep(tokenized(docs, path, end_id, key, text, source).withColumn("row", F.monotonically_increasing_id()), "zstd")
     n_docs, total = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    packets = mixed_positions(tokens.select("row", "doc_id", "source", "n"), total, n_docs, weights, sequence, window_sequences, seed)
+    packets = mixed_positions(tokens.select("row", "doc_id", "source", "h", "n"), total, n_docs, weights, sequence, window_sequences, seed, exponent, bucket_docs)
     pieces = cut(packets, total, sequence)
     by_doc = pieces.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "length", "sequence_id", "offset"))).alias("pieces"))
     joined = tokens.join(by_doc, "row").select("doc_id", "source", "n", "ids", "pieces")
@@ -186,5 +217,6 @@ def pack(
             ]
             yield pa.RecordBatch.from_arrays(out + [pa.array(bodies, pa.binary())] * with_ids, names + ["ids"] * with_ids)
 
-    kinds = f"doc_id {dict(docs.dtypes)['doc_id']}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
-    return joined.mapInArrow(run, kinds + ", ids binary" * with_ids)
+    kinds = f"doc_id {dict(docs.dtypes)[key]}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
+    out = joined.mapInArrow(run, kinds + ", ids binary" * with_ids)
+    return out.withColumnsRenamed({"doc_id": key, "source": source})

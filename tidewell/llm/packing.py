@@ -71,8 +71,7 @@ def mixed_positions(
     q = queue.select("row", "doc_id", "source", "h", "n", F.xxhash64(F.lit(seed), "doc_id", "h").alias("seeded"))
     q = q.withColumn("bucket", F.shiftright("seeded", 64 - bits))
     # Copies of one row are in one bucket as often. Where they are very many, they lie behind the bucket's other rows, in blocks of the input.
-    crowded = q.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 4 * bucket_docs).select("source", "bucket")
-    copies = q.join(crowded, ["source", "bucket"], "left_semi").groupBy("source", "seeded").agg(F.count(F.lit(1)).alias("c"))
+    copies = q.groupBy("source", "seeded").agg(F.count(F.lit(1)).alias("c"))
     copies = copies.where(F.col("c") > bucket_docs).select("source", "seeded", F.lit(True).alias("many"))
     q = q.join(copies, ["source", "seeded"], "left").select(
         "row", "doc_id", "source", "h", "n", "seeded", "bucket", F.when(F.col("many"), F.col("seeded")).alias("copied"),

@@ -569,10 +569,36 @@ def test_chroma(spark):
                     if e <= chroma.MOST_ERRORS * 32 * n:
                         truth.add((cls[q], cls[k]))
     match = {(r["class_id"], r["vec_id"]) for r in got if r["kind"] == "match"}
-    assert len(truth) > 20 and len(match & truth) >= 0.9 * len(truth) and match <= truth
+    assert len(truth) > 20 and len(match & truth) >= 0.95 * len(truth) and match <= truth
+    single = {(r["class_id"], r["vec_id"]) for r in chroma.align(media, lambda k: k % 100 == 0, in_a_row=1).where("kind = 'match'").collect()}
+    assert match <= single <= truth
+    for r in got:  # each row's figures are those of its offset
+        if r["kind"] == "match":
+            x, y, off = prints[r["class_id"]], prints[r["vec_id"]], r["offset"]
+            n = min(len(x) - max(0, -off), len(y) - max(0, off))
+            e = np.bitwise_count(x[max(0, -off) :][:n] ^ y[max(0, off) :][:n]).sum()
+            assert (r["overlap"], r["bit_errors"]) == (n, e) and r["votes"] >= 1
     assert chroma.align(media.where("false"), lambda k: k % 100 == 0).count() == 0
 
 
+def test_chroma_compares_every_offset(spark):
+    """The offset with most votes doesn't match; another, with fewer, does. Ties of votes go to the least offset."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 2**31, 60).astype(np.int32)
+    y = rng.integers(0, 2**31, 60).astype(np.int32)
+    flip = np.array([1 << (i % 31) for i in range(60)], np.int32)
+    y[4:] = x[:56] ^ flip[:56]
+    y[4:6] = x[:2]  # one key at the offset that matches
+    y[30:36] = x[2:8]  # five at one that doesn't
+    made = spark.createDataFrame([(0, x.tolist()), (1, y.tolist()), (2, [7] * 60), (3, [7] * 40)], "vec_id long, prints array<int>")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(chroma, "fingerprints", lambda df, *_: df)
+        got = {(r["class_id"], r["vec_id"]): r for r in chroma.align(made, lambda k: k % 2 == 0).where("kind = 'match'").collect()}
+    assert set(got) == {(0, 1), (2, 3)}
+    assert (got[0, 1]["offset"], got[0, 1]["votes"]) == (4, 1)
+    assert (got[2, 3]["offset"], got[2, 3]["overlap"], got[2, 3]["bit_errors"]) == (-20, 40, 0)  # 39 votes at each offset from -20 to 0
+
+
 def test_pipeline(docs, none, labels, spark, tmp_path):
     bench = spark.createDataFrame([(1, texts()[22])], "item_id long, text string")
     for name, df in (("documents", docs), ("labels", labels), ("benchmark", bench)):

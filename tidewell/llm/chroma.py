@@ -2,14 +2,15 @@
 
 Frames of a recording become twelve pitch-class energies. Filters over an integral image of the frames compare
 rectangles of time and pitch; each gives two bits, and sixteen make one packed integer for each frame. Recordings
-that share integers of two frames in a row are aligned by the offset at which most of these meet, and compared bit by
-bit there. Single integers meet by chance far more often than runs of two, and an error touches frames in a row, so
-like recordings keep such runs.
+that share integers of two frames in a row are compared bit by bit at every offset at which such integers meet, and
+the best of these offsets counts. Single integers meet by chance far more often than runs of two, and an error touches
+frames in a row, so like recordings keep such runs; ``in_a_row=1`` finds the rest that shares any integer.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,16 @@ LOWEST_HZ, HIGHEST_HZ = 28.0, 2700.0
 SPAN = 8
 #: Recordings that a task makes or reads at once, some 6 MB of the synthesised ones.
 BATCH_RECORDINGS = 64
+#: Recordings of one length whose fingerprints are made together, and frames that are transformed at once, some 4 MB of each kind.
+STACK, BLOCK_FRAMES = 16, 512
 #: Weights of a frame and its neighbours in the smoothed image.
 SMOOTHING = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
 #: A filter's response below, between and above these gives 0 to 3.
 CUTS = (-0.25, 0.0, 0.25)
-#: Least shared pairs of neighbouring integers at one offset, least overlap in frames, and most differing bits among all compared.
+#: Least shared keys at one offset, least overlap in frames, and most differing bits among all compared.
 LEAST_VOTES, LEAST_OVERLAP, MOST_ERRORS = 1, 24, 0.15
+#: Integers of so many frames in a row are one key, 1 or 2.
+IN_A_ROW = 2
 
 
 def filter_bank() -> list[tuple[int, int, int, int]]:
@@ -39,36 +44,39 @@ def filter_bank() -> list[tuple[int, int, int, int]]:
 
 
 def chroma(samples: np.ndarray, rate: int = RATE) -> np.ndarray:
-    """Smoothed, normalised energies of twelve pitch classes for each frame."""
-    n = (len(samples) - FRAME) // HOP + 1
+    """Smoothed, normalised energies of twelve pitch classes for each frame: (recordings, frames, 12) of (recordings, samples)."""
+    n = (samples.shape[1] - FRAME) // HOP + 1
     if n < len(SMOOTHING):
-        return np.zeros((0, 12))
-    frames = np.lib.stride_tricks.sliding_window_view(samples.astype(np.float32), FRAME)[::HOP][:n]
-    power = np.abs(np.fft.rfft(frames * np.hanning(FRAME).astype(np.float32), axis=1)) ** 2
+        return np.zeros((len(samples), 0, 12))
     hz = np.fft.rfftfreq(FRAME, 1 / rate)
-    used = (hz >= LOWEST_HZ) & (hz <= HIGHEST_HZ)
-    pitch = np.round(12 * np.log2(hz[used] / 440.0)).astype(int) % 12
-    image = power[:, used] @ np.eye(12)[pitch]
+    used = np.flatnonzero((hz >= LOWEST_HZ) & (hz <= HIGHEST_HZ))
+    classes = np.eye(12, dtype=np.float32)[np.round(12 * np.log2(hz[used] / 440.0)).astype(int) % 12]
+    frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME, axis=1)[:, ::HOP][:, :n]
+    window, image = np.hanning(FRAME).astype(np.float32), np.zeros((len(samples), n, 12))
+    block = max(1, BLOCK_FRAMES // len(samples))
+    for at in range(0, n, block):
+        bins = np.fft.rfft(frames[:, at : at + block] * window, axis=2)[:, :, used[0] : used[-1] + 1]
+        image[:, at : at + block] = (bins.real**2 + bins.imag**2) @ classes
     m = n - len(SMOOTHING) + 1
-    smooth = sum(w * image[i : i + m] for i, w in enumerate(SMOOTHING))
-    norm = np.linalg.norm(smooth, axis=1, keepdims=True)
+    smooth = sum(w * image[:, i : i + m] for i, w in enumerate(SMOOTHING))
+    norm = np.linalg.norm(smooth, axis=2, keepdims=True)
     return np.where(norm > 1e-2, smooth / np.maximum(norm, 1e-2), 0.0)
 
 
 def fingerprint(samples: np.ndarray, rate: int = RATE) -> np.ndarray:
-    """A packed 32-bit integer for each frame that the filters reach; none for a recording that is too short."""
+    """Packed 32-bit integers of recordings of one length, one for each frame that the filters reach; none if they are too short."""
     image = chroma(samples, rate)
-    n = len(image) - SPAN + 1
+    n = image.shape[1] - SPAN + 1
     if n < 1:
-        return np.zeros(0, np.uint32)
-    total = np.zeros((len(image) + 1, 13))
-    total[1:, 1:] = image.cumsum(axis=0).cumsum(axis=1)
-    at = np.arange(n)
+        return np.zeros((len(samples), 0), np.uint32)
+    total = np.zeros((len(image), image.shape[1] + 1, 13))
+    total[:, 1:, 1:] = image.cumsum(axis=1).cumsum(axis=2)
 
     def area(t0: int, t1: int, p0: int, p1: int) -> np.ndarray:
-        return total[at + t1, p1] - total[at + t0, p1] - total[at + t1, p0] + total[at + t0, p0]
+        later, earlier = total[:, t1 : t1 + n], total[:, t0 : t0 + n]
+        return later[:, :, p1] - earlier[:, :, p1] - later[:, :, p0] + earlier[:, :, p0]
 
-    out = np.zeros(n, np.uint32)
+    out = np.zeros((len(image), n), np.uint32)
     for kind, p, high, wide in filter_bank():
         if kind == 0:  # lower and upper pitches
             a, b = area(0, wide, p, p + high // 2), area(0, wide, p + high // 2, p + high)
@@ -81,7 +89,8 @@ def fingerprint(samples: np.ndarray, rate: int = RATE) -> np.ndarray:
             third = max(1, wide // 3)
             a = area(third, wide - third, p, p + high)
             b = area(0, third, p, p + high) + area(wide - third, wide, p, p + high)
-        level = np.digitize(np.log1p(a) - np.log1p(b), CUTS).astype(np.uint32)
+        response = np.log1p(a) - np.log1p(b)
+        level = sum((response >= cut).astype(np.uint32) for cut in CUTS)
         out = (out << np.uint32(2)) | (level ^ (level >> np.uint32(1)))  # neighbouring levels differ in one bit
     return out
 
@@ -119,14 +128,24 @@ def fingerprints(recordings: DataFrame, rate: int = RATE, key: str = "vec_id", a
             for at in range(0, batch.num_rows, BATCH_RECORDINGS):
                 part = batch.slice(at, BATCH_RECORDINGS)
                 raw = [x.as_buffer() if x.is_valid else b"" for x in part.column(1)]
-                found = [fingerprint(np.frombuffer(x, "<i2", len(x) // 2), rate).view(np.int32) for x in raw]
+                samples = [np.frombuffer(x, "<i2", len(x) // 2) for x in raw]
+                found: list = [None] * len(samples)
+                order = sorted(range(len(samples)), key=lambda i: len(samples[i]))
+                for _, same in groupby(order, lambda i: len(samples[i])):
+                    alike = list(same)
+                    for first in range(0, len(alike), STACK):
+                        group = alike[first : first + STACK]
+                        for i, row in zip(group, fingerprint(np.stack([samples[i] for i in group]), rate).view(np.int32), strict=True):
+                            found[i] = row
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], ["k", "prints"])
 
     kind = dict(recordings.dtypes)[key]
     return recordings.select(key, audio).mapInArrow(run, f"k {kind}, prints array<int>").withColumnRenamed("k", key)
 
 
-def align(recordings: DataFrame, is_query, key: str = "vec_id", audio: str = "audio", rate: int = RATE) -> DataFrame:
+def align(
+    recordings: DataFrame, is_query, key: str = "vec_id", audio: str = "audio", rate: int = RATE, least_votes: int = LEAST_VOTES, in_a_row: int = IN_A_ROW
+) -> DataFrame:
     """Recordings that hold the same sound, for all queries against all recordings.
 
     ``is_query`` is a condition on the key. Recordings with equal fingerprints are one class. Returns rows of two kinds:
@@ -134,9 +153,15 @@ def align(recordings: DataFrame, is_query, key: str = "vec_id", audio: str = "au
     query, offset, votes, overlap, bit_errors, error_rate) for each pair of classes that align; frame i of the
     query lies at frame i + offset of the other. All pairs of recordings follow from both without being listed.
 
+    Every offset at which ``least_votes`` keys meet is compared; of those that match, the one with most votes counts, of
+    several the least. What shares no key is not found: ``in_a_row=1`` loses fewer such pairs and compares some fifteen
+    times as many offsets.
+
     A null or too short recording has no fingerprint; all such are one class, which matches nothing. Repeated rows are members
-    each. Of several best offsets the least counts. A null key is never a query. An empty table gives an empty result.
+    each. A null key is never a query. An empty table gives an empty result.
     """
+    if in_a_row not in (1, 2):
+        raise ValueError("in_a_row is 1 or 2")
     scratch = Scratch(recordings.sparkSession, "chroma")
     made = scratch.keep(fingerprints(recordings, rate, key, audio).select(F.col(key).alias("k"), "prints"))
     classes = scratch.keep(
@@ -144,7 +169,8 @@ def align(recordings: DataFrame, is_query, key: str = "vec_id", audio: str = "au
     )
     one, two = F.slice("prints", F.lit(1), F.size("prints") - 1), F.slice("prints", F.lit(2), F.size("prints") - 1)
     runs = F.zip_with(one, two, lambda a, b: F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
-    placed = classes.where(F.size("prints") > 1).select("class_id", "asked", F.posexplode(runs).alias("at", "value"))
+    values = runs if in_a_row == 2 else F.col("prints").cast("array<bigint>")
+    placed = classes.where(F.size("prints") >= in_a_row).select("class_id", "asked", F.posexplode(values).alias("at", "value"))
     queries = placed.where("asked").select(F.col("class_id").alias("q"), F.col("at").alias("q_at"), "value")
     votes = (
         queries.join(placed.select("class_id", "at", "value"), "value")
@@ -152,11 +178,11 @@ def align(recordings: DataFrame, is_query, key: str = "vec_id", audio: str = "au
         .groupBy("q", "class_id", (F.col("at") - F.col("q_at")).alias("offset"))
         .agg(F.count(F.lit(1)).alias("votes"))
     )
-    best = votes.groupBy("q", "class_id").agg(F.max_by("offset", F.struct("votes", -F.col("offset"))).alias("offset"), F.max("votes").alias("votes"))
-    best = best.where(F.col("votes") >= LEAST_VOTES)
+    # The histogram of a pair goes with the pair, so that the integers meet once for each pair and every offset is compared.
+    histograms = votes.where(F.col("votes") >= least_votes).groupBy("q", "class_id").agg(F.collect_list(F.struct("offset", "votes")).alias("voted"))
     left = classes.select(F.col("class_id").alias("q"), F.col("prints").alias("x"))
     right = classes.select("class_id", F.col("prints").alias("y"))
-    pairs = best.join(left, "q").join(right, "class_id")
+    pairs = histograms.join(left, "q").join(right, "class_id").select("q", "class_id", "x", "y", F.inline("voted"))
     x0, y0 = F.greatest(F.lit(0), -F.col("offset")), F.greatest(F.lit(0), F.col("offset"))
     overlap = F.least(F.size("x") - x0, F.size("y") - y0)
     pairs = pairs.withColumn("overlap", overlap).where(F.col("overlap") >= LEAST_OVERLAP)
@@ -165,6 +191,8 @@ def align(recordings: DataFrame, is_query, key: str = "vec_id", audio: str = "au
         F.lit(0), lambda s, v: s + v,
     )
     matched = pairs.withColumn("bit_errors", unlike).withColumn("error_rate", F.col("bit_errors") / (F.col("overlap") * 32)).where(F.col("error_rate") <= MOST_ERRORS)
+    best = F.max_by(F.struct("offset", "votes", "overlap", "bit_errors", "error_rate"), F.struct("votes", -F.col("offset")))
+    matched = matched.groupBy("q", "class_id").agg(best.alias("best")).select("q", "class_id", "best.*")
     matched = matched.select(
         F.lit("match").alias("kind"), F.col("class_id").alias(key), F.col("q").alias("class_id"), F.col("offset").cast("int").alias("offset"), F.col("votes").cast("int").alias("votes"),
         F.col("overlap").cast("int").alias("overlap"), F.col("bit_errors").cast("int").alias("bit_errors"), "error_rate",

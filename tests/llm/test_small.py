@@ -631,3 +631,18 @@ def test_language_model_does_not_depend_on_chunks(spark, monkeypatch):
         assert np.isfinite(got)
     monkeypatch.setattr(hmm, "OWN_FROM", 10**9)
     assert hmm.language_scores(df).where("held_out").agg({"score": "sum"}).first()[0] < held["sum(score)"]
+
+
+def test_language_model_words_travel_once_for_a_group(spark, tmp_path):
+    """Chunks make groups: a word with own counts has a row for each group and not for each chunk, and the scores stay."""
+    rng = random.Random(5)
+    data = [(i, " ".join(f"w{rng.randrange(40)}" for _ in range(80))) for i in range(320)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(16, "doc_id")
+    scratch = hmm.Scratch(spark, "groups")
+    texts, _, words, *_ = hmm.classed(df, scratch, "doc_id", "text", 8)
+    chunks, groups = texts.select("chunk").distinct().count(), texts.select("grp").distinct().count()
+    assert chunks > 12 and groups == hmm.LEAST_GROUPS
+    assert words.groupBy("grp", "hash").count().where("count > 1").count() == 0
+    assert words.count() == 40 * groups
+    few, many = (sorted((r["doc_id"], round(r["score"], 3)) for r in hmm.language_scores(df, own_from=8, group_tokens=n).collect()) for n in (1, 1 << 24))
+    assert few == many and len(few) == 320

@@ -6,9 +6,9 @@ of the corpus; rarer ones are classed by their ending, unknown words and the end
 For each state the probabilities of all words and the unknown one sum to one, and the score of a text is exact for the model.
 
 What is gathered grows with the corpus and never leaves the executors: texts are read in chunks, each chunk's distinct words
-meet the others' in a shuffle, and counts go back to the chunk. Expected counts of words by state take the same way in
-each pass: they are a table with a row for each such word, joined to the words of a chunk. The driver holds the states' moves and
-the shared classes.
+meet the others' in a shuffle, and counts go back to the chunk. Chunks make up larger groups for the passes, so that a word
+travels once for a group. Expected counts of words by state are a table with a row for each such word, joined to
+the words of a group in each pass. The driver holds the states' moves and the shared classes.
 """
 
 from __future__ import annotations
@@ -18,18 +18,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import Scratch, held_out_fold
 
 #: Bytes of text whose distinct words are counted together.
 CHUNK_BYTES = 32 << 20
+#: Tokens of the chunks that a pass takes together, some 100 MB of text, and the groups that a smaller corpus has, as far as its chunks go.
+GROUP_TOKENS, LEAST_GROUPS = 1 << 24, 8
 #: A word has expected counts of its own from so many occurrences in training.
 OWN_FROM = 64
 ENDINGS = 1 << 12
 UNKNOWN, END = ENDINGS, ENDINGS + 1
-#: Classes that words share. Codes of tokens from here on are places in their chunk's list of words.
+#: Classes that words share. Codes of tokens from here on are places in their chunk's list of words with own counts.
 N_CLASSES = ENDINGS + 2
 STATES = 8
 ITERATIONS = 3
@@ -135,9 +138,25 @@ def chunk_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return cols.mapInArrow(run, f"chunk long, doc {kind}, fold int, ids binary, word int, hash long, ending int, train long")
 
 
-def classed(docs: DataFrame, scratch: Scratch, key: str, text: str, own_from: int) -> tuple[DataFrame, DataFrame, int, np.ndarray, float]:
-    """Texts (chunk, at, doc, fold, n_tokens, n_known, base_score, codes), a chunk's words with own counts (chunk, word, hash, c),
-    N, the probabilities of the shared classes, and N + 0.5 (V + 1), over which all probabilities are taken.
+def groups_of(texts: DataFrame, group_tokens: int) -> DataFrame:
+    """(chunk, grp): chunks that follow each other make up groups of ``group_tokens``, or what is nearest to it for all to be alike. A row for each chunk."""
+    sizes = texts.groupBy("chunk").agg(F.sum("n_tokens").alias("n"))
+    every, before = Window.partitionBy(), Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("chunk", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("past"), F.sum("n").over(every).alias("total"), F.count("n").over(every).alias("chunks"))
+    groups = F.greatest(F.ceil(F.col("total") / group_tokens), F.least("chunks", F.lit(LEAST_GROUPS)))
+    return sizes.select("chunk", F.floor((F.col("past") + F.col("n") / 2) * groups / F.col("total")).cast("long").alias("grp"))
+
+
+def _merged(lists: pa.Table) -> pa.Table:
+    """Words of a group's chunks and their counts, each once."""
+    hashes, counts = (np.frombuffer(b"".join(lists.column(c).to_pylist()), np.int64) for c in ("hashes", "counts"))
+    hashes, first = np.unique(hashes, return_index=True)
+    return pa.table([np.full(len(hashes), lists.column("grp")[0].as_py(), np.int64), hashes, counts[first]], ["grp", "hash", "c"])
+
+
+def classed(docs: DataFrame, scratch: Scratch, key: str, text: str, own_from: int, group_tokens: int = GROUP_TOKENS) -> tuple[DataFrame, DataFrame, DataFrame, int, np.ndarray, float]:
+    """Texts (grp, chunk, at, doc, fold, n_tokens, n_known, base_score, codes), the chunks' lists of words with own counts (grp, chunk, hashes), those of
+    a group, each once (grp, hash, c), N, the probabilities of the shared classes, and N + 0.5 (V + 1), over which all probabilities are taken.
     """
     rows = scratch.keep(chunk_rows(docs, key, text), "zstd")
     is_end = F.col("word") == 0
@@ -155,15 +174,17 @@ def classed(docs: DataFrame, scratch: Scratch, key: str, text: str, own_from: in
     mass[END] = (ends + 0.5) / whole if ends else 0.0
     mass[UNKNOWN] = 0.5 / whole
     kind = dict(docs.dtypes)[key]
-    names = ["chunk", "at", "doc", "fold", "n_tokens", "n_known", "base_score", "codes", "word", "hash", "c"]
-    schema = f"chunk long, at int, doc {kind}, fold int, n_tokens long, n_known long, base_score double, codes binary, word int, hash long, c long"
+    names = ["chunk", "at", "doc", "fold", "n_tokens", "n_known", "base_score", "codes", "hashes", "counts"]
+    schema = f"chunk long, at int, doc {kind}, fold int, n_tokens long, n_known long, base_score double, codes binary, hashes binary, counts binary"
 
     def look_up(docs: pa.Table, words: pa.Table) -> pa.Table:
         order = words.column("word").to_numpy()
         count, code = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
         shared = words.column("cls").fill_null(-1).to_numpy()
         count[order] = words.column("c").to_numpy()
-        code[order] = np.where(shared >= 0, shared, N_CLASSES + order)
+        own = words.filter(pa.array(shared < 0)).sort_by("word")
+        code[order] = shared
+        code[own.column("word").to_numpy()] = N_CLASSES + np.arange(own.num_rows)
         logs = np.log10((count + 0.5) / whole)
         known = count > 0
         n_tokens, n_known, base, codes = [], [], [], []
@@ -174,16 +195,16 @@ def classed(docs: DataFrame, scratch: Scratch, key: str, text: str, own_from: in
             base.append(float(logs[ids].sum()))
             codes.append(pack_ints(code[ids]))
         n = docs.num_rows
-        own = words.filter(pa.array(shared < 0)).sort_by("word")
         texts = pa.table(
             [
                 docs.column("chunk"), pa.array(np.arange(n, dtype=np.int32)), docs.column("doc"), docs.column("fold"), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
-                pa.array(base, pa.float64()), pa.array(codes, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
+                pa.array(base, pa.float64()), pa.array(codes, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()),
             ],
             names,
         )
-        none = [pa.nulls(own.num_rows, f.type) for f in texts.schema]
-        listed = pa.table([own.column("of"), *none[1:8], own.column("word"), own.column("hash"), own.column("c")], names)
+        none = [pa.nulls(1, f.type) for f in texts.schema]
+        packed = [pa.array([own.column(c).to_numpy().tobytes()], pa.binary()) for c in ("hash", "c")]
+        listed = pa.table([words.column("of").slice(0, 1), *none[1:8], *packed], names)
         return pa.concat_tables([texts, listed.cast(texts.schema)])
 
     texts = rows.where("word is null").select("chunk", "doc", "fold", "ids").groupBy("chunk")
@@ -194,7 +215,11 @@ def classed(docs: DataFrame, scratch: Scratch, key: str, text: str, own_from: in
     )
     out = scratch.keep(texts.cogroup(counted.groupBy("of")).applyInArrow(look_up, schema), "zstd")
     scratch.drop(rows, by_word)
-    return out.where("word is null").drop("word", "hash", "c"), out.where("word is not null").select("chunk", "word", "hash", "c"), total, mass, whole
+    texts = out.where("at is not null").drop("hashes", "counts")
+    groups = F.broadcast(scratch.keep(groups_of(texts, group_tokens).coalesce(1)))  # a row for each chunk
+    lists = out.where("at is null").select("chunk", "hashes", "counts").join(groups, "chunk")
+    own = scratch.keep(lists.groupBy("grp").applyInArrow(_merged, "grp long, hash long, c long"))
+    return texts.join(groups, "chunk"), lists.drop("counts"), own, total, mass, whole
 
 
 class Model:
@@ -238,6 +263,10 @@ class Model:
             previous = now
         return alpha, scale, packed.sums(np.log(scale))
 
+    def of(self, classes: np.ndarray) -> Model:
+        """The same with some of the classes only, as texts need that have no others."""
+        return Model(self.start, self.move, self.prefer[classes], self.even, self.factor)
+
     def expect(self, packed: _Packed) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Expected starts, moves and emissions of some texts, and their log likelihood ratio."""
         alpha, scale, total = self.forward(packed)
@@ -272,22 +301,31 @@ class _Packed:
         self.steps = list(zip((ends - active).tolist(), ends.tolist(), strict=True))
         self.before = np.arange(len(place)) - np.concatenate((np.zeros(active[0], np.int64), np.repeat(active[:-1], active[1:])))
 
+    def renumber(self) -> np.ndarray:
+        """Number the classes by those that the texts have, and return these."""
+        place = np.zeros(int(self.classes.max()) + 1, np.int64)
+        place[self.classes] = 1
+        used = np.flatnonzero(place)
+        place[used] = np.arange(len(used))
+        self.classes = place[self.classes]
+        return used
+
     def sums(self, x: np.ndarray) -> np.ndarray:
         out = np.empty(len(self.order))
         out[self.order] = np.bincount(self.owner, x, minlength=len(self.order))
         return out
 
 
-def _packs(texts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, _Packed]]:
+def _packs(texts: _Texts) -> Iterator[tuple[np.ndarray, _Packed]]:
     """Texts of like length together."""
-    order = np.argsort([-len(t) for t in texts], kind="stable")
+    order = np.argsort(-texts.sizes, kind="stable")
     at = 0
     while at < len(order):
         end, tokens = at, 0
-        while end < len(order) and (end == at or tokens + len(texts[order[end]]) <= BATCH_TOKENS):
-            tokens += len(texts[order[end]])
+        while end < len(order) and (end == at or tokens + texts.sizes[order[end]] <= BATCH_TOKENS):
+            tokens += texts.sizes[order[end]]
             end += 1
-        yield order[at:end], _Packed([texts[i] for i in order[at:end]])
+        yield order[at:end], _Packed([texts.classes(i) for i in order[at:end].tolist()])
         at = end
 
 
@@ -305,35 +343,44 @@ def first_guess(counts: np.ndarray, states: int, seed: int = 7) -> tuple[np.ndar
     return posterior.sum(axis=0), (posterior.T @ counts).T
 
 
-def _with_words(texts: DataFrame, words: DataFrame, state: DataFrame, columns: list[str]):
-    """Texts of a chunk together with the chunk's own words and their expected counts."""
+def _with_words(texts: DataFrame, lists: DataFrame, words: DataFrame, state: DataFrame, columns: list[str]):
+    """Texts of a group and its chunks' lists together with the group's own words and their expected counts."""
     # expected counts travel as numbers of 4 bytes; sums are made of 8
     few = state.select("hash", *[F.col(c).cast("float").alias(c) for c in columns])
-    known = words.join(few, "hash", "left").select(F.col("chunk").alias("of"), "word", "hash", "c", *[F.coalesce(c, F.lit(0.0).cast("float")).alias(c) for c in columns])
-    return texts.groupBy("chunk").cogroup(known.groupBy("of"))
-
-
-def _places(texts: pa.Table, words: pa.Table) -> list[np.ndarray]:
-    """Classes of each text's tokens: shared ones, then the rows of ``words``."""
-    listed = words.column("word").to_numpy()
-    place = np.zeros(int(listed.max(initial=0)) + 1, np.int64)
-    place[listed] = N_CLASSES + np.arange(len(listed))
-    out = []
-    for chunk in texts.column("codes").chunks:
-        for raw in chunk:
-            code = unpack_ints(raw.as_buffer())
-            own = code >= N_CLASSES
-            code[own] = place[code[own] - N_CLASSES]
-            out.append(code)
-    return out
+    known = words.join(few, "hash", "left").select(F.col("grp").alias("of"), "hash", "c", *[F.coalesce(c, F.lit(0.0).cast("float")).alias(c) for c in columns])
+    return texts.unionByName(lists, allowMissingColumns=True).groupBy("grp").cogroup(known.groupBy("of"))
+
+
+class _Texts:
+    """A group's texts. Their tokens are decoded as they are needed: shared classes, then the rows of ``words``."""
+
+    def __init__(self, rows: pa.Table, words: pa.Table):
+        valid = pc.is_valid(rows.column("codes"))
+        self.rows = rows.drop_columns(["codes", "hashes"]).filter(valid)
+        self.sizes = self.rows.column("n_tokens").to_numpy()
+        self._codes = rows.column("codes")
+        self._at = np.flatnonzero(valid.to_numpy()).tolist()
+        lists = rows.select(["chunk", "hashes"]).filter(pc.invert(valid))
+        hashes = words.column("hash").to_numpy()
+        order = np.argsort(hashes)
+        self._places = {}
+        for chunk, raw in zip(lists.column("chunk").to_pylist(), lists.column("hashes").to_pylist(), strict=True):
+            self._places[chunk] = N_CLASSES + order[np.searchsorted(hashes, np.frombuffer(raw, np.int64), sorter=order)]
+        self._chunks = self.rows.column("chunk").to_pylist()
+
+    def classes(self, i: int) -> np.ndarray:
+        code = unpack_ints(self._codes[self._at[i]].as_buffer())
+        own = code >= N_CLASSES
+        code[own] = self._places[self._chunks[i]][code[own] - N_CLASSES]
+        return code
 
 
 def _own(words: pa.Table, columns: list[str], whole: float) -> tuple[np.ndarray, np.ndarray]:
-    """Expected counts and probabilities of a chunk's own words."""
+    """Expected counts and probabilities of a group's own words."""
     return np.stack([words.column(c).to_numpy() for c in columns], axis=1).astype(np.float64), (words.column("c").to_numpy() + 0.5) / whole
 
 
-def guessed(training: DataFrame, words: DataFrame, mass: np.ndarray, states: int, columns: list[str]) -> tuple[Model, DataFrame]:
+def guessed(training: DataFrame, lists: DataFrame, words: DataFrame, mass: np.ndarray, states: int, columns: list[str]) -> tuple[Model, DataFrame]:
     """The first model and expected counts (hash, one column for each state) from a bounded sample of texts."""
     spark = training.sparkSession
     by_hash = F.xxhash64(F.lit(41), "doc")
@@ -342,21 +389,22 @@ def guessed(training: DataFrame, words: DataFrame, mass: np.ndarray, states: int
     some = training.where((F.col("n_tokens") <= GUESS_TOKENS) & (F.pmod(by_hash, F.lit(every)) == 0))
     picked = some.orderBy(by_hash, "doc", "n_tokens", "base_score").select("chunk", "at").limit(GUESS_DOCS).collect()
     rows = spark.createDataFrame([(r["chunk"], r["at"], i) for i, r in enumerate(picked)], "chunk long, at int, row long")
-    sample = training.join(F.broadcast(rows), ["chunk", "at"])  # GUESS_DOCS rows at most
+    sample = training.join(F.broadcast(rows), ["chunk", "at"]).select("grp", "chunk", "n_tokens", "codes", "row")  # GUESS_DOCS rows at most
     nothing = spark.createDataFrame([], "hash long, " + ", ".join(f"{c} double" for c in columns))
 
-    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+    def run(rows: pa.Table, words: pa.Table) -> pa.Table:
+        texts = _Texts(rows, words)
         listed = words.column("hash").to_numpy()
         at, own, key, n = [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for row, text in zip(texts.column("row").to_pylist(), _places(texts, words), strict=True):
-            found, times = np.unique(text, return_counts=True)
+        for i, row in enumerate(texts.rows.column("row").to_pylist()):
+            found, times = np.unique(texts.classes(i), return_counts=True)
             mine = found >= N_CLASSES
             code = found.copy()
             code[mine] = listed[found[mine] - N_CLASSES]
             at.append(np.full(len(found), row)), own.append(mine), key.append(code), n.append(times)
         return pa.table([np.concatenate(x) for x in (at, own, key, n)], ["row", "own", "key", "n"])
 
-    counts = _with_words(sample, words, nothing, columns).applyInArrow(run, "row long, own boolean, key long, n long")
+    counts = _with_words(sample, lists, words, nothing, columns).applyInArrow(run, "row long, own boolean, key long, n long")
     top = counts.groupBy("own", "key").agg(F.sum("n").alias("_n")).orderBy(F.desc("_n"), "own", "key").limit(GUESS_CLASSES).select("own", "key")
     found = counts.join(F.broadcast(top), ["own", "key"]).toArrow()  # GUESS_DOCS * GUESS_CLASSES rows at most
     own, key = found.column("own").to_numpy(), found.column("key").to_numpy()
@@ -374,17 +422,18 @@ def guessed(training: DataFrame, words: DataFrame, mass: np.ndarray, states: int
     return model, spark.createDataFrame(state) if state.num_rows else nothing
 
 
-def baum_welch(training: DataFrame, words: DataFrame, state: DataFrame, model: Model, mass: np.ndarray, whole: float, columns: list[str], scratch: Scratch) -> tuple[Model, DataFrame]:
-    """One iteration over all texts: expected counts by chunk, summed by word or class in a shuffle and kept as a table."""
+def baum_welch(training: DataFrame, lists: DataFrame, words: DataFrame, state: DataFrame, model: Model, mass: np.ndarray, whole: float, columns: list[str], scratch: Scratch) -> tuple[Model, DataFrame]:
+    """One iteration over all texts: expected counts by group, summed by word or class in a shuffle and kept as a table."""
     states = len(model.start)
 
-    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+    def run(rows: pa.Table, words: pa.Table) -> pa.Table:
         here = model.with_words(*_own(words, columns, whole))
         start, move, emit, total = np.zeros(states), np.zeros((states, states)), np.zeros_like(here.prefer), 0.0
-        for _, packed in _packs(_places(texts, words)):
-            a, b, c, d = here.expect(packed)
+        for _, packed in _packs(_Texts(rows, words)):
+            used = packed.renumber()
+            a, b, c, d = here.of(used).expect(packed)
             start, move, total = start + a, move + b, total + d
-            emit += c
+            emit[used] += c
         keys = np.concatenate((np.arange(N_CLASSES), words.column("hash").to_numpy()))
         some = np.flatnonzero(emit.any(axis=1))
         keys = np.concatenate((keys[some], N_CLASSES + np.arange(states + 2)))
@@ -394,7 +443,8 @@ def baum_welch(training: DataFrame, words: DataFrame, state: DataFrame, model: M
         return pa.table([own, keys, *(values[:, s] for s in range(states))], ["own", "key", *columns])
 
     schema = "own boolean, key long, " + ", ".join(f"{c} double" for c in columns)
-    sums = scratch.keep(_with_words(training, words, state, columns).applyInArrow(run, schema).groupBy("own", "key").agg(*[F.sum(c).alias(c) for c in columns]))
+    needed = training.select("grp", "chunk", "n_tokens", "codes")
+    sums = scratch.keep(_with_words(needed, lists, words, state, columns).applyInArrow(run, schema).groupBy("own", "key").agg(*[F.sum(c).alias(c) for c in columns]))
     table = np.zeros((N_CLASSES + states + 2, states))
     found = sums.where("not own").toArrow()  # a row for each shared class: bounded by N_CLASSES
     table[found.column("key").to_numpy()] = np.stack([found.column(c).to_numpy() for c in columns], axis=1)
@@ -403,7 +453,7 @@ def baum_welch(training: DataFrame, words: DataFrame, state: DataFrame, model: M
     return model, sums.where("own").select(F.col("key").alias("hash"), *columns)
 
 
-def language_scores(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS, key: str = "doc_id", text: str = "text", own_from: int | None = None) -> DataFrame:
+def language_scores(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS, key: str = "doc_id", text: str = "text", own_from: int | None = None, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """Every row's unigram score and log10 probability under the model.
 
     Returns key, held_out, n_tokens, n_known, train_tokens, base_score, score. Rows whose number has crc32 modulo 5 equal to 1
@@ -412,26 +462,29 @@ def language_scores(docs: DataFrame, states: int = STATES, iterations: int = ITE
     gives an empty result. Other columns are ignored. Words meet by 64-bit hashes.
 
     ``own_from``: occurrences from which a word has emission statistics of its own, ``OWN_FROM`` by default; it doesn't depend on the corpus. Smaller:
-    more rows in each pass's shuffles, up to the distinct words of all chunks at 1.
+    more rows in each pass's shuffles, up to the distinct words of all groups at 1. ``group_tokens``: tokens whose texts one task takes together;
+    more of them make fewer such rows and take more memory, and change sums by rounding only.
 
     The states are first guessed from at most ``GUESS_DOCS`` training texts of up to ``GUESS_TOKENS`` tokens, chosen by a hash;
     everything after that, word counts and all passes of Baum-Welch, is over all training texts.
     """
     scratch = Scratch(docs.sparkSession, "hmm")
     columns = [f"s{s}" for s in range(states)]
-    texts, words, total, mass, whole = classed(docs, scratch, key, text, OWN_FROM if own_from is None else own_from)
+    texts, lists, words, total, mass, whole = classed(docs, scratch, key, text, OWN_FROM if own_from is None else own_from, group_tokens)
     training = texts.where("fold != 1")
-    model, state = guessed(training, words, mass, states, columns)
+    model, state = guessed(training, lists, words, mass, states, columns)
     for _ in range(iterations if total else 0):
-        model, state = baum_welch(training, words, state, model, mass, whole, columns, scratch)
+        model, state = baum_welch(training, lists, words, state, model, mass, whole, columns, scratch)
 
     names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
-    def run(texts: pa.Table, words: pa.Table) -> pa.Table:
+    def run(rows: pa.Table, words: pa.Table) -> pa.Table:
         here = model.with_words(*_own(words, columns, whole))
+        coded = _Texts(rows, words)
+        texts = coded.rows
         ratio = np.zeros(texts.num_rows)
-        for rows, packed in _packs(_places(texts, words)):
-            ratio[rows] = here.forward(packed)[2]
+        for some, packed in _packs(coded):
+            ratio[some] = here.forward(packed)[2]
         base = texts.column("base_score").to_numpy()
         return pa.table(
             [
@@ -443,4 +496,4 @@ def language_scores(docs: DataFrame, states: int = STATES, iterations: int = ITE
 
     kind = dict(docs.dtypes)[key]
     schema = f"{key} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return _with_words(texts, words, state, columns).applyInArrow(run, schema)
+    return _with_words(texts.drop("at"), lists, words, state, columns).applyInArrow(run, schema)

@@ -422,8 +422,8 @@ def guessed(training: DataFrame, lists: DataFrame, words: DataFrame, mass: np.nd
     return model, spark.createDataFrame(state) if state.num_rows else nothing
 
 
-def baum_welch(training: DataFrame, lists: DataFrame, words: DataFrame, state: DataFrame, model: Model, mass: np.ndarray, whole: float, columns: list[str], scratch: Scratch) -> tuple[Model, DataFrame]:
-    """One iteration over all texts: expected counts by group, summed by word or class in a shuffle and kept as a table."""
+def baum_welch(training: DataFrame, lists: DataFrame, words: DataFrame, state: DataFrame, model: Model, mass: np.ndarray, whole: float, columns: list[str], scratch: Scratch) -> tuple[Model, DataFrame, DataFrame]:
+    """One iteration over all texts: expected counts by group, summed by word or class in a shuffle and kept as a table, which comes last."""
     states = len(model.start)
 
     def run(rows: pa.Table, words: pa.Table) -> pa.Table:
@@ -450,7 +450,7 @@ def baum_welch(training: DataFrame, lists: DataFrame, words: DataFrame, state: D
     table[found.column("key").to_numpy()] = np.stack([found.column(c).to_numpy() for c in columns], axis=1)
     rest = sums.where("own").agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in columns]).first()
     model = Model.from_counts(table[N_CLASSES + states], table[N_CLASSES : N_CLASSES + states], table[:N_CLASSES], mass, np.array(rest, float))
-    return model, sums.where("own").select(F.col("key").alias("hash"), *columns)
+    return model, sums.where("own").select(F.col("key").alias("hash"), *columns), sums
 
 
 def language_scores(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS, key: str = "doc_id", text: str = "text", own_from: int | None = None, group_tokens: int = GROUP_TOKENS) -> DataFrame:
@@ -473,8 +473,11 @@ def language_scores(docs: DataFrame, states: int = STATES, iterations: int = ITE
     texts, lists, words, total, mass, whole = classed(docs, scratch, key, text, OWN_FROM if own_from is None else own_from, group_tokens)
     training = texts.where("fold != 1")
     model, state = guessed(training, lists, words, mass, states, columns)
+    past = []
     for _ in range(iterations if total else 0):
-        model, state = baum_welch(training, lists, words, state, model, mass, whole, columns, scratch)
+        model, state, sums = baum_welch(training, lists, words, state, model, mass, whole, columns, scratch)
+        scratch.drop(*past)
+        past = [sums]
 
     names = [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 

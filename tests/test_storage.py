@@ -294,3 +294,35 @@ def test_evidence_for_an_audience(spark):
     drafts = [(1, "public", ["a"]), (2, "partners_only", ["a", "a"]), (3, "internal", ["b", "a"]), (4, "do_not_share", ["a"]), (5, None, ["a", None]), (6, "internal", []), (7, "internal", None), (8, "internal", ["a", "nowhere"])]
     got = evidence.selectable(spark.createDataFrame(drafts, "draft_id int, audience string, tags array<string>"), spark.createDataFrame(items, "item_id int, permission string, tags array<string>"))
     assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 1), (2, 2), (3, 1), (3, 3), (4, 1), (5, 1)]
+
+
+def test_evidence_does_not_move_an_items_tags_once_for_each_of_them(spark):
+    rng = random.Random(4)
+    tags = [f"{rng.getrandbits(64):016x}" for _ in range(1500)]
+    items = spark.createDataFrame([(i, "public", tags) for i in (1, 2)], "item_id int, permission string, tags array<string>")
+    drafts = spark.createDataFrame([(i, "public", [t]) for i, t in enumerate(tags)], "draft_id int, audience string, tags array<string>")
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        bus.waitUntilEmpty()
+        return sum(store.executorList(True).apply(i).totalShuffleWrite() for i in range(store.executorList(True).size()))
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    usual, before = spark.conf.get(key), written()
+    spark.conf.set(key, -1)  # as with more drafts than a broadcast takes
+    try:
+        assert evidence.selectable(drafts, items).count() == 2 * len(tags)
+    finally:
+        spark.conf.set(key, usual)
+    assert written() - before < 2_000_000  # two items of 1500 tags and 1500 drafts; 3000 copies of an item's tags make 88 MB
+
+
+def test_evidence_of_repeated_and_missing_ids(spark):
+    rng, tags = random.Random(6), ["a", "b", "c", "d", "e"]
+    some = lambda: rng.sample(tags, rng.randint(1, 4))
+    items = [(rng.choice([None, 1, 2, 3]), rng.choice(evidence.PERMISSIONS[:3]), some()) for _ in range(30)]
+    drafts = [(rng.choice([None, 7, 8]), rng.choice(evidence.PERMISSIONS[:3]), some()) for _ in range(15)]
+    may = evidence.PERMISSIONS.index
+    want = [(d[0], i[0]) for d in drafts for i in items if may(i[1]) <= may(d[1]) and set(d[2]) <= set(i[2])]
+    got = evidence.selectable(spark.createDataFrame(drafts, "draft_id int, audience string, tags array<string>"), spark.createDataFrame(items, "item_id int, permission string, tags array<string>"))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
